@@ -51,6 +51,20 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _salt(rows: DataFrame, spread: str, salts: int) -> DataFrame:
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
+
+
+def _to_rows(salted: DataFrame, part: DataFrame, whole: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Brings whole (a row a key) to the rows by way of part (at most one row a key and salt), so that no key meets all its rows at once."""
+    new = [c for c in whole.columns if c not in keys]
+    p, w = part.select(*keys, "_salt").alias("p"), whole.alias("w")
+    back = p.join(w, [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys], how).select(*[F.col(f"p.{k}") for k in [*keys, "_salt"]], *[F.col(f"w.{n}") for n in new])
+    r, b = salted.alias("r"), back.alias("b")
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("r._salt") == F.col("b._salt")]
+    return r.join(b, on).select(*[F.col(f"r.{c}") for c in salted.columns if c != "_salt"], *[F.col(f"b.{n}") for n in new])
+
+
 def group_lookup(rows: DataFrame, keys: list[str], aggs: list[tuple[str, str, str]], spread: str, salts: int = 64) -> DataFrame:
     """rows plus aggregates of their group, with no task that holds a whole group.
 
@@ -59,15 +73,16 @@ def group_lookup(rows: DataFrame, keys: list[str], aggs: list[tuple[str, str, st
     ``salts`` rows a key before they meet the rows. Null keys form a group. Give it materialised rows: it reads them twice.
     """
     f = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int"))
+    salted = _salt(rows, spread, salts)
     part = salted.groupBy(*keys, "_salt").agg(*[f[how](c).alias(f"_p{i}") for i, (_, how, c) in enumerate(aggs)])
     whole = part.groupBy(*keys).agg(*[f["sum" if how == "count" else how](f"_p{i}").alias(name) for i, (name, how, _) in enumerate(aggs)])
-    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    p, w = part.select(*keys, "_salt").alias("p"), whole.alias("w")
-    back = p.join(w, [F.col(f"p.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys]).select(*[F.col(f"p.{k}") for k in [*keys, "_salt"]], *[F.col(f"w.{n}") for n, _, _ in aggs])
-    r, b = salted.alias("r"), back.alias("b")
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("r._salt") == F.col("b._salt")]
-    return r.join(b, on).select(*[F.col(f"r.{c}") for c in rows.columns], *[F.col(f"b.{n}") for n, _, _ in aggs])
+    return _to_rows(salted, part, whole, keys, "inner")
+
+
+def table_lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: str, salts: int = 64) -> DataFrame:
+    """rows plus the other columns of table (one row a key; null where there is none), dealt as in group_lookup."""
+    salted = _salt(rows, spread, salts)
+    return _to_rows(salted, salted.select(*keys, "_salt").distinct(), table, keys, "left")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
