@@ -71,6 +71,18 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def _span_text(spans: str) -> str:
+    return f"array_join(transform({spans}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import scan
+
+    out = scan(_read(spark, sf_dir, "documents"))
+    n = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}' AND s.base)) AS BIGINT)").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *n, F.sha2(F.expr(_span_text("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(_span_text("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -79,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_pii": op10_pii,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
