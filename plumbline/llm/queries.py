@@ -57,6 +57,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_history
+
+    out = scan_history(_read(spark, sf_dir, "documents"))
+    n = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}' AND s.base)) AS BIGINT)").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *n, F.sha2(F.expr(_span_text("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(_span_text("spans")).alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_secret_scan": op6_secret_scan,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
