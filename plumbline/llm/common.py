@@ -89,4 +89,4 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is in ids (distinct, materialised). The ids are broadcast only if counted and few; else both sides are shuffled."""
     ids = ids.select(F.col(ids.columns[0]).alias(id_col))
     small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)

@@ -65,6 +65,13 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(F.expr(_span_text("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(_span_text("spans")).alias("spans"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    out = read_archives(write_archives(_read(spark, sf_dir, "pages")), with_payload=False)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contamination
 
@@ -98,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_decontamination": op8_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
