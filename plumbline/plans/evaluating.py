@@ -1,2 +1,210 @@
+"""Queries of evaluation: distance and nearest errors, binary metrics, sweeps, agreement, replies, decomposition, statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions import metrics as M
+from ..functions import text as T
+from ..operators import bootstrap as B
+from ..operators import evaluation as E
+from ..operators import objects as O
+from ..operators import spatial as S
+from .adapters import SURFACE_SQL, clouds, distance_sql, objects_sql, read, segment_sql, valid_objects
+from .geometry import REFS, TARGETS
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _pairs(spark, sf_dir):
+    """Useful pairs with true (surface) and predicted (centroid) distance."""
+    v = valid_objects(spark, sf_dir)
+    d = S.surface_distance(S.pairs(v), clouds(spark, sf_dir, v))
+    return d.withColumns({"truth": F.col("surface_distance"), "pred": G.distance_3d("a", "b")})
+
+
+_P = f"{objects_sql()}{SURFACE_SQL}, e AS (SELECT a.scene_id, a.object_id AS object_a, b.object_id AS object_b, s.d AS truth, {distance_sql('a', 'b')} AS pred FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.ord < b.ord JOIN surf s ON s.object_a = a.object_id AND s.object_b = b.object_id)"
+_ERR = "count(*) AS n, round(avg(abs(pred - truth)), 6) AS mae, round(median(abs(pred - truth)), 6) AS medae, round(sqrt(avg(pow(pred - truth, 2))), 6) AS rmse"
+_round = lambda df, cols: df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@query("eval_distance", f"{_P} SELECT scene_id, {_ERR} FROM e GROUP BY scene_id")
+def eval_distance(spark, sf_dir):
+    return _round(E.distance_errors(_pairs(spark, sf_dir), "pred", "truth", ["scene_id"]), ["mae", "medae", "rmse"])
+
+
+@query("surface_vs_centroid", f"{_P} SELECT count(*) AS n, 0.0::DOUBLE AS mae_a, round(avg(abs(pred - truth)), 6) AS mae_b, 0.0::DOUBLE AS medae_a, round(median(abs(pred - truth)), 6) AS medae_b, round(avg(abs(pred - truth)), 6) AS mean_difference, count(*) FILTER (abs(pred - truth) > 0) AS b_worse FROM e")
+def surface_vs_centroid(spark, sf_dir):
+    return _round(E.compare(_pairs(spark, sf_dir), "surface_distance", "pred", "truth"), ["mae_a", "mae_b", "medae_a", "medae_b", "mean_difference"])
+
+
+_RG = "CASE WHEN truth <= 1.5 THEN 'short' WHEN truth <= 3 THEN 'medium' ELSE 'long' END"
+
+
+@query(
+    "error_by_range",
+    f"""{_P}, l AS (SELECT 'centroid' AS method, truth, pred FROM e UNION ALL SELECT 'partial', truth, CASE WHEN pred > 20 THEN NULL ELSE pred END FROM e)
+    SELECT method, {_RG} AS "range", count(pred) AS n_valid, count(*) - count(pred) AS n_failed, round(avg(abs(pred - truth)), 6) AS mae, round(median(abs(pred - truth)), 6) AS medae, round(sqrt(avg(pow(pred - truth, 2))), 6) AS rmse, round(100 * avg(abs(pred - truth) / nullif(truth, 0)), 6) AS relative_pct FROM l GROUP BY ALL""",
+)
+def error_by_range(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("truth", "pred")
+    both = p.withColumn("method", F.lit("centroid")).unionByName(p.withColumns({"method": F.lit("partial"), "pred": F.when(F.col("pred") <= 20, F.col("pred"))}))
+    return _round(E.errors_by_range(both, "pred", "truth"), ["mae", "medae", "rmse", "relative_pct"])
+
+
+def _nearest(spark, sf_dir):
+    v = valid_objects(spark, sf_dir)
+    c = S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS).withColumn("centroid_distance", G.distance_3d("a", "b"))
+    keys = ["scene_id", "object_a", "label_b"]
+    s = S.nearest(S.surface_distance(c, clouds(spark, sf_dir, v)), "surface_distance").select(*keys, F.col("answer_object").alias("truth"))
+    return s.join(S.nearest(c, "centroid_distance").select(*keys, F.col("answer_object").alias("pred")), keys)
+
+
+_NR = f"""{objects_sql()}{SURFACE_SQL}, r AS (SELECT a.scene_id, a.object_id AS object_a, b.label_norm AS label_b, b.object_id AS id, row_number() OVER (PARTITION BY a.object_id, b.label_norm ORDER BY s.d, b.ord) AS rs, row_number() OVER (PARTITION BY a.object_id, b.label_norm ORDER BY {distance_sql('a', 'b')}, b.ord) AS rc
+        FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.object_id <> b.object_id AND a.label_norm IN {_IN(REFS)} AND b.label_norm IN {_IN(TARGETS)} JOIN surf s ON s.object_a = a.object_id AND s.object_b = b.object_id),
+    e AS (SELECT scene_id, object_a, label_b, max(id) FILTER (rs = 1) AS truth, max(id) FILTER (rc = 1) AS pred FROM r GROUP BY ALL)"""
+
+
+@query("eval_nearest", f"{_NR} SELECT label_b, count(*) AS n, round(avg((pred = truth)::INT), 6) AS top1, 1.0::DOUBLE AS parse_rate FROM e GROUP BY label_b")
+def eval_nearest(spark, sf_dir):
+    return _nearest(spark, sf_dir).groupBy("label_b").agg(F.count("*").alias("n"), F.round(M.top1(F.col("pred"), F.col("truth")), 6).alias("top1"), M.parse_rate(F.col("pred")).alias("parse_rate"))
+
+
+@query("nearest_failures", f"{_NR} SELECT * FROM e WHERE pred <> truth")
+def nearest_failures(spark, sf_dir):
+    return E.failures(_nearest(spark, sf_dir), "pred", "truth")
+
+
+_SCORES = """round((tp + tn) / nullif(tp + tn + fp + fn, 0)::DOUBLE, 6) AS accuracy, coalesce(round(tp / nullif(tp + fp, 0)::DOUBLE, 6), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0)::DOUBLE, 6), 0) AS recall,
+    coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6), 0) AS f1"""
+_CELLS = "count(*) AS n, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 0) AS tn, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn"
+_SC = ["accuracy", "precision", "recall", "f1"]
+
+
+@query("eval_binary", f"WITH e AS (SELECT event_type AS operator, (event_id % 3 = 0)::INT AS t, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (value > 20)::INT END AS p FROM events), c AS (SELECT coalesce(operator, 'overall') AS operator, {_CELLS} FROM e GROUP BY GROUPING SETS ((), (operator))) SELECT *, {_SCORES} FROM c")
+def eval_binary(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("operator"), (F.col("event_id") % 3 == 0).cast("int").alias("t"), F.when(F.col("event_id") % 11 != 0, (F.col("value") > 20).cast("int")).alias("p"))
+    return _round(E.binary_metrics(e, "p", "t"), _SC)
+
+
+@query("eval_labels", f"WITH e AS (SELECT quality AS t, toxic AS p FROM labels), c AS (SELECT {_CELLS} FROM e) SELECT 'overall' AS operator, *, {_SCORES} FROM c")
+def eval_labels(spark, sf_dir):
+    e = read(spark, sf_dir, "labels").select(F.lit("labels").alias("operator"), F.col("quality").alias("t"), F.col("toxic").alias("p"))
+    return _round(E.binary_metrics(e, "p", "t").where("operator = 'overall'"), _SC)
+
+
+_TAUS = {"between": [1.0, 2.0, 2.5, 3.0, 4.0, 5.0], "aligned": [0.10, 0.15, 0.20, 0.25, 0.30, 0.40]}
+_GX, _GC = segment_sql("x", "a", "b"), segment_sql("c", "a", "b")
+_TV = ", ".join(f"('{o}', {t}::DOUBLE)" for o, ts in _TAUS.items() for t in ts)
+
+
+@query(
+    "tau_sweep",
+    f"""{objects_sql()}, g AS (SELECT 'between' AS operator, {_GX['t']} AS pos, {_GX['d']} AS d, (x.ord % 2)::INT AS t FROM v x JOIN v a ON a.scene_id = x.scene_id JOIN v b ON b.scene_id = a.scene_id AND a.ord < b.ord WHERE x.label_norm IN {_IN(T.FURNITURE)} AND a.label_norm IN {_IN(T.SURFACES)} AND b.label_norm IN {_IN(T.SURFACES)}
+        UNION ALL SELECT 'aligned', 0.0, {_GC['line']}, (c.ord % 2)::INT FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.ord < b.ord JOIN v c ON c.scene_id = b.scene_id AND b.ord < c.ord),
+    taus(operator, tau) AS (VALUES {_TV}), e AS (SELECT operator, tau, t, (d <= tau AND pos BETWEEN 0 AND 1)::INT AS p FROM g JOIN taus USING (operator)), c AS (SELECT operator, tau, {_CELLS} FROM e GROUP BY operator, tau) SELECT *, {_SCORES} FROM c""",
+)
+def tau_sweep(spark, sf_dir):
+    v = valid_objects(spark, sf_dir)
+    b = S.between_triples(v, F.col("label_norm").isin(T.FURNITURE), F.col("label_norm").isin(T.SURFACES)).select(F.lit("between").alias("operator"), G.segment_position_xy("x", "a", "b").alias("pos"), G.segment_distance_xy("x", "a", "b").alias("d"), (F.col("ord_x") % 2).alias("t"))
+    a = S.triples(v).select(F.lit("aligned").alias("operator"), F.lit(0.0).alias("pos"), G.line_distance_xy("c", "a", "b").alias("d"), (F.col("ord_c") % 2).alias("t"))
+    return _round(E.threshold_sweep(b.unionByName(a), "d", "t", _TAUS, F.col("pos").between(0, 1)), _SC)
+
+
+# Three raters: the quality label, the toxic label turned round, and one who misses every seventh item.
+_RATERS = "WITH r AS (SELECT doc_id, quality AS a1, 1 - toxic AS a2, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 5 > 0)::INT END AS a3, (doc_id % 3 > 0)::INT AS truth FROM labels), l AS (SELECT doc_id, unnest(['a1', 'a2', 'a3']) AS rater, unnest([a1, a2, a3]) AS vote FROM r), w AS (SELECT * FROM l WHERE vote IS NOT NULL)"
+
+
+def _raters(spark, sf_dir):
+    d = F.col("doc_id")
+    return read(spark, sf_dir, "labels").select(
+        "doc_id", F.col("quality").cast("int").alias("a1"), (1 - F.col("toxic")).cast("int").alias("a2"), F.when(d % 7 != 0, (d % 5 > 0).cast("int")).alias("a3"), (d % 3 > 0).cast("int").alias("truth")
+    )
+
+
+@query(
+    "kappa_pairs",
+    f"""{_RATERS}, p AS (SELECT x.rater AS rater_a, y.rater AS rater_b, count(*) AS n, avg((x.vote = y.vote)::INT) AS po, avg(x.vote) AS pa, avg(y.vote) AS pb FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.rater < y.rater GROUP BY ALL)
+    SELECT rater_a, rater_b, n, round(CASE WHEN pa * pb + (1 - pa) * (1 - pb) >= 1 THEN 1 ELSE (po - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) END, 6) AS kappa FROM p""",
+)
+def kappa_pairs(spark, sf_dir):
+    return _round(E.kappa_pairs(E.long_votes(_raters(spark, sf_dir), "doc_id", ["a1", "a2", "a3"]), "doc_id"), ["kappa"])
+
+
+@query("rater_accuracy", f"{_RATERS} SELECT rater, count(*) AS n, round(avg((vote = truth)::INT), 6) AS accuracy FROM w JOIN r USING (doc_id) GROUP BY rater")
+def rater_accuracy(spark, sf_dir):
+    r = _raters(spark, sf_dir)
+    return _round(E.rater_accuracy(E.long_votes(r, "doc_id", ["a1", "a2", "a3"]), r.select("doc_id", "truth"), "doc_id"), ["accuracy"])
+
+
+@query("majority_vote", f"{_RATERS} SELECT doc_id, CASE WHEN a1 + a2 + coalesce(a3, 0) > (2 + (a3 IS NOT NULL)::INT) / 2.0 THEN 1 ELSE 0 END AS majority, -1 AS nobody FROM r")
+def majority_vote(spark, sf_dir):
+    none = F.lit(None).cast("int")
+    return _raters(spark, sf_dir).select("doc_id", M.majority([F.col(c) for c in ("a1", "a2", "a3")]).alias("majority"), M.majority([none, none]).alias("nobody"))
+
+
+@query(
+    "grounding_decomposition",
+    f"""{_P}, q AS (SELECT e.*, hash_no % 3 AS k FROM (SELECT *, row_number() OVER (ORDER BY object_a, object_b) AS hash_no FROM e) e)
+    SELECT count(*) AS n, count(*) FILTER (k <> 1) AS n_computed, round(avg((k = 0)::INT), 6) AS grounding_accuracy, round(avg(CASE k WHEN 0 THEN abs(pred - truth) WHEN 2 THEN abs(pred + 1 - truth) END), 6) AS mae_total, round(avg(abs(pred - truth)), 6) AS mae_geometric,
+           round(avg(CASE k WHEN 0 THEN abs(pred - truth) WHEN 2 THEN abs(pred + 1 - truth) END) - avg(abs(pred - truth)), 6) AS delta_grounding FROM q""",
+)
+def grounding_decomposition(spark, sf_dir):
+    """Replies that ground a pair rightly (in either order), not at all, or wrongly with an error of one metre more."""
+    from pyspark.sql import Window
+
+    p = _pairs(spark, sf_dir).withColumn("k", F.row_number().over(Window.orderBy("object_a", "object_b")) % 3)
+    reply = F.when(F.col("k") == 0, F.concat("object_b", F.lit(", "), "object_a")).when(F.col("k") == 1, "I cannot tell").otherwise(F.concat("object_a", F.lit("; "), "object_a"))
+    p = p.withColumn("ids", T.extract_ids(reply, F.array("object_a", "object_b"), 2))
+    p = p.withColumn("grounded", T.unordered_match(F.col("ids")[0], F.col("ids")[1], F.col("object_a"), F.col("object_b")))
+    p = p.withColumn("total", F.when(F.col("grounded"), F.col("pred")).when(F.col("ids")[0].isNotNull(), F.col("pred") + 1))
+    return _round(E.decompose(p, "total", "pred", "truth", "grounded"), ["grounding_accuracy", "mae_total", "mae_geometric", "delta_grounding"])
+
+
+# ---- Statistics on a replicate axis: no SQL form, tested against exact bounds ----
+
+
+@query("bootstrap_distance")
+def bootstrap_distance(spark, sf_dir):
+    from ..operators.candidates import distance_candidates
+
+    v = valid_objects(spark, sf_dir)
+    p = clouds(spark, sf_dir, v)
+    return B.distance_ci(distance_candidates(v, p), p)
+
+
+@query("bootstrap_summary")
+def bootstrap_summary(spark, sf_dir):
+    return B.summarise(bootstrap_distance(spark, sf_dir))
+
+
+@query("bootstrap_nearest")
+def bootstrap_nearest(spark, sf_dir):
+    v = valid_objects(spark, sf_dir)
+    return B.nearest_stability(S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS), clouds(spark, sf_dir, v))
+
+
+@query("stratified_sample")
+def stratified_sample(spark, sf_dir):
+    """Ten events of each type, chosen by hash."""
+    return O.stratified_sample(read(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], "event_id", 10)
+
+
+@query("downsampled_points", f"{objects_sql()} SELECT object_id, least(count(*), 8) AS n FROM pts GROUP BY object_id")
+def downsampled_points(spark, sf_dir):
+    from .adapters import objects
+
+    return O.downsample(clouds(spark, sf_dir, objects(spark, sf_dir)), ["object_id"], "pt_idx", 8).groupBy("object_id").agg(F.count("*").alias("n"))
