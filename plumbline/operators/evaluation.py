@@ -52,6 +52,12 @@ def errors_by_range(df: DataFrame, pred: str, truth: str, method: str = "method"
     )
 
 
+def method_summary(df: DataFrame, pred: str, truth: str, method: str = "method") -> DataFrame:
+    """Valid and failed predictions and errors by method, one row a method."""
+    e = F.abs(F.col(pred) - F.col(truth))
+    return df.groupBy(method).agg(F.count("*").alias("n"), F.count(pred).alias("n_valid"), F.count_if(F.col(pred).isNull()).alias("n_failed"), F.avg(e).alias("mae"), F.median(e).alias("medae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+
+
 def long_votes(df: DataFrame, item: str, raters: list[str]) -> DataFrame:
     """(item, rater, vote), missing votes left out."""
     return df.unpivot([item], raters, "rater", "vote").where("vote IS NOT NULL")

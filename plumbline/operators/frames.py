@@ -49,14 +49,18 @@ def look_at(points: DataFrame, position: tuple, target: tuple, up: tuple, fov_de
     return out.withColumns({"u": F.when(seen, width / 2 + focal * F.try_divide(F.col("_r"), F.col("depth"))), "v": F.when(seen, height / 2 - focal * F.try_divide(F.col("_t"), F.col("depth")))}).drop("_r", "_t")
 
 
-def project_boxes(frames: DataFrame, boxes: DataFrame, scale: tuple[float, float], near: float = 0.1, far: float = 15.0) -> DataFrame:
+def project_boxes(frames: DataFrame, boxes: DataFrame, scale: tuple[float, float], near: float = 0.1, far: float = 15.0, bounds: tuple[int, int] | None = None) -> DataFrame:
     """Corners of each box in each frame of its scene, in corner order, if every corner lies between near and far; other boxes are left out.
 
+    bounds (width, height): corners must also lie within one image's size of the image, on each side.
     frames(scene_id, frame_idx, pose, fx, fy, cx, cy), boxes(scene_id, object_id, aabb_min_*, aabb_max_*).
     """
     corners = boxes.select("scene_id", "object_id", F.posexplode(G.box_corners("aabb_min", "aabb_max")).alias("corner", "p")).select("scene_id", "object_id", "corner", "p.*")
     seen = project(frames.join(corners, "scene_id"), near, scale)
-    packed = seen.groupBy("scene_id", "frame_idx", "object_id").agg(F.bool_and(F.col("u").isNotNull() & (F.col("depth") <= far)).alias("ok"), F.array_sort(F.collect_list(F.struct("corner", "u", "v"))).alias("corners"))
+    good = F.col("u").isNotNull() & (F.col("depth") <= far)
+    if bounds:
+        good = good & F.col("u").between(-bounds[0], 2 * bounds[0]) & F.col("v").between(-bounds[1], 2 * bounds[1])
+    packed = seen.groupBy("scene_id", "frame_idx", "object_id").agg(F.bool_and(F.coalesce(good, F.lit(False))).alias("ok"), F.array_sort(F.collect_list(F.struct("corner", "u", "v"))).alias("corners"))
     return packed.where("ok").drop("ok")
 
 

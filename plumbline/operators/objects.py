@@ -75,6 +75,13 @@ def aliases(objects: DataFrame) -> DataFrame:
     )
 
 
+def numbered_list(objects: DataFrame) -> DataFrame:
+    """Per scene the text that lists its objects for a model: a line "number: label -> id" each, by number. A scene's objects are tens."""
+    line = F.format_string("%d: %s -> %s", "number", "label_norm", "object_id")
+    each = aliases(objects).select("scene_id", F.struct("number", line.alias("line")).alias("s"))
+    return each.groupBy("scene_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n").alias("listing"))
+
+
 def relative_position(objects: DataFrame) -> DataFrame:
     """Which third of its scene's centroid range an object is in, on each axis."""
     names = {"x": ("left", "center", "right"), "y": ("front", "middle", "back"), "z": ("low", "mid-height", "high")}

@@ -101,3 +101,24 @@ def summary(df: DataFrame, by: str, column: str, values: list[str]) -> DataFrame
     """Counts by a pivoted column with a total, largest first."""
     out = df.groupBy(by).pivot(column, values).count().na.fill(0)
     return out.withColumn("total", sum((F.col(v) for v in values[1:]), F.col(values[0]))).orderBy(F.col("total").desc(), by)
+
+
+#: Keys that ground truth and predictions share.
+KEYS = ["query_id", "scene_id", "operator", "structured_query"]
+
+#: Replies that stand for a failed call (fixed values).
+ERRORS = ["RENDER_ERROR", "API_ERROR", "ERROR"]
+
+
+def join_predictions(truth: DataFrame, **methods: DataFrame) -> DataFrame:
+    """truth with the column ``pred`` of each method as pred_<method>; rows that every table has. Equal keys throughout, so each table is shuffled once."""
+    out = truth
+    for name, df in methods.items():
+        out = out.join(df.select(*KEYS, F.col("pred").alias(f"pred_{name}")), KEYS)
+    return out
+
+
+def without_errors(df: DataFrame, reply: str) -> DataFrame:
+    """Rows whose reply doesn't begin with the name of an error; missing replies stay."""
+    failed = F.col(reply).rlike("^(" + "|".join(ERRORS) + ")")
+    return df.where(~F.coalesce(failed, F.lit(False)))

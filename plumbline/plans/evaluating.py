@@ -65,6 +65,17 @@ def error_by_range(spark, sf_dir):
     return _round(E.errors_by_range(both, "pred", "truth"), ["mae", "medae", "rmse", "relative_pct"])
 
 
+@query(
+    "method_summary",
+    f"""{_P}, l AS (SELECT 'centroid' AS method, truth, pred FROM e UNION ALL SELECT 'partial', truth, CASE WHEN pred > 20 THEN NULL ELSE pred END FROM e)
+    SELECT method, count(*) AS n, count(pred) AS n_valid, count(*) - count(pred) AS n_failed, round(avg(abs(pred - truth)), 6) AS mae, round(median(abs(pred - truth)), 6) AS medae, round(sqrt(avg(pow(pred - truth, 2))), 6) AS rmse FROM l GROUP BY method""",
+)
+def method_summary(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("truth", "pred")
+    both = p.withColumn("method", F.lit("centroid")).unionByName(p.withColumns({"method": F.lit("partial"), "pred": F.when(F.col("pred") <= 20, F.col("pred"))}))
+    return _round(E.method_summary(both, "pred", "truth"), ["mae", "medae", "rmse"])
+
+
 def _nearest(spark, sf_dir):
     v = valid_objects(spark, sf_dir)
     c = S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS).withColumn("centroid_distance", G.distance_3d("a", "b"))
@@ -158,15 +169,14 @@ def majority_vote(spark, sf_dir):
 
 @query(
     "grounding_decomposition",
-    f"""{_P}, q AS (SELECT e.*, hash_no % 3 AS k FROM (SELECT *, row_number() OVER (ORDER BY object_a, object_b) AS hash_no FROM e) e)
+    f"""{_P}, q AS (SELECT *, (regexp_extract(object_a, '([0-9]+)$', 1)::INT + regexp_extract(object_b, '([0-9]+)$', 1)::INT) % 3 AS k FROM e)
     SELECT count(*) AS n, count(*) FILTER (k <> 1) AS n_computed, round(avg((k = 0)::INT), 6) AS grounding_accuracy, round(avg(CASE k WHEN 0 THEN abs(pred - truth) WHEN 2 THEN abs(pred + 1 - truth) END), 6) AS mae_total, round(avg(abs(pred - truth)), 6) AS mae_geometric,
            round(avg(CASE k WHEN 0 THEN abs(pred - truth) WHEN 2 THEN abs(pred + 1 - truth) END) - avg(abs(pred - truth)), 6) AS delta_grounding FROM q""",
 )
 def grounding_decomposition(spark, sf_dir):
     """Replies that ground a pair rightly (in either order), not at all, or wrongly with an error of one metre more."""
-    from pyspark.sql import Window
-
-    p = _pairs(spark, sf_dir).withColumn("k", F.row_number().over(Window.orderBy("object_a", "object_b")) % 3)
+    number = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("int")
+    p = _pairs(spark, sf_dir).withColumn("k", (number("object_a") + number("object_b")) % 3)
     reply = F.when(F.col("k") == 0, F.concat("object_b", F.lit(", "), "object_a")).when(F.col("k") == 1, "I cannot tell").otherwise(F.concat("object_a", F.lit("; "), "object_a"))
     p = p.withColumn("ids", T.extract_ids(reply, F.array("object_a", "object_b"), 2))
     p = p.withColumn("grounded", T.unordered_match(F.col("ids")[0], F.col("ids")[1], F.col("object_a"), F.col("object_b")))

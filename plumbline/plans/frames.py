@@ -61,7 +61,7 @@ _SCALED = f"trunc(({FOCAL} * px / pz + {W / 2}) * 0.5)::INT AS u, trunc(({FOCAL}
 _CORNERS = f""", k(n, a, b, d) AS (VALUES (0,0,0,0), (1,1,0,0), (2,1,1,0), (3,0,1,0), (4,0,0,1), (5,1,0,1), (6,1,1,1), (7,0,1,1)),
     bx AS (SELECT scene_id, object_id, n, CASE a WHEN 0 THEN aabb_min_x ELSE aabb_max_x END AS x, CASE b WHEN 0 THEN aabb_min_y ELSE aabb_max_y END AS y, CASE d WHEN 0 THEN aabb_min_z ELSE aabb_max_z END AS z FROM v, k),
     pc AS (SELECT fr.scene_id, frame_idx, object_id, n, {_cam('x', 'y', 'z')} FROM fr JOIN bx USING (scene_id)),
-    ok AS (SELECT scene_id, frame_idx, object_id FROM pc GROUP BY ALL HAVING bool_and(pz > 0.1 AND pz <= 45))"""
+    ok AS (SELECT scene_id, frame_idx, object_id FROM pc GROUP BY ALL HAVING bool_and(pz > 0.1 AND pz <= 95))"""
 
 
 @query("project_boxes", f"{_FR}{_CORNERS} SELECT scene_id, frame_idx, object_id, n AS corner, {_SCALED} FROM pc JOIN ok USING (scene_id, frame_idx, object_id)")
@@ -71,6 +71,14 @@ def project_boxes(spark, sf_dir):
     return b.select("scene_id", "frame_idx", "object_id", F.explode("corners").alias("k")).select("scene_id", "frame_idx", "object_id", "k.corner", "k.u", "k.v")
 
 
+@query("project_boxes_bounded", f"{_FR}{_CORNERS}, q AS (SELECT scene_id, frame_idx, object_id, n AS corner, {_SCALED} FROM pc JOIN ok USING (scene_id, frame_idx, object_id)) SELECT scene_id, frame_idx, object_id, min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM q GROUP BY ALL HAVING min(u) >= -320 AND max(u) <= 640 AND min(v) >= -240 AND max(v) <= 480")
+def project_boxes_bounded(spark, sf_dir):
+    v = valid_objects(spark, sf_dir)
+    b = R.project_boxes(_frames(v), v, (0.5, 0.5), far=95.0, bounds=(320, 240))
+    part = lambda f, k: f(F.transform("corners", lambda c: c[k]))
+    return b.select("scene_id", "frame_idx", "object_id", part(F.array_min, "u").alias("u0"), part(F.array_max, "u").alias("u1"), part(F.array_min, "v").alias("v0"), part(F.array_max, "v").alias("v1"))
+
+
 _PTS = f", pp AS (SELECT fr.scene_id, frame_idx, object_id, {_cam('x', 'y', 'z')} FROM fr JOIN pts USING (scene_id) WHERE object_id IN (SELECT object_id FROM v)), uv AS (SELECT scene_id, frame_idx, object_id, {FOCAL} * px / pz + {W / 2} AS u, {FOCAL} * py / pz + {H / 2} AS v FROM pp WHERE pz > 1e-6)"
 
 

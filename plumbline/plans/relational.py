@@ -286,3 +286,25 @@ def parse_yes_no(spark, sf_dir):
 @query("object_sort_order", f"{objects_sql()} SELECT scene_id, object_id, ord FROM v")
 def object_sort_order(spark, sf_dir):
     return O.valid(objects(spark, sf_dir)).select("scene_id", "object_id", "ord")
+
+
+@query(
+    "joined_predictions",
+    """SELECT o_orderkey AS query_id, o_custkey AS scene_id, o_orderstatus AS operator, o_orderpriority AS structured_query, o_totalprice AS truth, o_totalprice * 2 AS pred_a, o_totalprice + 1 AS pred_b FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0""",
+)
+def joined_predictions(spark, sf_dir):
+    """Two methods, each with answers to some of the questions, beside the truth."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("scene_id"), F.col("o_orderstatus").alias("operator"), F.col("o_orderpriority").alias("structured_query"), F.col("o_totalprice").alias("truth"))
+    a = o.where("query_id % 2 = 0").withColumn("pred", F.col("truth") * 2)
+    return R.join_predictions(o, a=a, b=o.where("query_id % 3 = 0").withColumn("pred", F.col("truth") + 1))
+
+
+@query("error_rows_dropped", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '2.5 m' END AS reply FROM events WHERE event_id % 4 < 2")
+def error_rows_dropped(spark, sf_dir):
+    reply = F.get(F.array(F.lit(None).cast("string"), F.lit("2.5 m"), F.lit("API_ERROR: timeout"), F.lit("RENDER_ERROR")), (F.col("event_id") % 4).cast("int"))
+    return R.without_errors(read(spark, sf_dir, "events").select("event_id", reply.alias("reply")), "reply")
+
+
+@query("numbered_list", f"{objects_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY label_norm, object_id) AS number FROM v) SELECT scene_id, string_agg(printf('%d: %s -> %s', number, label_norm, object_id), chr(10) ORDER BY number) AS listing FROM n GROUP BY scene_id")
+def numbered_list(spark, sf_dir):
+    return O.numbered_list(valid_objects(spark, sf_dir))
