@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +25,7 @@ class WordTokenizer:
     tokenizer as a whole.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,11 +45,14 @@ class WordTokenizer:
     def _piece(self, s: str) -> tuple[int, ...]:
         ids = self.pieces.get(s)
         if ids is None:
-            ids = self.pieces[s] = tuple(t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters)))
+            written = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[s] = tuple([t.id for t in self.model.tokenize(written)])
         return ids
 
-    def word(self, raw: bytes) -> list[int]:
+    def word(self, raw: bytes) -> Sequence[int]:
         s = raw.decode()
+        if s.isascii() and s.isalpha():
+            return self._piece(s.lower())
         if not PLAIN.fullmatch(s) or "İ" in s:
             return self.tokenizer.encode(s, add_special_tokens=False).ids
         return [i for p in _SPLIT.findall(s.lower()) for i in self._piece(p)]
