@@ -86,6 +86,35 @@ def table_lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: str
     return _to_rows(salted, salted.select(*keys, "_salt").distinct(), table, keys, "left")
 
 
+#: Bits of a slot bitmap come in rows of 32,768 (4 KB): Spark's bitmap functions work on such buckets.
+BUCKET_BITS = 32_768
+
+
+def shared_slots(keys: DataFrame, bitmap_bits: int) -> DataFrame:
+    """Bitmap (bucket, bits) of the hash slots that two rows or more fall into; at most bitmap_bits / 8 bytes whatever the input."""
+    slot = F.pmod(F.col("h"), F.lit(bitmap_bits))
+    shared = keys.groupBy(slot.alias("s")).agg(F.count("*").alias("n")).where("n > 1")
+    return shared.groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("bits"))
+
+
+def _bit(bits: Column, slot: Column) -> Column:
+    """Whether the slot's bit is set; false where the bucket has no bitmap."""
+    at = slot % BUCKET_BITS
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+
+
+def flag_slots(rows: DataFrame, bitmap: DataFrame, h: Column, name: str, bitmap_bits: int) -> DataFrame:
+    """rows plus whether two keys or more fall into their slot; the bitmap is broadcast (bitmap_bits / 8 bytes at most)."""
+    slot = F.pmod(h, F.lit(bitmap_bits))
+    return (
+        rows.withColumn("_slot", slot)
+        .join(F.broadcast(bitmap), F.expr("_slot div 32768") == F.col("bucket"), "left")
+        .withColumn(name, _bit(F.col("bits"), F.col("_slot")))
+        .drop("_slot", "bucket", "bits")
+    )
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is in ids (distinct, materialised). The ids are broadcast only if counted and few; else both sides are shuffled."""
     ids = ids.select(F.col(ids.columns[0]).alias(id_col))

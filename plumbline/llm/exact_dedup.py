@@ -2,39 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, group_lookup, materialize, without_ids
-
-#: Bits of a survivor bitmap come in rows of 32,768 (4 KB): Spark's bitmap functions work on such buckets.
-BUCKET_BITS = 32_768
-
-
-def _survivors(keys: DataFrame, bitmap_bits: int) -> DataFrame:
-    """Bitmap (bucket, bits) of the hash slots that two rows or more fall into; at most bitmap_bits / 8 bytes whatever the input."""
-    slot = F.pmod(F.col("h"), F.lit(bitmap_bits))
-    shared = keys.groupBy(slot.alias("s")).agg(F.count("*").alias("n")).where("n > 1")
-    return shared.groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("bits"))
-
-
-def _bit(bits: Column, slot: Column) -> Column:
-    """Whether the slot's bit is set; false where the bucket has no bitmap."""
-    at = slot % BUCKET_BITS
-    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-
-
-def _flag(rows: DataFrame, bitmap: DataFrame, h: Column, name: str, bitmap_bits: int) -> DataFrame:
-    """rows plus whether their slot survived; the bitmap is broadcast (bitmap_bits / 8 bytes at most)."""
-    slot = F.pmod(h, F.lit(bitmap_bits))
-    return (
-        rows.withColumn("_slot", slot)
-        .join(F.broadcast(bitmap), F.expr("_slot div 32768") == F.col("bucket"), "left")
-        .withColumn(name, _bit(F.col("bits"), F.col("_slot")))
-        .drop("_slot", "bucket", "bits")
-    )
-
+from .common import ascii_lower, flag_slots, group_lookup, materialize, shared_slots, without_ids
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False, prefix_chars: int = 256, bitmap_bits: int = 1 << 22, salts: int = 64) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, digest (binary SHA-256 of the normalised text).
@@ -51,11 +22,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     length = rows.withColumn("len", F.octet_length("t").cast("long"))
-    by_length = materialize(_survivors(length.select(F.xxhash64("len").alias("h")), bitmap_bits), "dedup-len")
-    second = _flag(length, by_length, F.xxhash64("len"), "s1", bitmap_bits)
+    by_length = materialize(shared_slots(length.select(F.xxhash64("len").alias("h")), bitmap_bits), "dedup-len")
+    second = flag_slots(length, by_length, F.xxhash64("len"), "s1", bitmap_bits)
     prefix = F.xxhash64(F.col("len"), ascii_lower(F.left(F.col("t"), F.lit(prefix_chars))))
-    by_prefix = materialize(_survivors(second.where("s1").select(prefix.alias("h")), bitmap_bits), "dedup-prefix")
-    third = _flag(second.withColumn("p", prefix), by_prefix, F.col("p"), "s2", bitmap_bits)
+    by_prefix = materialize(shared_slots(second.where("s1").select(prefix.alias("h")), bitmap_bits), "dedup-prefix")
+    third = flag_slots(second.withColumn("p", prefix), by_prefix, F.col("p"), "s2", bitmap_bits)
     survives = F.col("s1") & F.col("s2")
     full = F.unhex(F.sha2(ascii_lower(F.col("t")).cast("binary"), 256))
     hashed = materialize(third.select("id", survives.alias("survives"), full.alias("digest") if digest_all else F.when(survives, full).alias("digest")), "dedup-hash")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, table_lookup
+from .common import flag_slots, materialize, new_path, shared_slots, table_lookup
 
 #: The base kinds, their patterns, and the group and least length that a match must have.
 BASE_RULES = (
@@ -60,7 +60,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
 
 
-def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: Rules | None = None) -> DataFrame:
+def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: Rules | None = None, bitmap_bits: int = 1 << 22) -> DataFrame:
     """One row per version: the path columns, blob (SHA-256 of the content, binary), spans (ascending by start, then rule).
 
     versions: every historical version of every path, one row each. Contents are addressed by hash; of each blob that the
@@ -68,6 +68,9 @@ def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     (Parquet at ``ledger``; a fresh one in the shared folder if None). Findings then go to all paths of a blob. A
     run that dies before its append changes nothing, and one repeated after it scans nothing.
 
+    The content of a version goes through a shuffle only if its slot of a fixed-size bitmap (bitmap_bits / 8 bytes, broadcast) is
+    shared with another version or a seen blob.
+
     Null content counts as empty; null path columns and repeated rows keep their rows; other columns are ignored; an
     empty table gives no rows.
     """
@@ -78,16 +81,22 @@ def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     row_key = F.xxhash64(*[f"_k{i}" for i in range(len(path_cols))])
     history = materialize(keyed.select(*[f"_k{i}" for i in range(len(path_cols))], "_blob", row_key.alias("_row")), "history")
     seen = open_ledger(spark, ledger).where(F.col("rules") == rules.version)
-    unseen = history.groupBy("_blob").agg(F.min("_row").alias("_row")).join(seen.select(F.col("blob").alias("_blob")), "_blob", "left_anti")
-    unseen = materialize(unseen, "unseen")
+    slot = F.xxhash64("_blob")
+    # slots that hold one version and nothing seen: such a version is scanned where it is, without a shuffle of its content
+    bitmap = materialize(shared_slots(history.select(slot.alias("h")).unionAll(seen.select(F.xxhash64("blob").alias("h"))), bitmap_bits), "ledger-slots")
+    unseen = flag_slots(history, bitmap, slot, "_shared", bitmap_bits).where("_shared").groupBy("_blob").agg(F.min("_row").alias("_row"))
+    unseen = materialize(unseen.join(seen.select(F.col("blob").alias("_blob")), "_blob", "left_anti"), "unseen")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"blob": b["_blob"], "spans": [[dict(zip(("start", "rule", "end", "kind", "base"), s, strict=True)) for s in rules.find(t)] for t in b["_t"]]})
 
-    # one version of each unseen blob, its content dealt by blob; versions of one path with one content are the same row twice
-    todo = keyed.withColumn("_row", row_key).join(unseen.hint("shuffle_hash"), ["_blob", "_row"], "left_semi")
-    found = todo.select("_blob", "_t").mapInPandas(find, f"blob binary, spans {SPANS}").dropDuplicates(["blob"])
+    flagged = flag_slots(keyed.withColumn("_row", row_key), bitmap, slot, "_shared", bitmap_bits)
+    schema = f"blob binary, spans {SPANS}"
+    alone = flagged.where("NOT _shared").select("_blob", "_t").mapInPandas(find, schema)
+    # of the others one version of each unseen blob; versions of one path with one content are the same row twice
+    chosen = flagged.where("_shared").join(unseen.hint("shuffle_hash"), ["_blob", "_row"], "left_semi").select("_blob", "_t")
+    found = alone.unionByName(chosen.mapInPandas(find, schema).dropDuplicates(["blob"]))
     found.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = open_ledger(spark, ledger).where((F.col("rules") == rules.version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
     out = table_lookup(history, known, ["_blob"], spread="_row")
