@@ -35,70 +35,57 @@ def triples(objects: DataFrame) -> DataFrame:
     return pairs(objects).join(side(objects, "c"), "scene_id").where("ord_b < ord_c")
 
 
-def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 4) -> DataFrame:
+def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6) -> DataFrame:
     """pairs_(object_a, object_b, ...) plus surface_distance: the least distance of a point of one object to one of the other.
 
-    points(object_id, x, y, z). An object without points gives no row. Each distinct pair is computed once. Strategies, all exact:
-    "exploded" joins the pair list with both clouds and takes the least squared distance; "pruned" first takes an upper
-    bound from ``probes`` points a side and then joins only points that are that near to the other object's box; "arrow" ships each
-    pair's packed clouds to numpy, for few pairs of dense clouds.
+    points(object_id, x, y, z). An object without points gives no row. Each distinct pair is computed once. Clouds are packed, a row an
+    object, and meet the pair list in two joins; point pairs are then made and reduced to one row a pair within each task, so
+    none of them is shuffled. Strategies, all exact: "exploded" takes all point pairs; "pruned" first takes an upper bound from
+    ``probes`` points a side and drops the points that are further than it from the other cloud's box; "arrow" leaves a pair's clouds to numpy.
     """
     p = points.select("object_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    todo = pairs_.select("object_a", "object_b").distinct()
-    a = p.select(F.col("object_id").alias("object_a"), *[F.col(k).alias(f"a_{k}") for k in "xyz"])
-    b = p.select(F.col("object_id").alias("object_b"), *[F.col(k).alias(f"b_{k}") for k in "xyz"])
+    bounds = [f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))] if strategy == "pruned" else []
+    packed = p.groupBy("object_id").agg(F.collect_list(F.struct("x", "y", "z")).alias("cloud"), *bounds)
+    named = lambda s: packed.select(*[F.col(c).alias("object_" + s if c == "object_id" else f"{s}_{c}") for c in packed.columns])
+    keys = ["object_a", "object_b"]
+    both = pairs_.select(*keys).distinct().join(named("a"), "object_a").join(named("b"), "object_b")
     if strategy == "arrow":
-        found = _arrow_distance(todo, p)
-    else:
+        found = both.mapInPandas(_least_by_numpy, "object_a string, object_b string, surface_distance double")
+    elif strategy in ("exploded", "pruned"):
         if strategy == "pruned":
-            a, b, todo = _prune(todo, p, a, b, probes)
-        elif strategy != "exploded":
-            raise ValueError(f"unknown strategy {strategy!r}")
-        keys = ["object_a", "object_b"]
-        joined = a.join(b, keys) if strategy == "pruned" else todo.join(a, "object_a").join(b, "object_b")
-        d2 = sum((G.sq(F.col(f"a_{k}") - F.col(f"b_{k}")) for k in "yz"), G.sq(F.col("a_x") - F.col("b_x")))
-        found = joined.groupBy(*keys).agg(F.sqrt(F.min(d2)).alias("surface_distance"))
-    return pairs_.join(found, ["object_a", "object_b"])
-
-
-def _prune(todo: DataFrame, p: DataFrame, a: DataFrame, b: DataFrame, probes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Points of each side, by pair, that are within the pair's upper bound of the other side's box."""
-    chosen = _extremes()[:probes]
-    bounds = [f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))]
-    box = p.groupBy("object_id").agg(*bounds, F.array(*[F.min_by(F.struct("x", "y", "z"), s) for s in chosen]).alias("probe"))
-    named = lambda s: box.select(F.col("object_id").alias(f"object_{s}"), *[F.col(f"{n}_{k}").alias(f"{s}_{n}_{k}") for k in "xyz" for n in ("min", "max")], F.col("probe").alias(f"{s}_probe"))
-    d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
-    bound = F.array_min(F.transform("a_probe", lambda u: F.array_min(F.transform("b_probe", lambda v: d2(u, v)))))
-    todo = todo.join(named("a"), "object_a").join(named("b"), "object_b").withColumn("bound", bound * (1 + 1e-9)).drop("a_probe", "b_probe")
-
-    def near(s: str, other: str, cloud: DataFrame) -> DataFrame:
-        gaps = [F.greatest(F.lit(0.0), F.col(f"{other}_min_{k}") - F.col(f"{s}_{k}"), F.col(f"{s}_{k}") - F.col(f"{other}_max_{k}")) for k in "xyz"]
-        return todo.join(cloud, f"object_{s}").where(G.sq(gaps[0]) + G.sq(gaps[1]) + G.sq(gaps[2]) <= F.col("bound")).select("object_a", "object_b", *[f"{s}_{k}" for k in "xyz"])
-
-    return near("a", "b", a), near("b", "a", b), todo
+            both = _near_points(both, probes)
+        d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
+        each = both.select(*keys, F.explode("a_cloud").alias("u"), "b_cloud").select(*keys, "u", F.explode("b_cloud").alias("v"))
+        found = each.groupBy(*keys).agg(F.sqrt(F.min(d2(F.col("u"), F.col("v")))).alias("surface_distance"))
+    else:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return pairs_.join(found, keys)
 
 
-def _extremes() -> list[Column]:
-    """Orders by which probe points are chosen: extremes along the axes and the diagonals."""
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    return [x, -x, y, -y, z, -z, x + y + z, -(x + y + z)]
+def _near_points(both: DataFrame, probes: int) -> DataFrame:
+    """Of each cloud only the points within the pair's upper bound of the other's box: the closest two are always among them."""
+    d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
+    few = lambda s: F.slice(f"{s}_cloud", 1, probes)
+    both = both.withColumns({"_pa": few("a"), "_pb": few("b")})
+    bound = F.array_min(F.transform("_pa", lambda u: F.array_min(F.transform("_pb", lambda v: d2(u, v)))))
+    both = both.withColumn("_bound", bound * (1 + 1e-9))
 
+    def near(s: str, other: str) -> Column:
+        gap = lambda u, k: F.greatest(F.lit(0.0), F.col(f"{other}_min_{k}") - u[k], u[k] - F.col(f"{other}_max_{k}"))
+        return F.filter(f"{s}_cloud", lambda u: G.sq(gap(u, "x")) + G.sq(gap(u, "y")) + G.sq(gap(u, "z")) <= F.col("_bound"))
 
-def _arrow_distance(todo: DataFrame, p: DataFrame, block: int = 2048) -> DataFrame:
-    packed = p.groupBy("object_id").agg(F.collect_list(F.array("x", "y", "z")).alias("cloud"))
-    both = todo.join(packed.select(F.col("object_id").alias("object_a"), F.col("cloud").alias("ca")), "object_a").join(packed.select(F.col("object_id").alias("object_b"), F.col("cloud").alias("cb")), "object_b")
+    return both.select("object_a", "object_b", near("a", "b").alias("a_cloud"), near("b", "a").alias("b_cloud"))
 
-    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
 
-        for x in batches:
-            out = []
-            for u, v in zip(x["ca"], x["cb"], strict=True):
-                u, v = sorted((np.stack(u), np.stack(v)), key=len)
-                out.append(min(float(((u[:, None, :] - v[None, i : i + block, :]) ** 2).sum(axis=2).min()) for i in range(0, len(v), block)) ** 0.5)
-            yield pd.DataFrame({"object_a": x["object_a"], "object_b": x["object_b"], "surface_distance": out})
+def _least_by_numpy(batches: Iterator[pd.DataFrame], block: int = 2048) -> Iterator[pd.DataFrame]:
+    import numpy as np
 
-    return both.mapInPandas(least, "object_a string, object_b string, surface_distance double")
+    for x in batches:
+        out = []
+        for a, b in zip(x["a_cloud"], x["b_cloud"], strict=True):
+            u, v = sorted((np.array([(q["x"], q["y"], q["z"]) for q in c]) for c in (a, b)), key=len)
+            out.append(min(float(((u[:, None, :] - v[None, i : i + block, :]) ** 2).sum(axis=2).min()) for i in range(0, len(v), block)) ** 0.5)
+        yield pd.DataFrame({"object_a": x["object_a"], "object_b": x["object_b"], "surface_distance": out})
 
 
 def reference_candidates(objects: DataFrame, references: Column, target_labels: list[str], exclude_reference: bool = True) -> DataFrame:
