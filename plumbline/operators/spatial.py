@@ -35,14 +35,17 @@ def triples(objects: DataFrame) -> DataFrame:
     return pairs(objects).join(side(objects, "c"), "scene_id").where("ord_b < ord_c")
 
 
-def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6) -> DataFrame:
+def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6, cell: float = 0.5) -> DataFrame:
     """pairs_(object_a, object_b, ...) plus surface_distance: the least distance of a point of one object to one of the other.
 
     points(object_id, x, y, z). An object without points gives no row. Each distinct pair is computed once. Clouds are packed, a row an
     object, and meet the pair list in two joins; point pairs are then made and reduced to one row a pair within each task, so
     none of them is shuffled. Strategies, all exact: "exploded" takes all point pairs; "pruned" first takes an upper bound from
-    ``probes`` points a side and drops the points that are further than it from the other cloud's box; "arrow" leaves a pair's clouds to numpy.
+    ``probes`` points a side and drops the points that are further than it from the other cloud's box; "arrow" leaves a pair's clouds to numpy;
+    "grid" is for clouds too large for one row: they are packed by cells of side ``cell``, and only cells that can hold the closest two meet.
     """
+    if strategy == "grid":
+        return pairs_.join(_grid_distance(pairs_.select("object_a", "object_b").distinct(), points, cell), ["object_a", "object_b"])
     p = points.select("object_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
     bounds = [f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))] if strategy == "pruned" else []
     packed = p.groupBy("object_id").agg(F.collect_list(F.struct("x", "y", "z")).alias("cloud"), *bounds)
@@ -77,6 +80,22 @@ def _near_points(both: DataFrame, probes: int) -> DataFrame:
     return both.select("object_a", "object_b", near("a", "b").alias("a_cloud"), near("b", "a").alias("b_cloud"))
 
 
+def _grid_distance(todo: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """Branch and bound over cells: a pair's bound is the least distance of two cells' first points; cells whose boxes are further apart are out."""
+    p = points.select("object_id", *[F.col(k).cast("double") for k in "xyz"], F.array(*[F.floor(F.col(k) / cell) for k in "xyz"]).alias("cell"))
+    blocks = p.groupBy("object_id", "cell").agg(F.collect_list(F.struct("x", "y", "z")).alias("cloud"), F.min(F.struct("x", "y", "z")).alias("first"), *[f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))])
+    name = lambda s, df: df.select(*[F.col(c).alias(("object_" + s) if c == "object_id" else f"{s}_{c}") for c in df.columns])
+    heads, clouds = blocks.drop("cloud"), blocks.select("object_id", "cell", "cloud")
+    keys = ["object_a", "object_b"]
+    d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
+    cells = todo.join(name("a", heads), "object_a").join(name("b", heads), "object_b").withColumn("_d2", d2(F.col("a_first"), F.col("b_first")))
+    bound = cells.groupBy(*keys).agg((F.min("_d2") * (1 + 1e-9)).alias("_bound"))
+    near = cells.join(bound, keys).where(G.sq(G.box_gap("a", "b")) * (1 - 1e-9) <= F.col("_bound")).select(*keys, "a_cell", "b_cell")
+    both = near.join(name("a", clouds), ["object_a", "a_cell"]).join(name("b", clouds), ["object_b", "b_cell"])
+    each = both.select(*keys, F.explode("a_cloud").alias("u"), "b_cloud").select(*keys, "u", F.explode("b_cloud").alias("v"))
+    return each.groupBy(*keys).agg(F.sqrt(F.min(d2(F.col("u"), F.col("v")))).alias("surface_distance"))
+
+
 def _least_by_numpy(batches: Iterator[pd.DataFrame], block: int = 2048) -> Iterator[pd.DataFrame]:
     import numpy as np
 

@@ -54,14 +54,14 @@ def distance_centroid(spark, sf_dir):
 def _surface(strategy):
     def run(spark, sf_dir):
         v = valid_objects(spark, sf_dir)
-        d = S.surface_distance(S.pairs(v), clouds(spark, sf_dir, v), strategy)
+        d = S.surface_distance(S.pairs(v), clouds(spark, sf_dir, v), strategy, cell=20.0)
         return d.select("scene_id", "object_a", "object_b", F.round("surface_distance", 6).alias("distance_m"))
 
     return run
 
 
 _SURF = f"{objects_sql()}{SURFACE_SQL} {_PAIR}, round(s.d, 6) AS distance_m {_AB} JOIN surf s ON s.object_a = a.object_id AND s.object_b = b.object_id"
-for _name, _strategy in (("distance_surface", "pruned"), ("distance_surface_exploded", "exploded"), ("distance_surface_arrow", "arrow")):
+for _name, _strategy in (("distance_surface", "pruned"), ("distance_surface_exploded", "exploded"), ("distance_surface_arrow", "arrow"), ("distance_surface_grid", "grid")):
     query(_name, _SURF)(_surface(_strategy))
 
 _BT = "FROM v x JOIN v a ON a.scene_id = x.scene_id JOIN v b ON b.scene_id = a.scene_id AND a.ord < b.ord"
