@@ -58,7 +58,8 @@ def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "prun
         if strategy == "pruned":
             both = _near_points(both, probes)
         d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
-        each = both.select(*keys, F.explode("a_cloud").alias("u"), "b_cloud").select(*keys, "u", F.explode("b_cloud").alias("v"))
+        # outer: no cloud is empty, and a plain explode would infer filters that work out the pruning again for each point
+        each = both.select(*keys, F.explode_outer("a_cloud").alias("u"), "b_cloud").select(*keys, "u", F.explode_outer("b_cloud").alias("v"))
         found = each.groupBy(*keys).agg(F.sqrt(F.min(d2(F.col("u"), F.col("v")))).alias("surface_distance"))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")

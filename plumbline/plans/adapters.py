@@ -28,7 +28,7 @@ def points(spark: SparkSession, sf_dir: str, most: int = 21) -> DataFrame:
         F.get(F.array(*map(F.lit, RAW)), F.pmod("label", F.lit(10))).alias("label_raw"),
         F.expr(f"transform(sequence(0, least({most}, IF(vec_id % 7 = 0, 5, 21)) - 1), i -> struct(100D * CAST(embedding[3 * i] AS DOUBLE) AS x, 100D * CAST(embedding[3 * i + 1] AS DOUBLE) AS y, 100D * CAST(embedding[3 * i + 2] AS DOUBLE) AS z))").alias("p"),
     )
-    return e.select("scene_id", "instance_id_raw", "label_raw", F.posexplode("p").alias("pt_idx", "q")).select("scene_id", "instance_id_raw", "label_raw", "pt_idx", "q.*")
+    return e.select("scene_id", "instance_id_raw", "label_raw", F.posexplode_outer("p").alias("pt_idx", "q")).select("scene_id", "instance_id_raw", "label_raw", "pt_idx", "q.*")
 
 
 def objects(spark: SparkSession, sf_dir: str, most: int = 21, min_points: int = MIN_POINTS, min_points_monitor: int = MIN_POINTS_MONITOR) -> DataFrame:
