@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,27 @@ from .common import group_lookup, materialize
 MAX_ROUNDS = 60
 
 
+def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Node and smallest node of its component, for the nodes of the links (a, b) that aren't their own root."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        while not np.array_equal(jump := new[new], new):
+            new = jump
+        if np.array_equal(new, root):
+            break
+        root = new
+    far = root != np.arange(len(nodes))
+    return nodes[far], nodes[root[far]]
+
+
 def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 

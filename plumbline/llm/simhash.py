@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table_lookup, without_ids
-from .components import components
+from .components import components, local_roots
+from .shingles import band_keys, set_id, shingle_set, similar_links
 
 #: Shingles whose hashes are held at once.
 BLOCK = 1 << 15
@@ -40,15 +41,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(a)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(id, fp) of every row, fp as a signed long; one pass over whole texts."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bands: bool = False) -> DataFrame:
+    """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also sh and keys (see shingles)."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t, words) for t in x["t"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": x["id"].astype("Int64"), "fp": fp})
+            out = pd.DataFrame({"id": x["id"].astype("Int64"), "fp": fp})
+            if bands:
+                sets = [shingle_set(t) for t in x["t"]]
+                out["sh"], out["keys"] = [set_id(s) for s in sets], [band_keys(s) for s in sets]
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(hashed, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(hashed, "id long, fp long" + ", sh long, keys array<long>" * bands)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -65,27 +70,6 @@ def checksum(v: np.ndarray, bits: int) -> np.ndarray:
     return out & ((1 << bits) - 1)
 
 
-def _local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node and smallest node of its component, for the nodes of the links (a, b) that aren't their own root."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        while not np.array_equal(jump := new[new], new):
-            new = jump
-        if np.array_equal(new, root):
-            break
-        root = new
-    far = root != np.arange(len(nodes))
-    return nodes[far], nodes[root[far]]
-
-
 def meet(fps: np.ndarray, nodes: np.ndarray, radius: int, bits: int, part: int, part_bits: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among distinct fingerprints by the variants whose checksum of part_bits bits is part.
 
@@ -121,7 +105,7 @@ def meet(fps: np.ndarray, nodes: np.ndarray, radius: int, bits: int, part: int,
         found.append((nodes[pair[0][close]], nodes[pair[1][close]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return _local_roots(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
+    return local_roots(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
 
 
 def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 8_000_000, block: int = 2_000_000) -> DataFrame:
@@ -163,19 +147,23 @@ def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 8_000_
     return distinct.mapInPandas(deal, "part int, rows binary").groupBy("part").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
     """Per document: id, fp (signed long), component_id (the smallest id reachable over links, itself included).
 
-    Two documents are linked if their fingerprints differ in at most max_bits bits. Copies share a fingerprint and count
+    Two documents are linked if their fingerprints differ in at most max_bits bits, and with ``similarity`` also if their
+    sets of five-word shingles have at least that Jaccard similarity (verified on whole texts). Copies share a fingerprint and count
     once in the search, so a group of copies costs one row. Texts without words have fingerprint 0 and link like any other.
     Null text counts as empty. Rows with a null id take the component of the other rows with their fingerprint, or null;
     they link nothing themselves. Rows with a repeated id are judged by their own texts. Ids must fit a long; other columns are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    rows = materialize(fingerprints(docs, id_col, text_col, words, similarity is not None), "fingerprints")
     nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    roots = components(links(nodes, nodes.count(), max_bits))
+    pairs = links(nodes, nodes.count(), max_bits)
+    if similarity is not None:
+        pairs = pairs.unionByName(similar_links(docs, rows, nodes, id_col, text_col, similarity=similarity))
+    roots = components(pairs)
     table = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = table_lookup(rows, materialize(table, "components"), ["fp"], spread="id")
+    out = table_lookup(rows.select("id", "fp"), materialize(table, "components"), ["fp"], spread="id")
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
