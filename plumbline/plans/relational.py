@@ -235,8 +235,8 @@ def object_id_parts(spark, sf_dir):
 
 @query("slugs", "WITH t AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(coalesce(text, ''), 1, 300)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'query' ELSE s END AS slug FROM t")
 def slugs(spark, sf_dir):
-    """Slugs of documents' titles: the first 300 characters."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring(F.coalesce("text", F.lit("")), 1, 300)).alias("slug"))
+    """Slugs of documents' whole texts. The SQL reads 300 characters: it differs where those make a slug of under 80."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.slugify(F.coalesce("text", F.lit(""))).alias("slug"))
 
 
 @query("collapsed_text", "SELECT conv_id, turn, regexp_replace(trim(lower(text), E' \\n\\t\\r'), '\\s+', ' ', 'g') AS t FROM conversations")
