@@ -175,13 +175,27 @@ def review_final(spark, sf_dir):
     SELECT *, '' AS review_keep, printf('dev_q_%04d', row_number() OVER (ORDER BY operator, k) - 1) AS query_id FROM u""",
 )
 def master_queries(spark, sf_dir):
-    """Questions of two kinds with different columns in one table, missing columns null, with running ids."""
-    d = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.lit("distance").alias("operator"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("d"))
-    n = read(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.lit("nearest").alias("operator"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("c"))
+    """As master_queries_whole, of the orders and customers that the SQL takes: a third and a fifth."""
+    return _master(read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), read(spark, sf_dir, "customer").where("c_custkey % 5 = 0"))
+
+
+def _master(orders, customers):
+    d = orders.select(F.lit("distance").alias("operator"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("d"))
+    n = customers.select(F.lit("nearest").alias("operator"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("c"))
     both = R.conform(d.unionByName(n, allowMissingColumns=True), {"review_keep": F.lit(""), "c": F.lit("never")})
     return R.with_row_id(both, "dev_q_", ["k"], scope="operator")
 
 
+@query(
+    "master_queries_whole",
+    """WITH u AS (SELECT 'distance' AS operator, o_orderkey AS k, o_totalprice AS d, NULL AS c FROM orders UNION ALL SELECT 'nearest', c_custkey, NULL, c_mktsegment FROM customer)
+    SELECT *, '' AS review_keep, printf('dev_q_%04d', row_number() OVER (ORDER BY operator, k) - 1) AS query_id FROM u""",
+)
+def master_queries_whole(spark, sf_dir):
+    """Questions of two kinds, of all orders and all customers, with different columns in one table, missing columns null, with running ids."""
+    return _master(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
+
+
 @query("op_scene_summary", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("click", "view", "error")) + ", count(*) FILTER (event_type IN ('click', 'view', 'error')) AS total FROM events GROUP BY user_id")
 def op_scene_summary(spark, sf_dir):
     return R.summary(read(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "error"])
