@@ -140,12 +140,26 @@ def matches(text: Column, pattern: str, block: int = 64) -> Column:
     return F.transform(F.array(packed), spans)[0]
 
 
+def settle(d: DataFrame) -> DataFrame:
+    """Of the spans in x (ascending by start) those that overlap no better one: of a higher score, or the same and a lower kind_no.
+
+    Each span meets four neighbours on each side. A span further away overlaps only if the earlier of the two is long, that is,
+    reaches over the start of the fifth span after it; long spans (y) meet all.
+    """
+    better = "e -> e.start < c.end AND c.start < e.end AND (e.score > c.score OR (e.score = c.score AND e.kind_no < c.kind_no))"
+    long = "coalesce(get(x, i + 5).start < c.end, false)"
+    d = d.withColumn("y", F.expr(f"IF(size(x) < 6, slice(x, 1, 0), filter(x, (c, i) -> {long}))"))
+    near = f"filter(x, (c, i) -> NOT exists(slice(x, greatest(1, i - 3), 9), {better}))"
+    whole = f"filter(x, (c, i) -> NOT exists(slice(x, greatest(1, i - 3), 9), {better}) AND NOT exists(y, {better}) AND NOT ({long} AND exists(x, {better})))"
+    return d.withColumn("x", F.expr(f"CASE WHEN size(x) = 0 THEN x WHEN size(y) = 0 THEN {near} ELSE {whole} END")).drop("y")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.97) -> DataFrame:
     """Per document: id and spans, an array of (start, kind_no, end, kind, base) in code points, ascending, end exclusive.
 
     Base kinds (email, ip, card, phone) are the leftmost non-overlapping matches that pass their rule. Further kinds (ssn, iban,
     tel, masked) are selected by the trees at a threshold for ``precision`` by kind, unless they overlap a base span or
-    a better one of up to four neighbours. Null and empty texts have no spans; rows are judged one by one, so repeated rows and null ids
+    a better one. Null and empty texts have no spans; rows are judged one by one, so repeated rows and null ids
     change nothing; other columns are ignored. One pass, no shuffle.
     """
     trees, limits = model(precision=precision)
@@ -167,8 +181,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
     d = d.select("id", F.expr(f"array_sort(concat({', '.join(base)}))").alias("b"), F.expr(f"array_sort(concat({', '.join(more)}))").alias("x"))
     free = "filter(x, c -> NOT exists(b, e -> e.start < c.end AND c.start < e.end))"
     d = d.withColumn("x", F.expr(f"IF(size(x) = 0, x, {free})"))
-    best = "filter(x, (c, i) -> NOT exists(slice(x, greatest(1, i - 3), 9), e -> e.start < c.end AND c.start < e.end AND (e.score > c.score OR (e.score = c.score AND e.kind_no < c.kind_no))))"
-    d = d.withColumn("x", F.expr(f"IF(size(x) = 0, x, {best})"))
+    d = settle(d)
     return d.select(F.col("id").alias(id_col), F.expr("transform(IF(size(x) = 0, b, array_sort(concat(b, x))), s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind, 'base', s.base))").alias("spans"))
 
 

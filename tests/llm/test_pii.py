@@ -4,7 +4,7 @@ import re
 import numpy as np
 
 from plumbline.llm.boosting import boost, calibrated_thresholds, predict
-from plumbline.llm.pii import GENERATORS, _example, model, redact, scan
+from plumbline.llm.pii import GENERATORS, _example, model, redact, scan, settle
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -74,3 +74,16 @@ def test_boosting_learns_an_interaction():
 
 def test_empty_table(frame):
     assert scan(frame([])).collect() == []
+
+
+def test_overlaps_beyond_neighbours_are_settled(spark):
+    schema = "id int, x array<struct<start: int, kind_no: int, end: int, kind: string, base: boolean, score: double>>"
+    rng = random.Random(9)
+    rows = [(0, [(0, 7, 400, "masked", False, 0.5)] + [(20 * i, 4, 20 * i + 11, "ssn", False, 0.4 + 0.01 * i) for i in range(1, 20)])]
+    for n in range(1, 60):
+        starts = sorted(rng.choices(range(120), k=rng.randint(0, 25)))
+        rows.append((n, sorted((s, k, s + rng.choice([3, 8, 60]), "k", False, rng.choice([0.2, 0.5, 0.9])) for k, s in enumerate(starts))))
+    got = {r.id: [tuple(s) for s in r.x] for r in settle(spark.createDataFrame(rows, schema)).collect()}
+    for n, x in rows:
+        beats = lambda e, c: e[0] < c[2] and c[0] < e[2] and (e[5] > c[5] or (e[5] == c[5] and e[1] < c[1]))
+        assert got[n] == [c for c in x if not any(beats(e, c) for e in x)]
