@@ -210,6 +210,9 @@ def items_digest(items: list[str]) -> str:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without contaminated rows; all columns and all other rows stay as they are. Rows with a null id stay."""
+    """docs without contaminated rows; all columns and all other rows stay as they are. Rows with a null id stay.
+
+    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text.
+    """
     bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(id_col).distinct()
     return without_ids(docs, materialize(bad, "contaminated"), id_col)

@@ -37,7 +37,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each group of equal texts (see exact_dedup); all columns stay."""
+    """docs with one row of each group of equal texts (see exact_dedup); all columns stay.
+
+    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text, and rows with a null id stay, as do all of fully repeated rows that are kept.
+    """
     out = exact_dedup(docs, id_col, text_col, **options)
     return without_ids(docs, materialize(out.where("NOT kept").select(id_col).distinct(), "dedup-dropped"), id_col)
 

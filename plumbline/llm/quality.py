@@ -165,6 +165,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose predicted quality is 0; all columns stay. Rows with a null id stay."""
+    """docs without the rows whose predicted quality is 0; all columns stay. Rows with a null id stay.
+
+    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text.
+    """
     bad = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 0").select(id_col).distinct()
     return without_ids(docs, materialize(bad, "rejected"), id_col)

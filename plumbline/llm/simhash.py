@@ -168,6 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component; all columns stay."""
+    """docs with one document, that of the smallest id, of each component; all columns stay.
+
+    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text, and rows with a null id stay, as do all of fully repeated rows that are kept.
+    """
     out = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id"))
     return without_ids(docs, materialize(out.select(id_col).distinct(), "near-dropped"), id_col)
