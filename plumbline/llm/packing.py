@@ -21,15 +21,15 @@ class WordTokenizer:
     """Token ids of texts by a tokenizers file, word by word with a memo.
 
     Blanks always end a token of such a vocabulary, so a text's ids are those of its blank-separated words in turn. A word
-    of ASCII and Latin letters below U+017F is split here and only its pieces go to the BPE model; any other word goes through the
-    tokenizer as a whole.
+    of ASCII and Latin letters below U+017F is split here and only its pieces go to the BPE model; any other word, and a word
+    that holds a literal of an added token, goes through the tokenizer as a whole.
     """
 
     def __init__(self, path: str, memo_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.memo_words = self.tokenizer.model, memo_words
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -53,7 +53,7 @@ class WordTokenizer:
         s = raw.decode()
         if s.isascii() and s.isalpha():
             return self._piece(s.lower())
-        if not PLAIN.fullmatch(s) or "İ" in s:
+        if not PLAIN.fullmatch(s) or "İ" in s or any(a in s for a in self.added):
             return self.tokenizer.encode(s, add_special_tokens=False).ids
         return [i for p in _SPLIT.findall(s.lower()) for i in self._piece(p)]
 

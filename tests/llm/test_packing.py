@@ -2,6 +2,7 @@ import itertools
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -13,15 +14,24 @@ from plumbline.llm.packing import WordTokenizer, nnls, pack, patterns, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
+
+
+@lru_cache(maxsize=1)
+def _kept():
+    return WordTokenizer(PATH)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aA'sdtl ll,.1² ½ªºİſΣσς中́̌\n\t\x1c\xa0")), max_size=40))
 def test_word_ids_equal_the_tokenizer(text):
-    tokenizer = WordTokenizer(PATH) if not hasattr(test_word_ids_equal_the_tokenizer, "kept") else test_word_ids_equal_the_tokenizer.kept
-    test_word_ids_equal_the_tokenizer.kept = tokenizer
-    assert tokenizer.ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+    assert _kept().ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|", "|>", "endoftext", "Hello", "ß", " ", "\n", "'s", "42", "<|ENDOFTEXT|>"]), max_size=12))
+def test_literals_of_added_tokens(parts):
+    text = "".join(parts)
+    assert _kept().ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
 def test_patterns_fill_the_window():
@@ -60,7 +70,7 @@ def test_plan_loses_nothing_and_pads_nothing(lengths):
 
 def test_round_trip(frame, odd_texts):
     rng = random.Random(8)
-    docs = odd_texts + [(100 + i, " ".join(rng.choices(["the", "Über", "naïve,", "x1y22", "don't", "…"], k=rng.randint(0, 900)))) for i in range(40)]
+    docs = odd_texts + [(90, "<|endoftext|>"), (91, "a<|startoftext|>b <|endoftext|>")] + [(100 + i, " ".join(rng.choices(["the", "Über", "naïve,", "x1y22", "don't", "…"], k=rng.randint(0, 900)))) for i in range(40)]
     rows = pack(frame(docs), PATH, block_docs=9, with_ids=True).collect()
     want = sorted((i or -1, tuple(PLAIN.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in docs)
     seqs = defaultdict(list)
