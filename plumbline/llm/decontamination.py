@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, materialize, without_ids
+from .common import WORD_BYTES, materialize
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,73 +128,71 @@ def excise(text: str, ranges: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str, shard_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
-    """Items in groups of at most shard_words words (one larger item makes a group of its own), streamed through the driver."""
-    group, n = [], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).orderBy("i", "t").toLocalIterator():
-        words = words_of(r["t"])
-        if group and n + len(words) > shard_words:
-            yield group
-            group, n = [], 0
-        group.append((r["i"], words))
-        n += len(words)
-    if group:
-        yield group
+def automata(benchmark: DataFrame, window: int, item_col: str = "item_id", text_col: str = "text", shard_words: int = 200_000) -> list[Broadcast]:
+    """Pickled automata of about shard_words item words each, broadcast one after another.
 
+    Distinct items are dealt by hash and executors build the automata, so the driver holds one at a time (some tens of MB) and no item.
+    """
+    spark = benchmark.sparkSession
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, coverage: float = 0.05, shard_words: int = 200_000, with_clean_text: bool = False) -> DataFrame:
-    """Per document: id, n_words, ranges (array of word ranges hit), n_hit, items (ids as sorted strings), contaminated.
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield pd.DataFrame({"i": x["i"], "t": x["t"], "n": [len(words_of(t)) for t in x["t"]]})
 
-    A word is hit inside any occurrence of ``window`` consecutive words of an item (or of a whole shorter item);
-    a document is contaminated if hit words are at least ``coverage`` of its words. with_clean_text adds clean_text, the
-    text without the ranges hit. Documents stream past a broadcast automaton without a shuffle. An automaton holds at most
-    ``shard_words`` item words; a larger benchmark makes several, one pass each, and their hits are merged.
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).distinct()
+    items = materialize(items.mapInPandas(counted, "i string, t string, n long").where("n > 0"), "benchmark-items")
+    total = items.agg(F.sum("n")).first()[0] or 0
+    shards = -(-total // shard_words)
 
-    Null texts have no words and no hits; items without words never occur; null or repeated ids are judged row by row;
-    repeated items count once by id; an empty benchmark leaves all documents clean; other columns are ignored.
-    """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.array().cast("array<int>").alias("flat"), F.array().cast("array<string>").alias("items"))
-    last = spark.sparkContext.broadcast(SuffixAutomaton([], window))
-    for group in _shards(benchmark, item_col, item_text_col, shard_words):
-        if last.value.ids:
-            out = out.mapInPandas(_pass(last), f"id {kind}, t string, flat array<int>, items array<string>")
-        last = spark.sparkContext.broadcast(SuffixAutomaton(group, window))
-    share, scan = round(1 / coverage), _pass(last)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in scan(batches, words := []):
-            n, flat = list(words), x["flat"]
-            hit = [sum(f[1::2]) - sum(f[::2]) for f in flat]
-            cols = {"id": x["id"], "n_words": n, "ranges": flat, "n_hit": hit, "items": [sorted(set(i)) for i in x["items"]], "contaminated": [h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)]}
-            if with_clean_text:
-                cols["clean_text"] = [excise(t or "", list(zip(f[::2], f[1::2], strict=True))) for t, f in zip(x["t"], flat, strict=True)]
-            yield pd.DataFrame(cols).astype({"id": "Int64"} if kind == "bigint" else {})
+    def build(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        made = SuffixAutomaton([(i, words_of(t)) for i, t in sorted(zip(x["i"], x["t"], strict=True), key=lambda r: (r[0] is None, r))], window)
+        return pd.DataFrame({"shard": [key[0]], "automaton": [pickle.dumps(made, pickle.HIGHEST_PROTOCOL)]})
 
-    schema = f"id {kind}, n_words long, ranges array<int>, n_hit long, items array<string>, contaminated boolean" + ", clean_text string" * with_clean_text
-    return out.mapInPandas(finish, schema).withColumnRenamed("id", id_col)
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, shards))).cast("int"))
+    built = materialize(dealt.groupBy("shard").applyInPandas(build, "shard int, automaton binary"), "automata")
+    one = lambda s: built.where(F.col("shard") == s).collect()
+    return [spark.sparkContext.broadcast(pickle.loads(r["automaton"])) for s in range(shards) for r in one(s)]
 
 
-def _pass(automaton):
-    """Adds the hits of one automaton to flat (starts and ends in turn) and items; ``counts`` gets the texts' words."""
+def _each(shards: list[Broadcast]) -> Iterator[SuffixAutomaton]:
+    """The automata in turn. Of several the worker holds one at a time, read anew from its local copy; a single one stays."""
+    for b in shards:
+        yield b.value
+        if len(shards) > 1 and b._path is not None:
+            del b._value
 
-    def scan(batches: Iterator[pd.DataFrame], counts: list[int] | None = None) -> Iterator[pd.DataFrame]:
-        a, counts = automaton.value, [] if counts is None else counts
-        for x in batches:
-            counts.clear()
-            flats, items = [], []
-            for t, flat, have in zip(x["t"], x["flat"], x["items"], strict=True):
-                words = words_of(t)
-                ranges, found = a.hits(words)
-                counts.append(len(words))
-                flats.append(_merge(list(map(int, flat)), ranges))
-                items.append([*have, *(str(a.ids[k]) for k in found if a.ids[k] is not None)])
-            x["flat"], x["items"] = flats, items
-            if dtype := {"id": "Int64"} if x["id"].dtype == "float64" else {}:
-                x = x.astype(dtype)
-            yield x
-
-    return scan
+
+def _scan(batches: Iterator[list], shards: list[Broadcast], chunk: int) -> Iterator[list[tuple[int, list[int], set[str]]]]:
+    """For each batch of texts a list of (words, merged starts and ends of hits in turn, item ids).
+
+    With several automata, batches are held until they have ``chunk`` characters, and then meet each automaton in turn.
+    """
+    held: list[list] = []
+
+    def flush() -> Iterator[list[tuple[int, list[int], set[str]]]]:
+        out = [[(0, [], set()) for _ in x] for x in held]
+        for n, a in enumerate(_each(shards)):
+            for x, rows in zip(held, out, strict=True):
+                for k, t in enumerate(x):
+                    words = words_of(t)
+                    ranges, found = a.hits(words)
+                    _, flat, items = rows[k]
+                    items |= {a.ids[i] for i in found if a.ids[i] is not None}
+                    rows[k] = (len(words), _merge(flat, ranges) if n else [v for r in ranges for v in r], items)
+            del a
+        if not shards:
+            out = [[(len(words_of(t)), [], set()) for t in x] for x in held]
+        held.clear()
+        yield from out
+
+    size = 0
+    for x in batches:
+        held.append(x)
+        size += sum(len(t) for t in x if t)
+        if len(shards) < 2 or size >= chunk:
+            yield from flush()
+            size = 0
+    yield from flush()
 
 
 def _merge(flat: list[int], ranges: list[tuple[int, int]]) -> list[int]:
@@ -205,14 +205,65 @@ def _merge(flat: list[int], ranges: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _limit(coverage: float) -> Fraction:
+    if not 0 < coverage <= 1:
+        raise ValueError(f"coverage must be over 0 and at most 1, not {coverage}")
+    return Fraction(str(coverage))
+
+
+def _hit(flat: list[int]) -> int:
+    return sum(flat[1::2]) - sum(flat[::2])
+
 
+def _over(hit: int, words: int, limit: Fraction) -> bool:
+    """Whether hit words are at least the limit's share of words, in whole numbers."""
+    return hit > 0 and hit * limit.denominator >= words * limit.numerator
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without contaminated rows; all columns and all other rows stay as they are. Rows with a null id stay.
 
-    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text.
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, coverage: float = 0.05, shard_words: int = 200_000, chunk: int = 32 << 20, with_clean_text: bool = False, span_words: int = 13) -> DataFrame:
+    """Per document: id, n_words, ranges (starts and ends of hit word ranges in turn), n_hit, items (ids as sorted strings), contaminated.
+
+    A word is hit inside any occurrence of ``window`` consecutive words of an item (or of a whole shorter item);
+    a document is contaminated if hit words are at least ``coverage`` (over 0, at most 1; compared exactly) of its words. with_clean_text
+    adds clean_text, the text without the ranges that exceed a limit: those of ``span_words`` words or more, and all of them in a contaminated
+    document. Documents stream past broadcast automata in one pass without a shuffle. An automaton holds about ``shard_words``
+    item words; a larger benchmark makes several, which a worker reads one at a time for each ``chunk`` characters of text.
+
+    Null texts have no words and no hits; items without words never occur; null or repeated ids are judged row by row;
+    repeated items count once by id; an empty benchmark leaves all documents clean; other columns are ignored.
     """
-    bad = contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(id_col).distinct()
-    return without_ids(docs, materialize(bad, "contaminated"), id_col)
+    kind, limit = dict(docs.dtypes)[id_col], _limit(coverage)
+    shards = automata(benchmark, window, item_col, item_text_col, shard_words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+
+        def texts() -> Iterator[list]:
+            for x in batches:
+                kept.append(x if with_clean_text else x[["id"]])
+                yield x["t"].tolist()
+
+        for rows in _scan(texts(), shards, chunk):
+            x, hit = kept.pop(0), [_hit(f) for _, f, _ in rows]
+            over = [_over(h, n, limit) for h, (n, _, _) in zip(hit, rows, strict=True)]
+            cols = {"id": x["id"], "n_words": [n for n, _, _ in rows], "ranges": [f for _, f, _ in rows], "n_hit": hit, "items": [sorted(i) for _, _, i in rows], "contaminated": over}
+            if with_clean_text:
+                cut = [[(a, b) for a, b in zip(f[::2], f[1::2], strict=True) if o or b - a >= span_words] for o, (_, f, _) in zip(over, rows, strict=True)]
+                cols["clean_text"] = [excise(t or "", c) for t, c in zip(x["t"], cut, strict=True)]
+            yield pd.DataFrame(cols).astype({"id": "Int64"} if kind == "bigint" else {})
+
+    schema = f"id {kind}, n_words long, ranges array<int>, n_hit long, items array<string>, contaminated boolean" + ", clean_text string" * with_clean_text
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, coverage: float = 0.05, shard_words: int = 200_000, chunk: int = 32 << 20) -> DataFrame:
+    """docs without contaminated rows (see contamination); all columns and all other rows stay. Every row is judged by its own text, in place."""
+    limit = _limit(coverage)
+    shards = automata(benchmark, window, item_col, item_text_col, shard_words)
+
+    @F.pandas_udf("boolean")
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in _scan((x.tolist() for x in texts), shards, chunk):
+            yield pd.Series([not _over(_hit(f), n, limit) for n, f, _ in rows], dtype=bool)
+
+    return docs.where(clean(F.col(text_col)))
