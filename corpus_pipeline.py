@@ -24,12 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that of the smallest doc_id."""
-    return drop_near_copies(docs)
-
-
-def near_dedup_verified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As near_dedup, but texts whose five-word shingles have a Jaccard similarity of 0.8 or more are near copies too."""
+    """One document of each component of near copies, that of the smallest doc_id: SimHash links, and texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     return drop_near_copies(docs, similarity=0.8)
 
 
@@ -45,20 +40,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", packing)]
 
-#: The same with near copies verified by similarity; STAGES keeps the fingerprint rule that tests/llm/test_pipeline.py pins.
-VERIFIED_STAGES = [(name, near_dedup_verified if name == "near_dedup" else stage) for name, stage in STAGES]
-
 #: The stages have no SQL form (a trained model, XXH64 fingerprints, a tokenizer); tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what each stage keeps is written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in stages[:-1]:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return stages[-1][1](spark, docs, sf_dir)
-
-
-def run_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, VERIFIED_STAGES)
+    return STAGES[-1][1](spark, docs, sf_dir)

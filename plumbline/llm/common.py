@@ -18,9 +18,11 @@ WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -89,12 +91,25 @@ def table_lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: str
 #: Bits of a slot bitmap come in rows of 32,768 (4 KB): Spark's bitmap functions work on such buckets.
 BUCKET_BITS = 32_768
 
+#: Bits of the largest bitmap that is broadcast (64 MB).
+MOST_BITS = 1 << 29
 
-def shared_slots(keys: DataFrame, bitmap_bits: int) -> DataFrame:
-    """Bitmap (bucket, bits) of the hash slots that two rows or more fall into; at most bitmap_bits / 8 bytes whatever the input."""
-    slot = F.pmod(F.col("h"), F.lit(bitmap_bits))
-    shared = keys.groupBy(slot.alias("s")).agg(F.count("*").alias("n")).where("n > 1")
-    return shared.groupBy(F.expr("s div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("s % 32768")).alias("bits"))
+
+def slot_count(rows: int, per_row: int = 8) -> int:
+    """Slots of a bitmap for so many rows: a power of two with per_row slots a row or more, as far as MOST_BITS goes."""
+    return min(MOST_BITS, max(1 << 20, 1 << max(0, rows * per_row - 1).bit_length()))
+
+
+def slots(keys: DataFrame, bits: int, least: int = 1) -> DataFrame:
+    """Bitmap (bucket, bits) of the hash slots that ``least`` rows or more of keys(h) fall into; at most bits / 8 bytes whatever the input."""
+    used = keys.groupBy(F.pmod(F.col("h"), F.lit(bits)).alias("s")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # dealt by bucket before they are set, so that each bucket's bits are made once and not once a partition
+    bucketed = used.select(F.expr("s div 32768").alias("bucket"), F.expr("s % 32768").alias("bit")).repartition("bucket")
+    return bucketed.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def shared_slots(keys: DataFrame, bits: int) -> DataFrame:
+    return slots(keys, bits, 2)
 
 
 def _bit(bits: Column, slot: Column) -> Column:
@@ -104,19 +119,69 @@ def _bit(bits: Column, slot: Column) -> Column:
     return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
 
 
-def flag_slots(rows: DataFrame, bitmap: DataFrame, h: Column, name: str, bitmap_bits: int) -> DataFrame:
-    """rows plus whether two keys or more fall into their slot; the bitmap is broadcast (bitmap_bits / 8 bytes at most)."""
-    slot = F.pmod(h, F.lit(bitmap_bits))
-    return (
-        rows.withColumn("_slot", slot)
-        .join(F.broadcast(bitmap), F.expr("_slot div 32768") == F.col("bucket"), "left")
-        .withColumn(name, _bit(F.col("bits"), F.col("_slot")))
-        .drop("_slot", "bucket", "bits")
-    )
+def named(cols) -> list[Column]:
+    """Columns by name, whatever the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in cols]
+
 
+def flag_slots(rows: DataFrame, bitmap: DataFrame, h: Column, name: str, bits: int) -> DataFrame:
+    """rows plus whether the slot of their hash h is set; the bitmap is broadcast (bits / 8 bytes at most)."""
+    slot, bucket, word = (free_name(rows, n) for n in ("_slot", "_bucket", "_word"))
+    side = F.broadcast(bitmap.select(F.col("bucket").alias(bucket), F.col("bits").alias(word)))
+    wide = rows.withColumn(slot, F.pmod(h, F.lit(bits))).join(side, F.expr(f"{slot} div 32768") == F.col(bucket), "left")
+    return wide.select(*named(rows.columns), _bit(F.col(word), F.col(slot)).alias(name))
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in ids (distinct, materialised). The ids are broadcast only if counted and few; else both sides are shuffled."""
-    ids = ids.select(F.col(ids.columns[0]).alias(id_col))
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+
+def may_hold(docs: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in ids (one column, materialised), and a few others, in place: by broadcast of the ids if they are few, else of a bitmap."""
+    n, mark, only = ids.count(), free_name(docs, "_mark"), F.col(ids.columns[0])
+    if n <= BROADCAST_ROWS:
+        side = ids.where(only.isNotNull()).select(only.alias(mark)).distinct()
+        return docs.join(F.broadcast(side), key == F.col(mark), "left_semi")
+    bits = slot_count(n)
+    bitmap = materialize(slots(ids.select(F.xxhash64(only).alias("h")), bits), "id-slots")
+    return flag_slots(docs, bitmap, F.xxhash64(key), mark, bits).where(F.col(mark)).select(*named(docs.columns))
+
+
+def attach(docs: DataFrame, on: dict[str, Column], table: DataFrame, salts: int = 16) -> DataFrame:
+    """docs plus the columns of table (materialised; one row a key): its keys as worked out for the row, its others null where there is no such key.
+
+    on: the keys of table and what they are in docs; null keys are equal. No column of table may be named as one of docs (see
+    free_name). A table of at most BROADCAST_ROWS rows is broadcast and docs stay in place. Else a bitmap of its keys is
+    broadcast (8 slots a key, 64 MB at most): rows outside stay in place, and only rows whose slot is set go through a
+    shuffle, dealt by key and a salt from their partition's number, so that a key of very many rows is spread.
+    """
+    keys, new = list(on), [c for c in table.columns if c not in on]
+    keyed, n = docs.withColumns(on), table.count()
+
+    def join(rows: DataFrame, side: DataFrame, by: list[str]) -> DataFrame:
+        r, t = rows.alias("r"), side.alias("t")
+        cols = [F.col("r.`" + c.replace("`", "``") + "`") for c in [*docs.columns, *keys]]
+        return r.join(t, [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in by], "left").select(*cols, *[F.col(f"t.{c}") for c in new])
+
+    if n <= BROADCAST_ROWS:
+        return join(keyed, F.broadcast(table), keys)
+    bits, mark, salt = slot_count(n), free_name(keyed, "_mark"), free_name(keyed, "_salt")
+    h = F.xxhash64(*keys)
+    bitmap = materialize(slots(table.select(h.alias("h")), bits), "key-slots")
+    flagged = flag_slots(keyed, bitmap, h, mark, bits)
+    kinds = dict(table.dtypes)
+    near = flagged.where(~F.col(mark)).select(*named([*docs.columns, *keys]), *[F.lit(None).cast(kinds[c]).alias(c) for c in new])
+    far = flagged.where(mark).withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(salts)))
+    wide = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return near.unionAll(join(far, wide.hint("shuffle_hash"), [*keys, salt]))
+
+
+def settle_rows(docs: DataFrame, on: dict[str, Column], verdicts: DataFrame) -> DataFrame:
+    """docs after verdicts(keys of on, once boolean; materialised): rows of a key whose once is false go, of a key whose once is true one row stays.
+
+    Rows without a verdict stay where they are. Only rows of which all but one go are grouped, each task by itself first.
+    """
+    once = free_name(docs, "_once")
+    marked = attach(docs, on, verdicts.withColumnRenamed("once", once))
+    cols = named(docs.columns)
+    kept = marked.where(F.col(once).isNull()).select(*cols)
+    if not verdicts.where("once").limit(1).count():
+        return kept
+    one = marked.where(once).groupBy(*on).agg(F.first(F.struct(*cols)).alias("_row"))
+    return kept.unionAll(one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

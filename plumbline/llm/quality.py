@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without_ids
+from .common import materialize, may_hold
 
 FEATURES = (
     "size", "words", "word_bytes", "upper", "digits", "blanks", "lines", "high_bytes", "stops", "marks", "pipes", "shouts", "symbols",
@@ -117,31 +117,56 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", pooled: float = 0.15, ridge: float = 0.1) -> Discriminant | None:
-    """Fits on all labelled rows that aren't held out; only sums by class and a histogram of scores reach the driver.
+#: Shares of the common covariance and of a scaled identity that cross-validation chooses from.
+SHRINKAGE = ((0.15, 0.1), (0.05, 0.02), (0.15, 0.02), (0.4, 0.1), (0.8, 0.1), (0.8, 0.3))
+FOLDS = 4
 
-    None if a class has fewer than two rows. Rows with null ids or labels teach nothing; repeated rows count again.
+
+def train(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", choices: tuple[tuple[float, float], ...] = SHRINKAGE) -> Discriminant | None:
+    """Fits on all labelled rows that aren't held out; only sums by class and fold and histograms of scores reach the driver.
+
+    choices (pooled, ridge): the one whose calibrated scores of rows outside the fitted folds have the least log-loss; of equal ones the
+    first. The line that calibrates is that of those scores. None if a class has fewer than two rows; without enough rows for folds, the
+    first choice. Rows with null ids or labels teach nothing; repeated rows count again.
     """
     k = len(FEATURES)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
-    rows = materialize(feats.join(known, "id").where(~held_out(F.col("id"))), "quality-train")
+    rows = feats.join(known, "id").where(~held_out(F.col("id"))).withColumn("fold", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(FOLDS)).cast("int"))
+    rows = materialize(rows, "quality-train")
     pairs = [(i, j) for i in range(k) for j in range(i + 1)]
-    sums = rows.groupBy("y").agg(F.count("*").alias("n"), F.array(*[F.sum(f"x{i}") for i in range(k)]).alias("s"), F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).alias("o")).orderBy("y").collect()
-    if len(sums) < 2 or min(r["n"] for r in sums) < 2:
-        return None
-    outer = np.zeros((2, k, k))
-    for c, r in enumerate(sums):
+    sums = rows.groupBy("fold", "y").agg(F.count("*").alias("n"), F.array(*[F.sum(f"x{i}") for i in range(k)]).alias("s"), F.array(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).alias("o")).collect()
+    n, total, outer = np.zeros((FOLDS, 2)), np.zeros((FOLDS, 2, k)), np.zeros((FOLDS, 2, k, k))
+    for r in sums:
+        n[r["fold"], r["y"]], total[r["fold"], r["y"]] = r["n"], r["s"]
         for (i, j), v in zip(pairs, r["o"], strict=True):
-            outer[c, i, j] = outer[c, j, i] = v
-    model = Discriminant.fit(np.array([r["n"] for r in sums], float), np.array([r["s"] for r in sums]), outer, pooled, ridge)
+            outer[r["fold"], r["y"], i, j] = outer[r["fold"], r["y"], j, i] = v
+    if n.sum(axis=0).min() < 2:
+        return None
+    fit = lambda keep, c: Discriminant.fit(n[keep].sum(axis=0), total[keep].sum(axis=0), outer[keep].sum(axis=0), *c)
+    others = [np.arange(FOLDS) != f for f in range(FOLDS)]
+    folded = min(n[o].sum(axis=0).min() for o in others) >= 2
+    models = [[fit(o, c) for o in others] if folded else [fit(slice(None), c)] * FOLDS for c in (choices if folded else choices[:1])]
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = squash(model.difference(b[[f"x{i}" for i in range(k)]].to_numpy()))
-            yield pd.DataFrame({"y": b["y"], "bin": np.round(np.clip(d, -30, 30) * 10).astype(np.int64)})
-
-    hist = rows.mapInPandas(binned, "y int, bin long").groupBy("y", "bin").count().collect()  # 1,202 rows at most
-    model.slope, model.shift = _line(np.array([r["bin"] / 10 for r in hist]), np.array([r["y"] for r in hist], float), np.array([r["count"] for r in hist], float))
+            x, fold = b[[f"x{i}" for i in range(k)]].to_numpy(), b["fold"].to_numpy()
+            for c, of in enumerate(models):
+                d = np.zeros(len(b))
+                for f, m in enumerate(of):
+                    d[fold == f] = m.difference(x[fold == f])
+                yield pd.DataFrame({"c": c, "y": b["y"], "bin": np.round(np.clip(squash(d), -30, 30) * 10).astype(np.int64)}).value_counts().reset_index()
+
+    hist = rows.mapInPandas(binned, "c int, y int, bin long, count long").groupBy("c", "y", "bin").agg(F.sum("count").alias("n")).collect()  # 1,202 rows a choice at most
+    lines = []
+    for c in range(len(models)):
+        mine = sorted((r["bin"], r["y"], r["n"]) for r in hist if r["c"] == c)
+        bins, label, weight = (np.array(v, float) for v in zip(*mine, strict=True))
+        slope, shift = _line(bins / 10, label, weight)
+        z = slope * bins / 10 + shift
+        lines.append(((weight * (np.logaddexp(0, z) - label * z)).sum(), c, slope, shift))
+    _, best, slope, shift = min(lines)
+    model = fit(slice(None), choices[best])
+    model.slope, model.shift = slope, shift
     return model
 
 
@@ -164,10 +189,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows whose predicted quality is 0; all columns stay. Rows with a null id stay.
+def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, **options) -> DataFrame:
+    """docs without the rows whose predicted quality is 0; all columns stay, rows with a null id are judged like others.
 
-    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text.
+    Every row is judged by its own text, in place: the model is fitted on the statistics of labelled rows alone, then
+    a second pass scores and filters, and no row is joined or moved.
     """
-    bad = quality_scores(docs, labels, id_col, text_col, **options).where("predicted = 0").select(id_col).distinct()
-    return without_ids(docs, materialize(bad, "rejected"), id_col)
+    known = materialize(labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id")).where(~held_out(F.col("id"))).distinct(), "quality-known")
+    feats = features(may_hold(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), F.col("id"), known), "id", "t")
+    model = train(feats, labels, id_col, label_col, **options)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(FEATURES))))
+
+    return docs.where(score(F.col(text_col)) >= threshold)

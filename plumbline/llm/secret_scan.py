@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import flag_slots, materialize, new_path, shared_slots, table_lookup
+from .common import BROADCAST_ROWS, MOST_BITS, flag_slots, materialize, new_path, slot_count, slots, table_lookup
 
 #: The base kinds, their patterns, and the group and least length that a match must have.
 BASE_RULES = (
@@ -60,7 +60,7 @@ def open_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
 
 
-def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: Rules | None = None, bitmap_bits: int = 1 << 22) -> DataFrame:
+def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", rules: Rules | None = None, broadcast_rows: int = BROADCAST_ROWS, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per version: the path columns, blob (SHA-256 of the content, binary), spans (ascending by start, then rule).
 
     versions: every historical version of every path, one row each. Contents are addressed by hash; of each blob that the
@@ -68,38 +68,43 @@ def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     (Parquet at ``ledger``; a fresh one in the shared folder if None). Findings then go to all paths of a blob. A
     run that dies before its append changes nothing, and one repeated after it scans nothing.
 
-    The content of a version goes through a shuffle only if its slot of a fixed-size bitmap (bitmap_bits / 8 bytes, broadcast) is
-    shared with another version or a seen blob.
+    No content goes through a shuffle: which rows to scan is settled on narrow rows (path hash, blob), and the chosen ones are
+    found in place, by broadcast if at most broadcast_rows, else by a bitmap of 16 slots a chosen row. One in 16 rows that aren't chosen is then
+    scanned as well, and its findings are thrown away. If a bitmap would need over most_bits / 4 rows, blobs are dealt by hash into
+    several passes with a bitmap each.
 
     Null content counts as empty; null path columns and repeated rows keep their rows; other columns are ignored; an
     empty table gives no rows.
     """
     spark, rules = versions.sparkSession, rules or Rules()
     ledger = ledger or new_path(spark, "ledger")
-    keyed = versions.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(path_cols)], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    keyed = keyed.withColumn("_blob", F.unhex(F.sha2(F.col("_t").cast("binary"), 256)))
-    row_key = F.xxhash64(*[f"_k{i}" for i in range(len(path_cols))])
-    history = materialize(keyed.select(*[f"_k{i}" for i in range(len(path_cols))], "_blob", row_key.alias("_row")), "history")
+    keys = [f"_k{i}" for i in range(len(path_cols))]
+    keyed = versions.select(*[F.col(c).alias(k) for c, k in zip(path_cols, keys, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    keyed = keyed.withColumns({"_blob": F.unhex(F.sha2(F.col("_t").cast("binary"), 256)), "_row": F.xxhash64(*keys)})
+    history = materialize(keyed.select(*keys, "_blob", "_row", F.monotonically_increasing_id().alias("_n")), "history")
     seen = open_ledger(spark, ledger).where(F.col("rules") == rules.version)
-    slot = F.xxhash64("_blob")
-    # slots that hold one version and nothing seen: such a version is scanned where it is, without a shuffle of its content
-    bitmap = materialize(shared_slots(history.select(slot.alias("h")).unionAll(seen.select(F.xxhash64("blob").alias("h"))), bitmap_bits), "ledger-slots")
-    unseen = flag_slots(history, bitmap, slot, "_shared", bitmap_bits).where("_shared").groupBy("_blob").agg(F.min("_row").alias("_row"))
-    unseen = materialize(unseen.join(seen.select(F.col("blob").alias("_blob")), "_blob", "left_anti"), "unseen")
+    unseen = history.groupBy("_blob").agg(F.min("_row").alias("_row")).join(seen.select(F.col("blob").alias("_blob")), "_blob", "left_anti")
+    unseen = materialize(unseen, "unseen")
+    n = unseen.count()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"blob": b["_blob"], "spans": [[dict(zip(("start", "rule", "end", "kind", "base"), s, strict=True)) for s in rules.find(t)] for t in b["_t"]]})
 
-    flagged = flag_slots(keyed.withColumn("_row", row_key), bitmap, slot, "_shared", bitmap_bits)
-    schema = f"blob binary, spans {SPANS}"
-    alone = flagged.where("NOT _shared").select("_blob", "_t").mapInPandas(find, schema)
-    # of the others one version of each unseen blob; versions of one path with one content are the same row twice
-    chosen = flagged.where("_shared").join(unseen.hint("shuffle_hash"), ["_blob", "_row"], "left_semi").select("_blob", "_t")
-    found = alone.unionByName(chosen.mapInPandas(find, schema).dropDuplicates(["blob"]))
-    found.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").parquet(ledger)
+    def append(chosen: DataFrame) -> None:
+        found = chosen.select("_blob", "_t").mapInPandas(find, f"blob binary, spans {SPANS}")
+        fresh = found.groupBy("blob").agg(F.first("spans").alias("spans")).join(unseen.select(F.col("_blob").alias("blob")), "blob", "left_semi")
+        fresh.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").parquet(ledger)
+
+    if n <= broadcast_rows:
+        append(keyed.join(F.broadcast(unseen), ["_blob", "_row"], "left_semi"))
+    else:
+        passes = -(-n * 4 // most_bits)
+        part = F.pmod(F.xxhash64(F.lit(passes), F.col("_blob")), F.lit(passes))
+        bits, h = min(most_bits, slot_count(-(-n // passes), 16)), F.xxhash64("_blob", "_row")
+        for p in range(passes):
+            bitmap = materialize(slots(unseen.where(part == p).select(h.alias("h")), bits), "unseen-slots")
+            append(flag_slots(keyed.where(part == p), bitmap, h, "_chosen", bits).where("_chosen"))
     known = open_ledger(spark, ledger).where((F.col("rules") == rules.version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
-    out = table_lookup(history, known, ["_blob"], spread="_row")
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(path_cols)], F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-
-
+    out = table_lookup(history, known, ["_blob"], spread="_n")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(path_cols, keys, strict=True)], F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import attach, materialize, may_hold
 from .components import local_roots
 
 BANDS, ROWS = 32, 4
@@ -65,36 +65,38 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
-    """Links (a, b) that connect the nodes of texts that are similar; rows are (id, fp, sh, keys) of docs, nodes (fp, node).
+def similar_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
+    """Links (a, b) that connect the fingerprints of texts that are similar; rows are (fp, sh, keys, row) of docs, row a hash of id and text.
 
-    Copies count once. Members of a bucket are compared in blocks of ``block``, so no task holds a large bucket; a pair of blocks
-    is read by one task, which compares all its pairs and links each node to the smallest it is connected with. Of the candidates
-    alone are texts read again.
+    Copies count once. Buckets of at most ``block`` sets are compared by one task each, equal buckets once. Larger ones are dealt into
+    chunks of about ``block`` by hash, and each pair of chunks is compared by a task of its own, so no task holds a large bucket and no
+    pair is left out. A task links each node to the smallest it is connected with. Of the candidates alone are texts read again, where they are.
     """
-    each = rows.where("id IS NOT NULL AND size(keys) > 0").groupBy("fp", "sh").agg(F.min("id").alias("id"))
-    each = materialize(each.join(nodes, "fp").select("sh", "id", "node"), "shingle-sets")
-    sets = each.groupBy("sh").agg(F.min("node").alias("root"), F.min("id").alias("id"))
-    equal = each.select("sh", "node").join(sets.select("sh", "root"), "sh").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    buckets = rows.where("id IS NOT NULL").select("sh", F.explode("keys").alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("sh")).alias("all")).where("size(all) > 1")
-    groups = materialize(buckets.select("all").distinct(), "buckets")
-    cut = groups.select("all", F.explode(F.expr(f"sequence(0, (size(all) - 1) div {block})")).alias("i")).select("all", "i", F.explode(F.expr(f"sequence(i, (size(all) - 1) div {block})")).alias("j"))
-    side = lambda n: f"slice(all, CAST({n} * {block} + 1 AS INT), {block})"
-    tasks = materialize(cut.select(F.monotonically_increasing_id().alias("task"), F.expr(f"IF(i = j, {side('i')}, concat({side('i')}, {side('j')}))").alias("some")), "bucket-blocks")
-
-    wanted = tasks.select(F.explode("some").alias("sh")).distinct().join(sets.select("sh", "id", F.col("root").alias("node")), "sh")
-    wanted = materialize(wanted, "candidates")
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    again = texts.join(F.broadcast(wanted) if few else wanted, "id")
+    each = materialize(rows.where("size(keys) > 0").select("sh", "fp").distinct(), "shingle-sets")
+    sets = materialize(rows.where("size(keys) > 0").groupBy("sh").agg(F.min("fp").alias("node"), F.min("row").alias("row")), "sets")
+    equal = each.join(sets, "sh").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
+    banded = rows.select("sh", F.explode("keys").alias("key"))
+    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).where("low < high")
+    members = materialize(attach(banded, {"_key": F.col("key")}, materialize(sizes.select(F.col("key").alias("_key"), "n"), "bucket-sizes")).where("n IS NOT NULL").select("key", "sh", "n"), "bucket-members")
+    # n counts copies too, so a bucket of few sets may be dealt into chunks as well
+    small = members.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_set("sh")).alias("all")).select("all").distinct()
+    small = small.select(F.xxhash64("all").alias("task"), F.explode("all").alias("sh"))
+    last = f"CAST(ceil(n / {block}) AS INT) - 1"
+    chunk = members.where(F.col("n") > block).select("key", "sh", "n").distinct().withColumn("c", F.expr(f"CAST(pmod(xxhash64(sh), {last} + 1) AS INT)"))
+    chunk = chunk.select("key", "sh", "c", F.explode(F.expr(f"sequence(0, {last})")).alias("o"))
+    large = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("task"), "sh")
+    tasks = materialize(small.unionByName(large), "bucket-tasks")
+
+    wanted = materialize(tasks.select("sh").distinct().join(sets, "sh"), "candidates")
+    some = may_hold(docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row")), F.col("row"), wanted.select("row"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             made = [shingle_set(t, words) for t in x["t"]]
-            same = [set_id(s) == sh for s, sh in zip(made, x["sh"], strict=True)]
-            yield pd.DataFrame({"sh": x["sh"], "node": x["node"], "raw": [s.tobytes() for s in made]})[same]
+            yield pd.DataFrame({"sh": [set_id(s) for s in made], "raw": [s.tobytes() for s in made]})
 
-    full = materialize(again.select("sh", "node", "t").mapInPandas(whole, "sh long, node long, raw binary").dropDuplicates(["sh"]), "candidate-sets")
+    full = some.select("t").mapInPandas(whole, "sh long, raw binary").dropDuplicates(["sh"]).join(wanted.select("sh", "node"), "sh")
+    full = materialize(full, "candidate-sets")
 
     def verify(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         a, b = linked([np.frombuffer(r, np.uint64) for r in x["raw"]], similarity)
@@ -102,5 +104,4 @@ def similar_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, id_col: st
         a, b = local_roots(node[a], node[b])
         return pd.DataFrame({"a": a, "b": b})
 
-    member = tasks.select("task", F.explode("some").alias("sh")).join(full, "sh").select("task", "node", "raw")
-    return member.groupBy("task").applyInPandas(verify, "a long, b long").unionByName(equal)
+    return tasks.join(full, "sh").select("task", "node", "raw").groupBy("task").applyInPandas(verify, "a long, b long").unionByName(equal)

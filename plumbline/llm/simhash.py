@@ -2,12 +2,14 @@
 
 Two fingerprints that differ in at most 2r bits have a common variant within r bits of each, so each fingerprint emits all
 its variants within r bits and equal variants meet. Variants are dealt by a linear (XOR) checksum. As checksum(f ^ mask) is
-checksum(f) ^ checksum(mask), a fingerprint is sent once to each task that has variants of it, and the task makes just those
-variants itself: 8 bytes travel where up to 2,081 variants would.
+checksum(f) ^ checksum(mask), a fingerprint is sent once to each part that has variants of it, and the part makes just those
+variants itself. With the usual 64 parts each gets every fingerprint (8 bytes), 512 bytes a fingerprint in place of the 16 KB
+of its 2,081 variants; more parts are needed only beyond some millions of fingerprints, and then more bytes travel.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table_lookup, without_ids
+from .common import free_name, materialize, settle_rows, table_lookup
 from .components import components, local_roots
 from .shingles import band_keys, set_id, shingle_set, similar_links
 
@@ -41,19 +43,24 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(a)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bands: bool = False) -> DataFrame:
-    """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also sh and keys (see shingles)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bands: bool = False, digests: bool = False) -> DataFrame:
+    """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also row, sh and keys (see shingles), with ``digests`` the text's SHA-256."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             fp = np.array([fingerprint(t, words) for t in x["t"]], np.uint64).view(np.int64)
             out = pd.DataFrame({"id": x["id"].astype("Int64"), "fp": fp})
             if bands:
+                out["row"] = x["row"]
                 sets = [shingle_set(t) for t in x["t"]]
                 out["sh"], out["keys"] = [set_id(s) for s in sets], [band_keys(s) for s in sets]
+            if digests:
+                out["digest"] = [hashlib.sha256((t or "").encode()).digest() for t in x["t"]]
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(hashed, "id long, fp long" + ", sh long, keys array<long>" * bands)
+    row = [F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row")] * bands
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *row)
+    return source.mapInPandas(hashed, "id long, fp long" + ", row long, sh long, keys array<long>" * bands + ", digest binary" * digests)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -70,17 +77,17 @@ def checksum(v: np.ndarray, bits: int) -> np.ndarray:
     return out & ((1 << bits) - 1)
 
 
-def meet(fps: np.ndarray, nodes: np.ndarray, radius: int, bits: int, part: int, part_bits: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+def meet(fps: np.ndarray, radius: int, bits: int, part: int, part_bits: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Links among distinct fingerprints by the variants whose checksum of part_bits bits is part.
 
     Variants are made ``block`` at a time or so, by ``bits`` bits of checksum. Members of a group of equal variants are
-    linked to its smallest node; as all of them lie within ``radius`` of the variant, that keeps them connected without all
-    pairs. Each link is verified by counting differing bits.
+    linked to one of them; as all of them lie within ``radius`` of the variant, that keeps them connected without all
+    pairs. Each link is verified by counting differing bits. Returned are fingerprints and their roots within the part, as signed longs.
     """
     flips = masks(radius)
     flip_sum, own = checksum(flips, bits), checksum(fps, bits)
     order = np.argsort(own, kind="stable")
-    fps, nodes, own = fps[order], nodes[order], own[order]
+    fps, own = fps[order], own[order]
     ends = np.searchsorted(own, np.arange((1 << bits) + 1))
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for q in range(part, 1 << bits, 1 << part_bits):
@@ -96,23 +103,23 @@ def meet(fps: np.ndarray, nodes: np.ndarray, radius: int, bits: int, part: int,
         met = np.flatnonzero(np.isin(variant, twice))
         who = np.concatenate([np.arange(s, e) for _, s, e in spans])[met]
         variant = variant[met]
-        o = np.lexsort((nodes[who], variant))
+        o = np.lexsort((who, variant))
         who, variant = who[o], variant[o]
         first = np.concatenate(([True], variant[1:] != variant[:-1]))
         head = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
         pair = np.unique(np.stack((head, who))[:, ~first], axis=1)
         close = np.bitwise_count(fps[pair[0]] ^ fps[pair[1]]) <= 2 * radius
-        found.append((nodes[pair[0][close]], nodes[pair[1][close]]))
+        found.append((fps[pair[0][close]].view(np.int64), fps[pair[1][close]].view(np.int64)))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return local_roots(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
 
 
-def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 8_000_000, block: int = 2_000_000) -> DataFrame:
-    """Links (a, b) between nodes of distinct (fp, node), n rows: every two fingerprints within max_bits are connected.
+def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 16_000_000, block: int = 2_000_000) -> DataFrame:
+    """Links (a, b) between the fingerprints of distinct (fp), n rows: every two fingerprints within max_bits are connected.
 
-    Of each task the parts of the checksum space decide its load: 64 parts while a task can hold all n fingerprints
-    (per_task, 16 bytes each), else so many that a part gets per_task at most. Within a task, variants are made in blocks.
+    The parts of the checksum space decide a task's load: 64 parts while a task can hold all n fingerprints
+    (per_task, 8 bytes each), else so many that a part gets per_task at most. Within a task, variants are made in blocks.
     """
     radius = (max_bits + 1) // 2
     flips = masks(radius)
@@ -126,51 +133,71 @@ def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 8_000_
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            both = np.stack((x["fp"].to_numpy(np.int64), x["node"].to_numpy(np.int64)), axis=1)
-            own = checksum(both[:, 0].view(np.uint64) if both[:, 0].flags.c_contiguous else both[:, 0].copy().view(np.uint64), part_bits)
+            fp = x["fp"].to_numpy(np.int64)
+            own = checksum(fp.view(np.uint64), part_bits)
             order = np.argsort(own, kind="stable")
-            both, own = both[order], own[order]
+            fp, own = fp[order], own[order]
             cls, start = np.unique(own, return_index=True)
-            pieces = dict(zip(cls.tolist(), np.split(both, start[1:]), strict=True))
             to: dict[int, list[bytes]] = {}
-            for c, rows in pieces.items():
-                raw = rows.tobytes()
+            for c, some in zip(cls.tolist(), np.split(fp, start[1:]), strict=True):
+                raw = some.tobytes()
                 for p in (reach ^ c).tolist():
                     to.setdefault(p, []).append(raw)
-            yield pd.DataFrame({"part": list(to), "rows": [b"".join(v) for v in to.values()]})
+            yield pd.DataFrame({"part": list(to), "fps": [b"".join(v) for v in to.values()]})
 
     def join(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        both = np.frombuffer(b"".join(x["rows"]), np.int64).reshape(-1, 2)
-        a, b = meet(both[:, 0].copy().view(np.uint64), both[:, 1].copy(), radius, bits, int(key[0]), part_bits, block)
+        fps = np.frombuffer(b"".join(x["fps"]), np.uint64)
+        a, b = meet(fps, radius, bits, int(key[0]), part_bits, block)
         return pd.DataFrame({"a": a, "b": b})
 
-    return distinct.mapInPandas(deal, "part int, rows binary").groupBy("part").applyInPandas(join, "a long, b long")
+    return distinct.select("fp").mapInPandas(deal, "part int, fps binary").groupBy("part").applyInPandas(join, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
-    """Per document: id, fp (signed long), component_id (the smallest id reachable over links, itself included).
+def _classes(docs: DataFrame, id_col: str, text_col: str, words: int, max_bits: int, similarity: float | None, digests: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp, n, perhaps digest) and, per fingerprint, the component's smallest id and its best row (both materialised).
 
-    Two documents are linked if their fingerprints differ in at most max_bits bits, and with ``similarity`` also if their
-    sets of five-word shingles have at least that Jaccard similarity (verified on whole texts). Copies share a fingerprint and count
-    once in the search, so a group of copies costs one row. Texts without words have fingerprint 0 and link like any other.
-    Null text counts as empty. Rows with a null id take the component of the other rows with their fingerprint, or null;
-    they link nothing themselves. Rows with a repeated id are judged by their own texts. Ids must fit a long; other columns are ignored.
+    The best row is that of the smallest id, then of the smallest digest; rows with a null id come last.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, words, similarity is not None), "fingerprints")
-    nodes = materialize(rows.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("node")), "nodes")
+    made = fingerprints(docs, id_col, text_col, words, similarity is not None, digests)
+    rows = materialize(made.withColumn("n", F.monotonically_increasing_id()), "fingerprints")
+    place = F.struct(F.col("id").isNull().alias("z"), "id", *["digest"] * digests)
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.min(place).alias("best")), "nodes")
     pairs = links(nodes, nodes.count(), max_bits)
     if similarity is not None:
-        pairs = pairs.unionByName(similar_links(docs, rows, nodes, id_col, text_col, similarity=similarity))
+        pairs = pairs.unionByName(similar_links(docs, rows, id_col, text_col, similarity=similarity))
     roots = components(pairs)
-    table = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    out = table_lookup(rows.select("id", "fp"), materialize(table, "components"), ["fp"], spread="id")
+    members = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "low", "best"), "members")
+    whole = members.groupBy("root").agg(F.min("low").alias("component_id"), F.min("best").alias("chosen"))
+    of = table_lookup(members.select("fp", "root"), whole, ["root"], spread="fp").select("fp", "component_id", "chosen")
+    every = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("chosen", "best").alias("chosen"))
+    return rows, materialize(every, "components")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
+    """Per document: id, fp (signed long), component_id (the smallest id reachable over links, itself included).
+
+    Two documents are linked if their fingerprints differ in at most max_bits bits, and with ``similarity`` also if their
+    sets of five-word shingles have at least that Jaccard similarity (verified on whole texts). Fingerprints are the nodes, so a
+    group of copies costs one. Texts without words have fingerprint 0 and link like any other. Null text counts as empty. Rows
+    with a null id link others like any row, but never name a component: that of null ids only has none. Rows with a
+    repeated id are judged by their own texts. Ids must fit a long; other columns are ignored.
+    """
+    rows, table = _classes(docs, id_col, text_col, words, max_bits, similarity, False)
+    out = table_lookup(rows.select("id", "fp", "n"), table.select("fp", "component_id"), ["fp"], spread="n")
     return out.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document, that of the smallest id, of each component; all columns stay.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4, similarity: float | None = None) -> DataFrame:
+    """docs with exactly one row of each component (see near_duplicates), one of its smallest id; all columns stay.
 
-    Rows go by id alone: a dropped row takes all rows of its id along, whatever their text, and rows with a null id stay, as do all of fully repeated rows that are kept.
+    Rows are judged by id and text together, so rows that share an id but not a component are judged apart. Null ids are
+    larger than all others. Of rows with the smallest id that of the smallest digest stays, and one of rows equal in both.
     """
-    out = near_duplicates(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id"))
-    return without_ids(docs, materialize(out.select(id_col).distinct(), "near-dropped"), id_col)
+    rows, table = _classes(docs, id_col, text_col, words, max_bits, similarity, True)
+    found = table_lookup(rows.select("id", "fp", "digest", "n"), table.select("fp", "chosen"), ["fp"], spread="n")
+    stays = F.struct(F.col("id").isNull().alias("z"), "id", "digest").eqNullSafe(F.col("chosen"))
+    verdicts = found.groupBy("id", "digest").agg(F.bool_and(stays).alias("once"), F.count("*").alias("rows")).where("NOT once OR rows > 1")
+    key, digest = free_name(docs, "_id"), free_name(docs, "_digest")
+    verdicts = materialize(verdicts.select(F.col("id").alias(key), F.col("digest").alias(digest), "once"), "near-verdicts")
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return settle_rows(docs, {key: F.col(id_col).cast("long"), digest: F.unhex(F.sha2(text, 256))}, verdicts)

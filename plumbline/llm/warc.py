@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, group_lookup, materialize, new_path
+from .common import attach, group_lookup, materialize, new_path
 
 #: Fixed values of the format: the magic number of the frame that holds the dictionary, and the profile of revisit records.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -173,8 +173,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     """Writes one record a page and returns the manifest (archive, records, bytes), itself written in the folder.
 
     Of pages with equal payloads of at least least_revisit bytes, that of the largest id is the response and the others
-    revisit it. Who revisits whom is settled on narrow rows (id, SHA-1, length); the html is not shuffled unless the revisits
-    are too many to broadcast. Each task writes archives of about archive_bytes under names of its own; only archives in
+    revisit it. Who revisits whom is settled on narrow rows (id, SHA-1, length); html stays in place unless the revisits
+    are too many to broadcast, and then only pages in their slots move (see common.attach). Each task writes archives of about archive_bytes under names of its own; only archives in
     the manifest count, so a repeated or lost task leaves no wrong record. Null html is an empty payload; repeated rows get
     a record each; a null id is written as such; control characters and blanks in a URL are percent-encoded; other columns
     are ignored; an empty table gives an empty manifest.
@@ -182,12 +182,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
     keyed = rows.select("id", F.unhex(F.sha1("html")).alias("sha1"), F.octet_length("html").cast("long").alias("n"))
-    narrow = materialize(keyed.where(F.col("n") >= least_revisit), "digests")
-    found = group_lookup(narrow, ["sha1", "n"], [("refers_to", "max", "id")], spread="id")
-    revisits = materialize(found.where("refers_to IS NOT NULL AND NOT (id <=> refers_to)").select("id", "sha1", "refers_to").distinct(), "revisits").alias("v")
-    r = rows.withColumn("sha1", F.unhex(F.sha1("html"))).alias("r")
-    side = F.broadcast(revisits) if revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else revisits.hint("shuffle_hash")
-    typed = r.join(side, F.col("r.id").eqNullSafe(F.col("v.id")) & (F.col("r.sha1") == F.col("v.sha1")), "left").select("r.id", "r.url", "r.html", "v.refers_to")
+    narrow = materialize(keyed.where(F.col("n") >= least_revisit).withColumn("row", F.monotonically_increasing_id()), "digests")
+    found = group_lookup(narrow, ["sha1", "n"], [("refers_to", "max", "id")], spread="row")
+    revisits = found.where("refers_to IS NOT NULL AND NOT (id <=> refers_to)").select(F.col("id").alias("page"), "sha1", "refers_to").distinct()
+    typed = attach(rows, {"page": F.col("id"), "sha1": F.unhex(F.sha1("html"))}, materialize(revisits, "revisits")).select("id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = _store(folder)

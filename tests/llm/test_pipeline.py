@@ -4,6 +4,7 @@ from collections import defaultdict
 import corpus_pipeline
 from tests.llm.test_decontamination import brute as contaminated
 from tests.llm.test_decontamination import words
+from tests.llm.test_shingles import similar_pairs
 from tests.llm.test_simhash import roots, slow_fingerprint
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -49,7 +50,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
         lowered["".join(c.lower() if c.isascii() else c for c in t or "")].append(i)
     left = {max(g): left[max(g)] for g in lowered.values()}
     fp = {i: slow_fingerprint(t) for i, t in left.items()}
-    root = roots(sorted(left), [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4])
+    near = [(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4]
+    root = roots(sorted(left), near + similar_pairs(sorted(left.items())))
     left = {i: left[i] for i in sorted(set(root.values()))}
     left = {i: t for i, t in left.items() if not contaminated(t, items, 13)[3]}
     assert any(words(t) for t in left.values())

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from plumbline.llm.common import new_path
 from plumbline.llm.secret_scan import BASE_RULES, Rules, open_ledger, scan_history
 
@@ -21,8 +23,8 @@ def texts():
 
 def test_base_spans_equal_plain_search(frame, odd_texts):
     docs = texts() + odd_texts
-    for bits in (1 << 22, 1 << 15):  # the smaller one has many false neighbours
-        got = sorted((r.doc_id or -1, [(s.start, s.rule, s.end) for s in r.spans if s.base]) for r in scan_history(frame(docs), bitmap_bits=bits).collect())
+    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "most_bits": 512}):  # by broadcast, by a bitmap, by several
+        got = sorted((r.doc_id or -1, [(s.start, s.rule, s.end) for s in r.spans if s.base]) for r in scan_history(frame(docs), **options).collect())
         assert got == sorted((i or -1, brute(t)) for i, t in docs)
 
 
@@ -31,10 +33,11 @@ def test_further_kinds():
     assert [k for _, _, _, k, _ in Rules().find(text)] == ["github", "slack", "pem", "jwt"]
 
 
-def test_only_unseen_pairs_are_scanned(spark, frame):
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}])
+def test_only_unseen_pairs_are_scanned(spark, frame, options):
     ledger = new_path(spark, "test-ledger")
     blobs = lambda: sorted((bytes(r.blob), r.rules) for r in open_ledger(spark, ledger).collect())
-    scan = lambda docs, **o: sorted((r.doc_id, len(r.spans)) for r in scan_history(frame(docs), ledger, **o).collect())
+    scan = lambda docs, **o: sorted((r.doc_id, len(r.spans)) for r in scan_history(frame(docs), ledger, **options, **o).collect())
     old = [(1, "token=abcdefgh1"), (2, "clean"), (3, "token=abcdefgh1")]
     assert scan(old) == [(1, 1), (2, 0), (3, 1)] and len(blobs()) == 2
     assert scan(old + [(1, "clean"), (4, "secret: zzzzzzzzz")]) == [(1, 0), (1, 1), (2, 0), (3, 1), (4, 1)]

@@ -4,6 +4,7 @@ import random
 import pytest
 import zstandard
 
+from plumbline.llm import common
 from plumbline.llm.warc import ArchiveError, ArchiveWriter, make_record, payload_digest, read_archive, read_archives, read_record, write_archives
 
 SCHEMA = "page_id long, url string, html string, id long, sha1 string, archive string, payload string"
@@ -20,7 +21,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, None, "s", "a", "p") for r in rows], SCHEMA).repartition(3)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 1])
+def test_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     rows = pages(700)
     got = read_archives(write_archives(frame(spark, rows), archive_bytes=20_000)).collect()
     best = {}
