@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, materialize, may_hold
-from .components import local_roots
+from .common import attach, group_lookup, materialize, may_hold
+from .components import components, local_roots
 
 BANDS, ROWS = 32, 4
 
@@ -65,29 +65,40 @@ def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.nd
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def similar_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, block: int = 512) -> DataFrame:
-    """Links (a, b) that connect the fingerprints of texts that are similar; rows are (fp, sh, keys, row) of docs, row a hash of id and text.
+def similar_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, block: int = 512, class_sets: int = 2048, class_shingles: int = 1 << 21) -> DataFrame:
+    """Links (a, b) that connect the fingerprints of texts that are similar; rows are (fp, row, sh, shingles, keys) of docs, row a hash of id and text.
 
-    Copies count once. Buckets of at most ``block`` sets are compared by one task each, equal buckets once. Larger ones are dealt into
-    chunks of about ``block`` by hash, and each pair of chunks is compared by a task of its own, so no task holds a large bucket and no
-    pair is left out. A task links each node to the smallest it is connected with. Of the candidates alone are texts read again, where they are.
+    Copies count once. Sets that share a bucket, directly or over others, are a class. One of at most class_sets sets and class_shingles
+    shingles is compared by one task. A larger class is compared by buckets: those of at most ``block`` sets by one task each, larger
+    ones dealt into chunks of about ``block`` by hash, with a task for each pair of chunks; so no task holds more, and no pair that shares a
+    bucket is left out. A task links each node to the smallest it is connected with. Of the candidates alone are texts read again, where they are.
     """
-    each = materialize(rows.where("size(keys) > 0").select("sh", "fp").distinct(), "shingle-sets")
-    sets = materialize(rows.where("size(keys) > 0").groupBy("sh").agg(F.min("fp").alias("node"), F.min("row").alias("row")), "sets")
-    equal = each.join(sets, "sh").where("fp <> node").select(F.col("fp").alias("a"), F.col("node").alias("b"))
-    banded = rows.select("sh", F.explode("keys").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("sh").alias("low"), F.max("sh").alias("high")).where("low < high")
-    members = materialize(attach(banded, {"_key": F.col("key")}, materialize(sizes.select(F.col("key").alias("_key"), "n"), "bucket-sizes")).where("n IS NOT NULL").select("key", "sh", "n"), "bucket-members")
-    # n counts copies too, so a bucket of few sets may be dealt into chunks as well
-    small = members.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_set("sh")).alias("all")).select("all").distinct()
+    worded = rows.where("size(keys) > 0")
+    sets = worded.groupBy("sh").agg(F.min("fp").alias("node"), F.max("fp").alias("high"), F.min("row").alias("row"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    sets = materialize(sets, "sets")
+    several = materialize(sets.where("node < high").select(F.col("sh").alias("_sh"), F.col("node").alias("b")), "set-fingerprints")
+    equal = attach(worded.select("sh", F.col("fp").alias("a")), {"_sh": F.col("sh")}, several).where("a <> b").select("a", "b").distinct()
+
+    banded = sets.select("sh", F.explode("keys").alias("key"))
+    sizes = materialize(banded.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    members = materialize(attach(banded, {"_key": F.col("key")}, sizes).where("n IS NOT NULL").select("key", "sh", "n"), "bucket-members")
+    to_low = group_lookup(members, ["key"], [("low", "min", "sh")], spread="sh")
+    roots = components(to_low.select(F.col("sh").alias("a"), F.col("low").alias("b")))
+    classes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("sh"), "root")
+    classes = materialize(classes.join(sets.select("sh", "shingles"), "sh"), "classes")
+    sized = group_lookup(classes, ["root"], [("n", "count", "sh"), ("total", "sum", "shingles")], spread="sh")
+    fits = (F.col("n") <= class_sets) & (F.col("total") <= class_shingles)
+    whole_class = sized.where(fits).select(F.col("root").alias("task"), "sh")
+    apart = members.join(sized.where(~fits).select("sh"), "sh", "left_semi")
+    small = apart.where(F.col("n") <= block).groupBy("key").agg(F.sort_array(F.collect_list("sh")).alias("all")).select("all").distinct()
     small = small.select(F.xxhash64("all").alias("task"), F.explode("all").alias("sh"))
     last = f"CAST(ceil(n / {block}) AS INT) - 1"
-    chunk = members.where(F.col("n") > block).select("key", "sh", "n").distinct().withColumn("c", F.expr(f"CAST(pmod(xxhash64(sh), {last} + 1) AS INT)"))
+    chunk = apart.where(F.col("n") > block).withColumn("c", F.expr(f"CAST(pmod(xxhash64(sh), {last} + 1) AS INT)"))
     chunk = chunk.select("key", "sh", "c", F.explode(F.expr(f"sequence(0, {last})")).alias("o"))
     large = chunk.select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("task"), "sh")
-    tasks = materialize(small.unionByName(large), "bucket-tasks")
+    tasks = materialize(whole_class.unionByName(small).unionByName(large), "bucket-tasks")
 
-    wanted = materialize(tasks.select("sh").distinct().join(sets, "sh"), "candidates")
+    wanted = materialize(classes.select("sh").join(sets.select("sh", "row", "node"), "sh"), "candidates")
     some = may_hold(docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row")), F.col("row"), wanted.select("row"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -96,7 +107,6 @@ def similar_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str,
             yield pd.DataFrame({"sh": [set_id(s) for s in made], "raw": [s.tobytes() for s in made]})
 
     full = some.select("t").mapInPandas(whole, "sh long, raw binary").dropDuplicates(["sh"]).join(wanted.select("sh", "node"), "sh")
-    full = materialize(full, "candidate-sets")
 
     def verify(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         a, b = linked([np.frombuffer(r, np.uint64) for r in x["raw"]], similarity)

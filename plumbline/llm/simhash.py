@@ -44,7 +44,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bands: bool = False, digests: bool = False) -> DataFrame:
-    """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also row, sh and keys (see shingles), with ``digests`` the text's SHA-256."""
+    """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also row, sh, shingles and keys (see shingles), with ``digests`` the text's SHA-256."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -53,14 +53,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if bands:
                 out["row"] = x["row"]
                 sets = [shingle_set(t) for t in x["t"]]
-                out["sh"], out["keys"] = [set_id(s) for s in sets], [band_keys(s) for s in sets]
+                out["sh"], out["shingles"], out["keys"] = [set_id(s) for s in sets], [len(s) for s in sets], [band_keys(s) for s in sets]
             if digests:
                 out["digest"] = [hashlib.sha256((t or "").encode()).digest() for t in x["t"]]
             yield out
 
     row = [F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row")] * bands
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), *row)
-    return source.mapInPandas(hashed, "id long, fp long" + ", row long, sh long, keys array<long>" * bands + ", digest binary" * digests)
+    return source.mapInPandas(hashed, "id long, fp long" + ", row long, sh long, shingles long, keys array<long>" * bands + ", digest binary" * digests)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -115,7 +115,7 @@ def meet(fps: np.ndarray, radius: int, bits: int, part: int, part_bits: int, blo
     return local_roots(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
 
 
-def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 16_000_000, block: int = 2_000_000) -> DataFrame:
+def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 16_000_000, block: int = 1_000_000) -> DataFrame:
     """Links (a, b) between the fingerprints of distinct (fp), n rows: every two fingerprints within max_bits are connected.
 
     The parts of the checksum space decide a task's load: 64 parts while a task can hold all n fingerprints

@@ -61,8 +61,8 @@ def test_blocks_hold_every_pair(spark, frame):
     rows = materialize(fingerprints(frame(docs), bands=True), "f")
     fp = {i: int(np.uint64(slow_fingerprint(t)).astype(np.int64)) for i, t in docs}
     want = roots(sorted(set(fp.values())), [(fp[a], fp[b]) for a, b in similar_pairs(docs)])
-    for block in (3, 512):
-        found = [tuple(r) for r in similar_links(frame(docs), rows, "doc_id", "text", block=block).collect()]
+    for options in ({}, {"class_sets": 4, "block": 3}, {"class_shingles": 100, "block": 512}):
+        found = [tuple(r) for r in similar_links(frame(docs), rows, "doc_id", "text", **options).collect()]
         assert roots(sorted(set(fp.values())), found) == want
 
 
