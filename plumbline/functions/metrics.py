@@ -44,11 +44,11 @@ def confusion(pred: Column, truth: Column) -> list[Column]:
 
 
 def binary_scores() -> list[Column]:
-    """accuracy, precision, recall, f1 from the columns of ``confusion``."""
-    tp, tn, fp, fn = (F.col(k) for k in ("tp", "tn", "fp", "fn"))
+    """accuracy, precision, recall, f1 from the columns of ``confusion``; a row without a prediction is not accurate."""
+    n, tp, tn, fp, fn = (F.col(k) for k in ("n", "tp", "tn", "fp", "fn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
     return [
-        ratio(tp + tn, tp + tn + fp + fn).alias("accuracy"),
+        ratio(tp + tn, n).alias("accuracy"),
         precision.alias("precision"),
         recall.alias("recall"),
         ratio(2 * precision * recall, precision + recall).alias("f1"),

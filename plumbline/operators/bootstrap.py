@@ -60,7 +60,8 @@ def distance_ci(pairs: DataFrame, points: DataFrame, replicates: int = 1000, cap
 
 
 def nearest_stability(candidates: DataFrame, points: DataFrame, replicates: int = 500, cap: int = 2000, seed: int = 42) -> DataFrame:
-    """Per question (object_a, label_b): the winner, the share of replicates of the reference's cloud that it wins, and the most frequent winner (the first on ties).
+    """Per question (object_a, label_b): n_candidates, the winner, the share of replicates of the reference's cloud that it wins (gt_stability, also
+    stability), the most frequent winner (the first on ties), its share (boot_winner_stability), and whether the two agree (gt_correct_point).
 
     A question's distances need only, per candidate, each reference point's least distance; those rows (cap numbers a candidate) meet in one task a question.
     """
@@ -80,11 +81,19 @@ def nearest_stability(candidates: DataFrame, points: DataFrame, replicates: int
         d, ids, rng = np.stack(x["near"]), x["object_b"].tolist(), _rng(seed, *map(str, key))
         winner = int(d.min(axis=1).argmin())
         wins = np.bincount([d[:, np.unique(rng.integers(0, d.shape[1], d.shape[1]))].min(axis=1).argmin() for _ in range(replicates)], minlength=len(ids))
-        return pd.DataFrame([(key[0], key[1], ids[winner], wins[winner] / replicates, ids[int(wins.argmax())])], columns=["object_a", "label_b", "winner", "stability", "boot_winner"])
+        often, share = int(wins.argmax()), wins / replicates
+        row = (key[0], key[1], len(ids), ids[winner], share[winner], share[winner], ids[often], share[often], often == winner)
+        return pd.DataFrame([row], columns=["object_a", "label_b", "n_candidates", "winner", "stability", "gt_stability", "boot_winner", "boot_winner_stability", "gt_correct_point"])
 
     rows = each.mapInPandas(near, "object_a string, label_b string, object_b string, ord_b int, near array<double>")
-    return rows.groupBy("object_a", "label_b").applyInPandas(vote, "object_a string, label_b string, winner string, stability double, boot_winner string")
+    return rows.groupBy("object_a", "label_b").applyInPandas(vote, "object_a string, label_b string, n_candidates long, winner string, stability double, gt_stability double, boot_winner string, boot_winner_stability double, gt_correct_point boolean")
 
 
 def summarise(ci: DataFrame) -> DataFrame:
     return ci.agg(F.count("*").alias("n"), F.avg("ci_width").alias("mean_width"), F.median("ci_width").alias("median_width"), F.max("ci_width").alias("max_width"), F.avg("ci_width_pct").alias("mean_width_pct"))
+
+
+def summarise_nearest(stability: DataFrame, least: float = 0.95) -> DataFrame:
+    """Over all questions: n, mean and least share of the winner, how many reach ``least``, and how often point and most frequent winner agree."""
+    s = F.col("gt_stability")
+    return stability.agg(F.count("*").alias("n"), F.avg(s).alias("mean_stability"), F.min(s).alias("min_stability"), F.count_if(s >= least).alias("n_stable"), F.count_if("gt_correct_point").alias("n_agree"))

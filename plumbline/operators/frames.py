@@ -5,6 +5,7 @@ A pose is the rigid camera-to-world matrix as 16 numbers, row by row; its invers
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +65,29 @@ def project_boxes(frames: DataFrame, boxes: DataFrame, scale: tuple[float, float
     return packed.where("ok").drop("ok")
 
 
+def in_view(frames: DataFrame, boxes: DataFrame, width: int, height: int, near: float = 1e-6, slack: float = 1e-6) -> DataFrame:
+    """Frames of a scene with the objects that may have a point in the image: those whose box isn't wholly on the outer side of one plane of the view.
+
+    frames(scene_id, frame_idx, pose, fx, fy, cx, cy), boxes(scene_id, object_id, aabb_min_*, aabb_max_*). A plane's greatest
+    value over a box is the sum of the greatest value along each axis, so no corner is made.
+    """
+    p = lambda i, j: F.col("pose")[4 * i + j]
+
+    def most(weight: dict[int, Column]) -> Column:
+        """Greatest value, over the box, of the sum of camera coordinates times their weights."""
+        parts = []
+        for i, k in enumerate("xyz"):
+            g = sum((p(i, j) * w for j, w in list(weight.items())[1:]), p(i, next(iter(weight))) * next(iter(weight.values())))
+            parts.append(F.greatest(g * (F.col(f"aabb_min_{k}") - p(i, 3)), g * (F.col(f"aabb_max_{k}") - p(i, 3))))
+        return parts[0] + parts[1] + parts[2]
+
+    planes = [{0: F.col("fx"), 2: F.col("cx")}, {0: -F.col("fx"), 2: (width - 1) - F.col("cx")}, {1: F.col("fy"), 2: F.col("cy")}, {1: -F.col("fy"), 2: (height - 1) - F.col("cy")}]
+    seen = most({2: F.lit(1.0)}) > near - slack
+    for w in planes:
+        seen = seen & (most(w) >= -slack)
+    return frames.join(boxes.select("scene_id", "object_id", *[f"aabb_{m}_{k}" for m in ("min", "max") for k in "xyz"]), "scene_id").where(seen).select(*frames.columns, "object_id")
+
+
 def image_boxes(projected: DataFrame, keys: list[str], width: int, height: int, least: int = 20) -> DataFrame:
     """Box of the points inside the image, by key, if there are ``least`` of them and the box isn't empty."""
     inside = projected.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))
@@ -106,6 +130,27 @@ def frame_range(frames: DataFrame, first: int, last: int, stride: int = 1) -> Da
     return frames.where(F.col("frame_idx").between(first, last) & ((F.col("frame_idx") - first) % stride == 0))
 
 
+def smooth_shapes(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.8) -> DataFrame:
+    """Exponential smoothing of boxes or points (arrays of numbers) of each key in order, number by number; a missing array carries on what was.
+
+    An array of another length than what was, or with a missing number, starts anew. One pass over a key's rows, in one task: meant for clips.
+    """
+    kinds = dict(rows.dtypes)
+    schema = f"{key} {kinds[key]}, " + ", ".join(f"{o} {kinds[o]}" for o in order) + f", {value} array<double>, smoothed array<double>"
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(order, kind="stable")
+        was, out = None, []
+        for v in x[value]:
+            if v is not None:
+                fresh = was is None or len(was) != len(v) or any(n is None or n != n for n in v)
+                was = list(v) if fresh else [alpha * a + (1 - alpha) * b for a, b in zip(was, v, strict=True)]
+            out.append(was)
+        return x.assign(smoothed=out)
+
+    return rows.select(key, *order, F.col(value).cast("array<double>").alias(value)).groupBy(key).applyInPandas(run, schema)
+
+
 def smooth(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.8) -> DataFrame:
     """Exponential smoothing of each key's values in order: alpha of what was and 1 - alpha of what comes; a missing value carries on what was.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -15,47 +15,41 @@ UNKNOWN = "Alias não encontrado."
 NO_CANDIDATE = "Nenhum candidato válido encontrado."
 
 
-def _bind(q: DataFrame, objects: DataFrame, slot: str) -> DataFrame:
-    """Adds object_<slot>, label_<slot>, ord_<slot> and the centroid of the object that the slot's alias names in the question's scene."""
-    cols = [F.col("scene_id"), F.col("alias").alias(slot)]
-    cols += [F.col("object_id").alias(f"object_{slot}"), F.col("label_norm").alias(f"label_{slot}"), F.col("ord").alias(f"ord_{slot}"), *[F.col(f"centroid_{k}").alias(f"{slot}_{k}") for k in "xyz"]]
-    return q.join(objects.select(*cols), ["scene_id", slot], "left")
-
-
-
-def answer(questions: DataFrame, objects: DataFrame, points: DataFrame, tau_between: float = 0.30, tau_align: float = 0.25, strategy: str = "pruned") -> DataFrame:
+def answer(questions: DataFrame, objects: DataFrame, points: DataFrame, tau_between: float = 0.30, tau_align: float = 0.25, strategy: str = "inplace") -> DataFrame:
     """questions(scene_id, question_id, text) to (scene_id, question_id, op, answer). objects have aliases (see operators.objects.aliases).
 
-    Questions outside the grammar and unknown names get a sentence instead of an error. Any number of questions over any
-    number of scenes is one job; only distance and nearest questions touch points, and each pair of objects once.
+    Questions outside the grammar and unknown names get a sentence instead of an error. Any number of questions over any number of scenes
+    is one job: a scene's objects travel as one row (tens of objects) and all names of a question are looked up in it; the pairs of
+    distance questions and the candidates of nearest questions then go through one distance pass. Question ids are unique within a scene.
     """
-    q = questions.withColumn("q", T.parse_query(F.col("text"))).select("scene_id", "question_id", "q.*")
-    out = [q.where("op IS NULL").select("scene_id", "question_id", F.lit("none").alias("op"), F.lit(OUTSIDE).alias("answer"))]
-
-    def done(df: DataFrame, text: Column, bound: str) -> None:
-        missing = F.lit(False)
-        for s in bound:
-            missing = missing | F.col(f"object_{s}").isNull()
-        out.append(df.select("scene_id", "question_id", "op", F.when(missing, UNKNOWN).otherwise(text).alias("answer")))
-
-    d = _bind(_bind(q.where("op = 'distance'"), objects, "a"), objects, "b")
-    known = S.surface_distance(d.where("object_a IS NOT NULL AND object_b IS NOT NULL").select("object_a", "object_b").distinct(), points, strategy)
-    done(d.join(known, ["object_a", "object_b"], "left"), F.format_string("%.4f m", "surface_distance"), "ab")
-
-    n = _bind(q.where("op = 'nearest'").drop("b"), objects, "a")
-    side = S.side(objects, "b").drop("b_x", "b_y", "b_z")
-    c = n.join(side, "scene_id").where("label_b = category AND object_b <> object_a")
-    best = S.nearest(S.surface_distance(c, points, strategy), "surface_distance", ("scene_id", "question_id"))
-    best = best.join(objects.select(F.col("object_id").alias("answer_object"), F.col("alias").alias("best")), "answer_object").drop("answer_object")
-    text = F.coalesce(F.format_string("%s, %.4f m", "best", "answer_distance"), F.lit(NO_CANDIDATE))
-    text = F.when(F.col("best").isNull(), NO_CANDIDATE).otherwise(text)
-    done(n.join(best, ["scene_id", "question_id"], "left"), text, "a")
-
-    b = _bind(_bind(_bind(q.where("op = 'between'"), objects, "x"), objects, "a"), objects, "b")
-    done(b, F.when(G.between_xy("x", "a", "b", tau_between), "sim").otherwise("não"), "xab")
-    a = _bind(_bind(_bind(q.where("op = 'aligned'"), objects, "a"), objects, "b"), objects, "c")
-    done(a, F.when(G.aligned_xy("a", "b", "c", tau_align), "sim").otherwise("não"), "abc")
-    union = out[0]
-    for df in out[1:]:
-        union = union.unionByName(df)
-    return union
+    held = F.struct(F.col("object_id").alias("id"), F.col("label_norm").alias("label"), "ord", "alias", *[F.col(f"centroid_{k}").cast("double").alias(k) for k in "xyz"])
+    scenes = objects.groupBy("scene_id").agg(F.collect_list(held).alias("all"))
+    q = questions.withColumn("q", T.parse_query(F.col("text"))).select("scene_id", "question_id", "q.*").join(scenes, "scene_id", "left")
+    slots = {"distance": "ab", "nearest": "a", "between": "xab", "aligned": "abc"}
+    called = lambda s: F.get(F.filter("all", lambda o: o["alias"] == F.col(s)), 0)
+    q = q.withColumns({f"_{s}": called(s) for s in "xabc"})
+    missing = F.lit(False)
+    for op, used in slots.items():
+        for s in used:
+            missing = missing | ((F.col("op") == op) & F.col(f"_{s}").isNull())
+    q = q.withColumn("missing", missing)
+
+    near = F.filter("all", lambda o: (o["label"] == F.col("category")) & (o["id"] != F.col("_a.id")))
+    to = F.when(F.col("op") == "distance", F.array("_b")).when(F.col("op") == "nearest", near)
+    pairs = q.where("op IN ('distance', 'nearest') AND NOT missing").select("scene_id", "question_id", F.col("_a.id").alias("object_a"), F.explode(to).alias("o"))
+    pairs = pairs.select("scene_id", "question_id", "object_a", F.col("o.id").alias("object_b"), F.col("o.ord").alias("ord"), F.col("o.alias").alias("best"))
+    least = F.min(F.struct(F.col("surface_distance").alias("d"), "ord", "best")).alias("m")
+    found = S.surface_distance(pairs, points, strategy).groupBy("scene_id", "question_id").agg(least)
+
+    flat = [F.col(f"_{s}.{k}").alias(f"{s}_{k}") for s in "xabc" for k in "xyz"]
+    out = q.select("scene_id", "question_id", "op", "missing", *flat).join(found, ["scene_id", "question_id"], "left")
+    text = (
+        F.when(F.col("op").isNull(), OUTSIDE)
+        .when(F.col("missing"), UNKNOWN)
+        .when(F.col("op") == "distance", F.format_string("%.4f m", "m.d"))
+        .when((F.col("op") == "nearest") & F.col("m").isNull(), NO_CANDIDATE)
+        .when(F.col("op") == "nearest", F.format_string("%s, %.4f m", "m.best", "m.d"))
+        .when(F.col("op") == "between", F.when(G.between_xy("x", "a", "b", tau_between), "sim").otherwise("não"))
+        .when(F.col("op") == "aligned", F.when(G.aligned_xy("a", "b", "c", tau_align), "sim").otherwise("não"))
+    )
+    return out.select("scene_id", "question_id", F.coalesce("op", F.lit("none")).alias("op"), text.alias("answer"))

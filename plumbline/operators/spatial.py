@@ -35,50 +35,55 @@ def triples(objects: DataFrame) -> DataFrame:
     return pairs(objects).join(side(objects, "c"), "scene_id").where("ord_b < ord_c")
 
 
-def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6, cell: float = 0.5) -> DataFrame:
+def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6, cell: float = 0.5, prune_above: int = 4096) -> DataFrame:
     """pairs_(object_a, object_b, ...) plus surface_distance: the least distance of a point of one object to one of the other.
 
     points(object_id, x, y, z). An object without points gives no row. Each distinct pair is computed once. Clouds are packed, a row an
     object, and meet the pair list in two joins; point pairs are then made and reduced to one row a pair within each task, so
-    none of them is shuffled. Strategies, all exact: "exploded" takes all point pairs; "pruned" first takes an upper bound from
-    ``probes`` points a side and drops the points that are further than it from the other cloud's box; "arrow" leaves a pair's clouds to numpy;
-    "grid" is for clouds too large for one row: they are packed by cells of side ``cell``, and only cells that can hold the closest two meet.
+    none of them is shuffled. Strategies, all exact: "exploded" takes all point pairs; "pruned" does so for pairs of at most ``prune_above``
+    point pairs, and of larger clouds first drops the points that are further from the other's box than an upper bound from ``probes``
+    points a side; "inplace" prunes alike and works each row's distance out within the row, for lists that hardly repeat a pair: the list is
+    worked out once, and a repeated pair is computed again; "arrow" leaves a pair's clouds to numpy; "grid" is for clouds too large for one row: they are packed by cells of
+    side ``cell``, and only cells that can hold the closest two meet.
     """
+    keys = ["object_a", "object_b"]
+    if strategy not in ("pruned", "inplace", "exploded", "arrow", "grid"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    todo = pairs_.select(*keys).distinct()
     if strategy == "grid":
-        return pairs_.join(_grid_distance(pairs_.select("object_a", "object_b").distinct(), points, cell), ["object_a", "object_b"])
+        return pairs_.join(_grid_distance(todo, points, cell), keys)
     p = points.select("object_id", *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    bounds = [f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))] if strategy == "pruned" else []
+    bounds = [f(k).alias(f"{n}_{k}") for k in "xyz" for n, f in (("min", F.min), ("max", F.max))] if strategy in ("pruned", "inplace") else []
     packed = p.groupBy("object_id").agg(F.collect_list(F.struct("x", "y", "z")).alias("cloud"), *bounds)
-    named = lambda s: packed.select(*[F.col(c).alias("object_" + s if c == "object_id" else f"{s}_{c}") for c in packed.columns])
-    keys = ["object_a", "object_b"]
-    both = pairs_.select(*keys).distinct().join(named("a"), "object_a").join(named("b"), "object_b")
+    named = lambda s: packed.select(*[F.col(c).alias("object_" + s if c == "object_id" else f"_{s}_{c}") for c in packed.columns])
+    both = (pairs_ if strategy == "inplace" else todo).join(named("a"), "object_a").join(named("b"), "object_b")
+    near = [_near_points("a", "b", probes, prune_above).alias("_a_cloud"), _near_points("b", "a", probes, prune_above).alias("_b_cloud")] if bounds else []
+    if strategy == "inplace":
+        least = F.array_min(F.transform("_a_cloud", lambda u: F.array_min(F.transform("_b_cloud", lambda v: _d2(u, v)))))
+        return both.select(*pairs_.columns, *near).select(*pairs_.columns, F.sqrt(least).alias("surface_distance"))
     if strategy == "arrow":
         found = both.mapInPandas(_least_by_numpy, "object_a string, object_b string, surface_distance double")
-    elif strategy in ("exploded", "pruned"):
-        if strategy == "pruned":
-            both = _near_points(both, probes)
-        d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
-        # outer: no cloud is empty, and a plain explode would infer filters that work out the pruning again for each point
-        each = both.select(*keys, F.explode_outer("a_cloud").alias("u"), "b_cloud").select(*keys, "u", F.explode_outer("b_cloud").alias("v"))
-        found = each.groupBy(*keys).agg(F.sqrt(F.min(d2(F.col("u"), F.col("v")))).alias("surface_distance"))
     else:
-        raise ValueError(f"unknown strategy {strategy!r}")
+        if strategy == "pruned":
+            both = both.select(*keys, *near)
+        # outer: no cloud is empty, and a plain explode would infer filters that repeat the work for each point
+        each = both.select(*keys, F.explode_outer("_a_cloud").alias("u"), "_b_cloud").select(*keys, "u", F.explode_outer("_b_cloud").alias("v"))
+        found = each.groupBy(*keys).agg(F.sqrt(F.min(_d2(F.col("u"), F.col("v")))).alias("surface_distance"))
     return pairs_.join(found, keys)
 
 
-def _near_points(both: DataFrame, probes: int) -> DataFrame:
-    """Of each cloud only the points within the pair's upper bound of the other's box: the closest two are always among them."""
-    d2 = lambda u, v: G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
-    few = lambda s: F.slice(f"{s}_cloud", 1, probes)
-    both = both.withColumns({"_pa": few("a"), "_pb": few("b")})
-    bound = F.array_min(F.transform("_pa", lambda u: F.array_min(F.transform("_pb", lambda v: d2(u, v)))))
-    both = both.withColumn("_bound", bound * (1 + 1e-9))
+def _d2(u: Column, v: Column) -> Column:
+    return G.sq(u["x"] - v["x"]) + G.sq(u["y"] - v["y"]) + G.sq(u["z"] - v["z"])
 
-    def near(s: str, other: str) -> Column:
-        gap = lambda u, k: F.greatest(F.lit(0.0), F.col(f"{other}_min_{k}") - u[k], u[k] - F.col(f"{other}_max_{k}"))
-        return F.filter(f"{s}_cloud", lambda u: G.sq(gap(u, "x")) + G.sq(gap(u, "y")) + G.sq(gap(u, "z")) <= F.col("_bound"))
 
-    return both.select("object_a", "object_b", near("a", "b").alias("a_cloud"), near("b", "a").alias("b_cloud"))
+def _near_points(s: str, other: str, probes: int, prune_above: int) -> Column:
+    """Of a cloud only the points within the pair's upper bound of the other's box (the closest two are always among them); small clouds whole."""
+    few = lambda s: F.slice(f"_{s}_cloud", 1, probes)
+    bound = F.array_min(F.transform(few(s), lambda u: F.array_min(F.transform(few(other), lambda v: _d2(u, v))))) * (1 + 1e-9)
+    gap = lambda u, k: F.greatest(F.lit(0.0), F.col(f"_{other}_min_{k}") - u[k], u[k] - F.col(f"_{other}_max_{k}"))
+    # the bound is worked out once a row: it is the element of an array that the filter runs in
+    near = F.transform(F.array(bound), lambda b: F.filter(f"_{s}_cloud", lambda u: G.sq(gap(u, "x")) + G.sq(gap(u, "y")) + G.sq(gap(u, "z")) <= b))[0]
+    return F.when(F.size("_a_cloud") * F.size("_b_cloud") > prune_above, near).otherwise(F.col(f"_{s}_cloud"))
 
 
 def _grid_distance(todo: DataFrame, points: DataFrame, cell: float) -> DataFrame:
@@ -102,7 +107,7 @@ def _least_by_numpy(batches: Iterator[pd.DataFrame], block: int = 2048) -> Itera
 
     for x in batches:
         out = []
-        for a, b in zip(x["a_cloud"], x["b_cloud"], strict=True):
+        for a, b in zip(x["_a_cloud"], x["_b_cloud"], strict=True):
             u, v = sorted((np.array([(q["x"], q["y"], q["z"]) for q in c]) for c in (a, b)), key=len)
             out.append(min(float(((u[:, None, :] - v[None, i : i + block, :]) ** 2).sum(axis=2).min()) for i in range(0, len(v), block)) ** 0.5)
         yield pd.DataFrame({"object_a": x["object_a"], "object_b": x["object_b"], "surface_distance": out})

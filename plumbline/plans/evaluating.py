@@ -99,7 +99,7 @@ def nearest_failures(spark, sf_dir):
     return E.failures(_nearest(spark, sf_dir), "pred", "truth")
 
 
-_SCORES = """round((tp + tn) / nullif(tp + tn + fp + fn, 0)::DOUBLE, 6) AS accuracy, coalesce(round(tp / nullif(tp + fp, 0)::DOUBLE, 6), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0)::DOUBLE, 6), 0) AS recall,
+_SCORES = """round((tp + tn) / nullif(n, 0)::DOUBLE, 6) AS accuracy, coalesce(round(tp / nullif(tp + fp, 0)::DOUBLE, 6), 0) AS precision, coalesce(round(tp / nullif(tp + fn, 0)::DOUBLE, 6), 0) AS recall,
     coalesce(round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6), 0) AS f1"""
 _CELLS = "count(*) AS n, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 0) AS tn, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn"
 _SC = ["accuracy", "precision", "recall", "f1"]
@@ -207,6 +207,11 @@ def bootstrap_nearest(spark, sf_dir):
     return B.nearest_stability(S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS), clouds(spark, sf_dir, v))
 
 
+@query("bootstrap_nearest_summary")
+def bootstrap_nearest_summary(spark, sf_dir):
+    return B.summarise_nearest(bootstrap_nearest(spark, sf_dir))
+
+
 @query("stratified_sample")
 def stratified_sample(spark, sf_dir):
     """Ten events of each type, chosen by hash."""

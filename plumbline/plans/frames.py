@@ -88,7 +88,8 @@ def bbox2d(spark, sf_dir):
     from .adapters import clouds
 
     v = valid_objects(spark, sf_dir)
-    p = R.project(_frames(v).join(clouds(spark, sf_dir, v), "scene_id"))
+    seen = R.in_view(_frames(v), v, W, H)
+    p = R.project(seen.join(clouds(spark, sf_dir, v).drop("pt_idx"), ["scene_id", "object_id"]))
     return R.clamp_boxes(R.image_boxes(p, ["scene_id", "frame_idx", "object_id"], W, H, 18), 600, 400)
 
 
@@ -150,3 +151,17 @@ def frame_window(spark, sf_dir):
 def ema_smooth(spark, sf_dir):
     rows = _clock(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")))
     return R.smooth(rows, "scene_id", ["frame_idx"], "value").withColumn("smoothed", F.round("smoothed", 6))
+
+
+@query(
+    "ema_boxes",
+    f"""{_CLOCK.replace('WITH', 'WITH RECURSIVE')}, m AS (SELECT scene_id, frame_idx, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 10 = 0 THEN [value, value + 1] ELSE [value, value / 2, value + 3, value * 2] END AS box FROM ck),
+    r AS (SELECT scene_id, frame_idx, box, box AS s FROM m WHERE frame_idx = 0 UNION ALL SELECT m.scene_id, m.frame_idx, m.box, CASE WHEN m.box IS NULL THEN r.s WHEN r.s IS NULL OR len(r.s) <> len(m.box) THEN m.box WHEN len(r.s) = 2 THEN [0.8 * r.s[1] + 0.2 * m.box[1], 0.8 * r.s[2] + 0.2 * m.box[2]] ELSE [0.8 * r.s[1] + 0.2 * m.box[1], 0.8 * r.s[2] + 0.2 * m.box[2], 0.8 * r.s[3] + 0.2 * m.box[3], 0.8 * r.s[4] + 0.2 * m.box[4]] END FROM r JOIN m ON m.scene_id = r.scene_id AND m.frame_idx = r.frame_idx + 1)
+    SELECT scene_id, frame_idx, len(s) AS sides, round(s[1], 6) AS s0, round(s[2], 6) AS s1, round(s[3], 6) AS s2, round(s[4], 6) AS s3 FROM r""",
+)
+def ema_boxes(spark, sf_dir):
+    v = F.col("value")
+    box = F.when(F.col("event_id") % 9 == 0, None).when(F.col("event_id") % 10 == 0, F.array(v, v + 1)).otherwise(F.array(v, v / 2, v + 3, v * 2))
+    out = R.smooth_shapes(_clock(spark, sf_dir).withColumn("box", box), "scene_id", ["frame_idx"], "box")
+    sides = F.when(F.col("smoothed").isNotNull(), F.size("smoothed").cast("long"))
+    return out.select("scene_id", "frame_idx", sides.alias("sides"), *[F.round(F.get("smoothed", i), 6).alias(f"s{i}") for i in range(4)])
