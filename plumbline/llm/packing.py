@@ -25,7 +25,7 @@ class WordTokenizer:
     that holds a literal of an added token, goes through the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, memo_words: int = 400_000):
+    def __init__(self, path: str, memo_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -204,8 +204,10 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow
         from pyspark import TaskContext
 
+        pyarrow.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
         if vocabulary not in _TOKENIZERS:
             _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary)
         tokenizer, sequence = _TOKENIZERS[vocabulary], TaskContext.get().partitionId() << 40
