@@ -4,17 +4,42 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from array import array
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, groupby, islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The vocabulary's fixed splitting rule (contractions, runs of letters, single digits, runs of others) for words of PLAIN letters.
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ž]+")
-PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ž]+")
+#: The vocabulary's fixed splitting rule (contractions, runs of letters, single digits, runs of others) for words of PLAIN letters, one a line.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[^\sa-z0-9À-ÖØ-öø-ž]+|\n")
+PLAIN = re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
+#: Stands for the end of a word among ids; no vocabulary is that large.
+_END = 0xFFFFFFFF
+
+
+class _Pieces(dict):
+    """Ids of a word's pieces as bytes of 32-bit numbers, worked out by the BPE model when first asked for."""
+
+    def __init__(self, model):
+        self.model = model
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.letters = str.maketrans({b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self["\n"] = array("I", [_END]).tobytes()
+
+    def __missing__(self, s: str) -> bytes:
+        written = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+        ids = self[s] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids
 
 
 class WordTokenizer:
@@ -22,7 +47,8 @@ class WordTokenizer:
 
     Blanks always end a token of such a vocabulary, so a text's ids are those of its blank-separated words in turn. A word
     of ASCII and Latin letters below U+017F is split here and only its pieces go to the BPE model; any other word, and a word
-    that holds a literal of an added token, goes through the tokenizer as a whole.
+    that holds a literal of an added token, goes through the tokenizer as a whole. A text's unknown words are learnt together.
+    Beyond memo_words words the half seen in fewer texts is forgotten, which costs time to learn them again and nothing else.
     """
 
     def __init__(self, path: str, memo_words: int = 200_000):
@@ -30,58 +56,74 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model, self.memo_words = self.tokenizer.model, memo_words
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = str.maketrans({b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)})
-        self.reset()
-
-    def reset(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def _piece(self, s: str) -> tuple[int, ...]:
-        ids = self.pieces.get(s)
-        if ids is None:
-            written = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[s] = tuple([t.id for t in self.model.tokenize(written)])
-        return ids
-
-    def word(self, raw: bytes) -> Sequence[int]:
-        s = raw.decode()
-        if s.isascii() and s.isalpha():
-            return self._piece(s.lower())
-        if not PLAIN.fullmatch(s) or "İ" in s or any(a in s for a in self.added):
-            return self.tokenizer.encode(s, add_special_tokens=False).ids
-        return [i for p in _SPLIT.findall(s.lower()) for i in self._piece(p)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = [self.word(w) for w in words]
-        n, total = len(self.number), self.used + sum(map(len, found))
-        while total > len(self.flat):
+        self.pieces, self.memo_words = _Pieces(self.tokenizer.model), memo_words
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size, self.texts = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self._number([])
+
+    def _number(self, words: list[bytes]) -> None:
+        """Numbers words from 0; asking for another word gives it the next number."""
+        self.number: defaultdict[bytes, int] = defaultdict(count(len(words)).__next__, zip(words, range(len(words)), strict=True))
+
+    def _plain(self, s: str) -> bool:
+        return PLAIN.fullmatch(s) is not None and not any(a in s for a in self.added)
+
+    def words(self, raw: list[bytes]) -> np.ndarray:
+        """Ids of the words in turn, each followed by _END."""
+        lines = b"\n".join([*raw, b""]).decode()
+        if self._plain(lines):
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, _SPLIT.findall(lines.lower()))), np.uint32)
+        if len(raw) == 1:
+            return np.array([*self.tokenizer.encode(lines[:-1], add_special_tokens=False).ids, _END], np.uint32)
+        plain = [self._plain(w.decode()) for w in raw]
+        if not any(plain):
+            return np.concatenate([self.words([w]) for w in raw])
+        runs = [[w for _, w in g] for _, g in groupby(zip(plain, raw, strict=True), key=lambda x: x[0])]
+        return np.concatenate([self.words(r) for r in runs])
+
+    def _learn(self, n: int) -> None:
+        """Learns the words from number n on."""
+        new = len(self.number) - n
+        found = self.words(list(islice(reversed(self.number), new))[::-1])
+        last = found == _END
+        ends = np.flatnonzero(last) - np.arange(new)
+        found = found[~last]
+        while self.used + len(found) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while n + len(words) > len(self.start):
-            self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.size[n : n + len(words)] = size
-        self.start[n : n + len(words)] = self.used + np.cumsum(size) - size
-        self.flat[self.used : total] = [i for f in found for i in f]
-        self.used = total
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        while n + new > len(self.start):
+            self.start, self.size, self.texts = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.texts))
+        self.size[n : n + new] = np.diff(ends, prepend=0)
+        self.start[n : n + new] = self.used + ends - self.size[n : n + new]
+        self.texts[n : n + new] = 0
+        self.flat[self.used : self.used + len(found)] = found
+        self.used += len(found)
+
+    def _forget(self) -> None:
+        n = len(self.number)
+        kept = np.sort(np.argpartition(-self.texts[:n], n // 2)[: n // 2])
+        words = list(self.number)
+        self._number([words[i] for i in kept.tolist()])
+        flat = self._gather(kept)
+        self.size[: len(kept)], self.texts[: len(kept)] = self.size[kept], self.texts[kept] >> 1
+        self.start[: len(kept)] = np.cumsum(self.size[: len(kept)]) - self.size[: len(kept)]
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.pieces.reset()
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        ends = np.cumsum(size, dtype=np.int64)
+        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().split()
         if len(self.number) > self.memo_words:
-            self.reset()
-        if new := list(set(words).difference(self.number)):
-            self._learn(new)
+            self._forget()
+        n = len(self.number)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(total)]
+        if len(self.number) > n:
+            self._learn(n)
+        self.texts[at] += 1
+        return self._gather(at)
 
 
 @lru_cache(maxsize=4)

@@ -95,3 +95,13 @@ def test_round_trip(frame, odd_texts):
 
 def test_empty_table(frame):
     assert pack(frame([]), PATH).collect() == []
+
+
+def test_forgotten_words_are_learnt_again():
+    rng = random.Random(4)
+    words = [rng.choice(["", "É", "x"]) + "".join(rng.choices("abcdeß中'1.", k=rng.randint(1, 7))) for _ in range(400)]
+    small = WordTokenizer(PATH, memo_words=50)
+    for _ in range(60):
+        text = " ".join(rng.choices(words, k=30) + words[:10])
+        assert small.ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+        assert len(small.number) <= 100
