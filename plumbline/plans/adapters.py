@@ -1,7 +1,8 @@
 """Spatial tables from the driver's tables, as DataFrames and as the SQL that says the same for DuckDB.
 
 Embeddings become objects: 25 vectors make a scene, and a vector's 64 numbers 21 points (the last number is unused), in units of
-centimetres, so that the official thresholds bite. Every seventh object has 5 points only; two of ten labels are unknown.
+centimetres, so that the official thresholds bite. Two of ten labels are unknown. Clouds of one scene overlap in height; where a query needs objects
+above others, each is raised by ``shelf`` times vec_id % 5.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ from ..operators import objects as O
 RAW = ["Office Chair", "dining table", "desk", "couch", " bed ", "door", "Kitchen Cabinet", "tv", None, "other"]
 PER_SCENE = 25
 MIN_POINTS, MIN_POINTS_MONITOR = 20, 15
+#: How much objects on the next shelf are raised, in queries about above.
+SHELF = 20.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def points(spark: SparkSession, sf_dir: str, most: int = 21) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, shelf: float = 0.0) -> DataFrame:
     """Points of all objects: scene_id, instance_id_raw, label_raw, pt_idx, x, y, z."""
     e = read(spark, sf_dir, "embeddings").select(
         F.format_string("scene%04d_00", F.expr("CAST(vec_id div 25 AS INT)")).alias("scene_id"),
         F.col("vec_id").cast("int").alias("instance_id_raw"),
         F.get(F.array(*map(F.lit, RAW)), F.pmod("label", F.lit(10))).alias("label_raw"),
-        F.expr(f"transform(sequence(0, least({most}, IF(vec_id % 7 = 0, 5, 21)) - 1), i -> struct(100D * CAST(embedding[3 * i] AS DOUBLE) AS x, 100D * CAST(embedding[3 * i + 1] AS DOUBLE) AS y, 100D * CAST(embedding[3 * i + 2] AS DOUBLE) AS z))").alias("p"),
+        F.expr(f"transform(sequence(0, 20), i -> struct(100D * CAST(embedding[3 * i] AS DOUBLE) AS x, 100D * CAST(embedding[3 * i + 1] AS DOUBLE) AS y, 100D * CAST(embedding[3 * i + 2] AS DOUBLE) + {float(shelf)}D * (vec_id % 5) AS z))").alias("p"),
     )
     return e.select("scene_id", "instance_id_raw", "label_raw", F.posexplode_outer("p").alias("pt_idx", "q")).select("scene_id", "instance_id_raw", "label_raw", "pt_idx", "q.*")
 
 
-def objects(spark: SparkSession, sf_dir: str, most: int = 21, min_points: int = MIN_POINTS, min_points_monitor: int = MIN_POINTS_MONITOR) -> DataFrame:
-    return O.manifest(points(spark, sf_dir, most), min_points, min_points_monitor)
+def objects(spark: SparkSession, sf_dir: str, shelf: float = 0.0, min_points: int = MIN_POINTS, min_points_monitor: int = MIN_POINTS_MONITOR) -> DataFrame:
+    return O.manifest(points(spark, sf_dir, shelf), min_points, min_points_monitor)
 
 
 def valid_objects(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -48,15 +51,15 @@ _NORM = "CASE label % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumera
 _RAW = "CASE label % 10 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(RAW) if c) + " END"
 
 
-def objects_sql(most: int = 21, min_points: int = MIN_POINTS, min_points_monitor: int = MIN_POINTS_MONITOR) -> str:
+def objects_sql(shelf: float = 0.0, min_points: int = MIN_POINTS, min_points_monitor: int = MIN_POINTS_MONITOR) -> str:
     """CTEs pts (points), obj (all objects) and v (valid objects)."""
     need = f"CASE WHEN label_norm = 'monitor' THEN {min_points_monitor} ELSE {min_points} END"
     ext = "least(extent_x, extent_y, extent_z)"
     return f"""WITH pts AS (
         SELECT printf('scene%04d_00', vec_id // 25) AS scene_id, vec_id::INT AS instance_id_raw, {_RAW} AS label_raw, {_NORM} AS label_norm, i::INT AS pt_idx,
                printf('%s__%s_%03d', printf('scene%04d_00', vec_id // 25), coalesce({_NORM}, 'unknown'), vec_id) AS object_id,
-               100.0::DOUBLE * embedding[3 * i + 1]::DOUBLE AS x, 100.0::DOUBLE * embedding[3 * i + 2]::DOUBLE AS y, 100.0::DOUBLE * embedding[3 * i + 3]::DOUBLE AS z
-        FROM embeddings, range(21) t(i) WHERE i < least({most}, CASE WHEN vec_id % 7 = 0 THEN 5 ELSE 21 END)),
+               100.0::DOUBLE * embedding[3 * i + 1]::DOUBLE AS x, 100.0::DOUBLE * embedding[3 * i + 2]::DOUBLE AS y, 100.0::DOUBLE * embedding[3 * i + 3]::DOUBLE + {float(shelf)}::DOUBLE * (vec_id % 5) AS z
+        FROM embeddings, range(21) t(i)),
     m AS (SELECT scene_id, instance_id_raw, label_raw, label_norm, object_id, count(*)::INT AS n_points,
                {', '.join(f'avg({k}) AS centroid_{k}, min({k}) AS aabb_min_{k}, max({k}) AS aabb_max_{k}, max({k}) - min({k}) AS extent_{k}' for k in 'xyz')}
         FROM pts GROUP BY scene_id, instance_id_raw, label_raw, label_norm, object_id),

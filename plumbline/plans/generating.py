@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import candidates as C
 from ..operators import objects as O
 from ..operators import questions as Q
-from .adapters import SURFACE_SQL, clouds, distance_sql, objects_sql, segment_sql, valid_objects
+from .adapters import SHELF, SURFACE_SQL, clouds, distance_sql, objects_sql, segment_sql, valid_objects
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -121,13 +121,13 @@ def _above(pos: bool) -> str:
 
 @query(
     "above_examples",
-    f"""{objects_sql(3, 3, 3)}, r AS (SELECT a.scene_id, a.object_id AS a_id, a.label_norm AS a_l, b.object_id AS b_id, b.label_norm AS b_l, a.aabb_min_z AS a_min, a.aabb_max_z AS a_max, b.aabb_min_z AS b_min, b.aabb_max_z AS b_max, a.aabb_min_z - b.aabb_max_z AS gap,
+    f"""{objects_sql(SHELF)}, r AS (SELECT a.scene_id, a.object_id AS a_id, a.label_norm AS a_l, b.object_id AS b_id, b.label_norm AS b_l, a.aabb_min_z AS a_min, a.aabb_max_z AS a_max, b.aabb_min_z AS b_min, b.aabb_max_z AS b_max, a.aabb_min_z - b.aabb_max_z AS gap,
         row_number() OVER (PARTITION BY a.scene_id ORDER BY a.aabb_min_z - b.aabb_max_z DESC, a.ord, b.ord) AS rk FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.ord <> b.ord WHERE a.aabb_min_z - b.aabb_max_z >= 0.1),
     p AS (SELECT *, printf('above_%s_%04d', scene_id, row_number() OVER (ORDER BY scene_id, rk) - 1) AS pairing_group FROM r WHERE rk <= 5)
     {_above(True)} UNION ALL {_above(False)}""",
 )
 def above_examples(spark, sf_dir):
-    return C.above_examples(valid_objects(spark, sf_dir, most=3, min_points=3, min_points_monitor=3))
+    return C.above_examples(valid_objects(spark, sf_dir, shelf=SHELF))
 
 
 def _aliased(spark, sf_dir):

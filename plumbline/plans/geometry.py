@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import objects as O
 from ..operators import spatial as S
-from .adapters import SURFACE_SQL, clouds, distance_sql, objects, objects_sql, segment_sql, valid_objects
+from .adapters import SHELF, SURFACE_SQL, clouds, distance_sql, objects, objects_sql, segment_sql, valid_objects
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -109,18 +109,18 @@ query("aligned_relative_aabb", f"{_BOXED} {_TRIP}, round({_MID['line']}, 6) AS d
     _aligned(0.05, pivot="middle", tau_mode="relative")
 )
 
-_SMALL = objects_sql(3, 3, 3)
+_SHELVES = objects_sql(SHELF)
 
 
-@query("above_pairs", f"{_SMALL} SELECT a.scene_id, a.object_id AS object_a, b.object_id AS object_b, round(a.aabb_min_z - b.aabb_max_z, 6) AS gap_z, a.aabb_min_z >= b.aabb_max_z AS is_above FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.ord <> b.ord")
+@query("above_pairs", f"{_SHELVES} SELECT a.scene_id, a.object_id AS object_a, b.object_id AS object_b, round(a.aabb_min_z - b.aabb_max_z, 6) AS gap_z, a.aabb_min_z >= b.aabb_max_z AS is_above FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.ord <> b.ord")
 def above_pairs(spark, sf_dir):
-    v = valid_objects(spark, sf_dir, most=3, min_points=3, min_points_monitor=3)
+    v = valid_objects(spark, sf_dir, shelf=SHELF)
     return S.above_pairs(v).select("scene_id", "object_a", "object_b", F.round("gap_z", 6).alias("gap_z"), "is_above")
 
 
-@query("above_missing", f"{_SMALL} SELECT a.object_id AS object_a, b.object_id AS object_b, va.aabb_min_z >= vb.aabb_max_z AS is_above FROM obj a JOIN obj b ON b.instance_id_raw = a.instance_id_raw + 1 LEFT JOIN v va ON va.object_id = a.object_id LEFT JOIN v vb ON vb.object_id = b.object_id")
+@query("above_missing", f"{_SHELVES} SELECT a.object_id AS object_a, b.object_id AS object_b, va.aabb_min_z >= vb.aabb_max_z AS is_above FROM obj a JOIN obj b ON b.instance_id_raw = a.instance_id_raw + 1 LEFT JOIN v va ON va.object_id = a.object_id LEFT JOIN v vb ON vb.object_id = b.object_id")
 def above_missing(spark, sf_dir):
-    o = objects(spark, sf_dir, most=3, min_points=3, min_points_monitor=3)
+    o = objects(spark, sf_dir, shelf=SHELF)
     a = o.select(F.col("object_id").alias("object_a"), (F.col("instance_id_raw") + 1).alias("i"))
     q = a.join(o.select(F.col("object_id").alias("object_b"), F.col("instance_id_raw").alias("i")), "i").drop("i")
     return S.answer_above(q, O.valid(o)).select("object_a", "object_b", "is_above")

@@ -99,7 +99,7 @@ def scene_rank(spark, sf_dir):
 _POOL_COLS = ["scene_id", "family_id", "room_group", "selection_score", "n_valid_objects", "n_valid_categories"]
 _GROUPS = ["bedroom", "living_room", "office_study", "mixed_other"]
 _POOL = f"""WITH pool AS (SELECT printf('scene%04d_%02d', p_partkey // 3, p_partkey % 3) AS scene_id, printf('scene%04d', p_partkey // 3) AS family_id, [{', '.join(f"'{g}'" for g in _GROUPS)}][p_partkey % 4 + 1] AS room_group,
-    (p_size / 2.0)::DOUBLE AS selection_score, p_size % 11 AS n_valid_objects, p_partkey % 5 AS n_valid_categories FROM part WHERE p_partkey < 75)"""
+    (p_size / 2.0)::DOUBLE AS selection_score, p_size % 11 AS n_valid_objects, p_partkey % 5 AS n_valid_categories FROM part)"""
 _B = "selection_score DESC, n_valid_objects DESC, n_valid_categories DESC, scene_id"
 
 
@@ -116,7 +116,6 @@ def _pool(spark, sf_dir):
     k = F.col("p_partkey")
     return (
         read(spark, sf_dir, "part")
-        .where("p_partkey < 75")
         .select(
             F.format_string("scene%04d_%02d", F.expr("CAST(p_partkey div 3 AS INT)"), (k % 3).cast("int")).alias("scene_id"),
             F.format_string("scene%04d", F.expr("CAST(p_partkey div 3 AS INT)")).alias("family_id"),
@@ -169,16 +168,6 @@ def review_final(spark, sf_dir):
     return R.with_row_id(_sheet(spark, sf_dir).where(R.review_kept(F.col("review_keep"))), "dev_q_", ["event_id"])
 
 
-@query(
-    "master_queries",
-    """WITH u AS (SELECT 'distance' AS operator, o_orderkey AS k, o_totalprice AS d, NULL AS c FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'nearest', c_custkey, NULL, c_mktsegment FROM customer WHERE c_custkey % 5 = 0)
-    SELECT *, '' AS review_keep, printf('dev_q_%04d', row_number() OVER (ORDER BY operator, k) - 1) AS query_id FROM u""",
-)
-def master_queries(spark, sf_dir):
-    """As master_queries_whole, of the orders and customers that the SQL takes: a third and a fifth."""
-    return _master(read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0"), read(spark, sf_dir, "customer").where("c_custkey % 5 = 0"))
-
-
 def _master(orders, customers):
     d = orders.select(F.lit("distance").alias("operator"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("d"))
     n = customers.select(F.lit("nearest").alias("operator"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("c"))
@@ -187,11 +176,11 @@ def _master(orders, customers):
 
 
 @query(
-    "master_queries_whole",
+    "master_queries",
     """WITH u AS (SELECT 'distance' AS operator, o_orderkey AS k, o_totalprice AS d, NULL AS c FROM orders UNION ALL SELECT 'nearest', c_custkey, NULL, c_mktsegment FROM customer)
     SELECT *, '' AS review_keep, printf('dev_q_%04d', row_number() OVER (ORDER BY operator, k) - 1) AS query_id FROM u""",
 )
-def master_queries_whole(spark, sf_dir):
+def master_queries(spark, sf_dir):
     """Questions of two kinds, of all orders and all customers, with different columns in one table, missing columns null, with running ids."""
     return _master(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
 
@@ -247,9 +236,8 @@ def object_id_parts(spark, sf_dir):
     return d.select("*", T.object_label(F.col("object_id")).alias("label"), T.short_id(F.col("object_id")).alias("short_id"), T.structured("distance", F.col("object_id"), F.lit("x")).alias("q"))
 
 
-@query("slugs", "WITH t AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(substr(coalesce(text, ''), 1, 300)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'query' ELSE s END AS slug FROM t")
+@query("slugs", "WITH t AS (SELECT doc_id, substr(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 80) AS s FROM documents) SELECT doc_id, CASE WHEN s = '' THEN 'query' ELSE s END AS slug FROM t")
 def slugs(spark, sf_dir):
-    """Slugs of documents' whole texts. The SQL reads 300 characters: it differs where those make a slug of under 80."""
     return read(spark, sf_dir, "documents").select("doc_id", T.slugify(F.coalesce("text", F.lit(""))).alias("slug"))
 
 

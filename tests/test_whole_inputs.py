@@ -16,7 +16,7 @@ def test_slugs_read_whole_texts(spark, tmp_path):
 def test_master_queries_take_every_row(spark, tmp_path):
     spark.createDataFrame([(i, float(i)) for i in range(1, 8)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     spark.createDataFrame([(i, "M") for i in range(1, 5)], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
-    rows = registry.QUERIES["master_queries_whole"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["master_queries"](spark, str(tmp_path)).collect()
     want = [("distance", i) for i in range(1, 8)] + [("nearest", i) for i in range(1, 5)]
     assert sorted((r.query_id, r.operator, r.k) for r in rows) == [(f"dev_q_{n:04d}", *x) for n, x in enumerate(want)]
 
