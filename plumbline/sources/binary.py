@@ -19,8 +19,23 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
 
 
-def parse_ply(raw: bytes) -> tuple[dict[str, np.ndarray], list[list[int]]]:
-    """Vertex properties by name and faces as vertex numbers, of an ASCII or binary PLY file; other elements are skipped."""
+def _equal_lists(body: bytes, at: int, n: int, count_kind: str, kind: str) -> np.ndarray | None:
+    """The n lists of a binary element from byte ``at`` as one record array, if all are as long as the first; else None."""
+    if not n:
+        return None
+    size = int(np.frombuffer(body, count_kind, 1, at)[0])
+    record = np.dtype([("size", count_kind), ("values", kind, (size,))])
+    if at + n * record.itemsize > len(body):
+        return None
+    rows = np.frombuffer(body, record, n, at)
+    return rows if (rows["size"] == size).all() else None
+
+
+def parse_ply(raw: bytes, with_faces: bool = True) -> tuple[dict[str, np.ndarray], list[list[int]]]:
+    """Vertex properties by name and faces as vertex numbers, of an ASCII or binary PLY file; other elements are skipped.
+
+    Without faces, nothing behind the vertices is read.
+    """
     head, _, body = raw.partition(b"end_header\n")
     lines = [ln.split() for ln in head.decode("ascii").splitlines()]
     if not lines or lines[0] != ["ply"]:
@@ -47,7 +62,17 @@ def parse_ply(raw: bytes) -> tuple[dict[str, np.ndarray], list[list[int]]]:
                 columns = {p: rows[p] for p, _ in props}
             if name == "vertex":
                 vertices = columns
+                if not with_faces:
+                    break
             continue
+        if tokens is None and len(props) == 1:
+            count_kind, kind = (order + _PLY_TYPES[k] for k in props[0][1])
+            same = _equal_lists(body, at, n, count_kind, kind)
+            if same is not None:
+                at += same.nbytes
+                if name == "face":
+                    faces += same["values"].astype(np.int64).tolist()
+                continue
         for _ in range(n):
             for p, k in props:
                 count_kind, kind = k if not isinstance(k, str) else (None, k)
@@ -76,7 +101,7 @@ def read_ply_vertices(spark: SparkSession, path: str, rows: int = 100_000) -> Da
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, raw in zip(b["path"], b["content"], strict=True):
-                v, _ = parse_ply(raw)
+                v, _ = parse_ply(raw, with_faces=False)
                 n = len(v["x"])
                 for at in range(0, n, rows):
                     cut = slice(at, min(n, at + rows))

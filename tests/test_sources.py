@@ -42,6 +42,18 @@ def test_scene_from_documents_and_mesh(spark, tmp_path):
     assert [r.corners for r in t] == [[0, 1, 2], [0, 2, 3]] and t[0].red is None
 
 
+@pytest.mark.parametrize("sizes", [[3] * 50, [3, 4, 3], [4], [], [0, 0]])
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_ply_faces_of_equal_and_mixed_sizes(sizes, order):
+    e = "<" if order == "little" else ">"
+    want = [list(range(i, i + n)) for i, n in enumerate(sizes)]
+    head = f"ply\nformat binary_{order}_endian 1.0\nelement vertex 1\nproperty float x\nelement edge 2\nproperty list uchar short v\nelement face {len(sizes)}\nproperty list uchar int vertex_indices\nend_header\n"
+    body = struct.pack(e + "f", 2.5) + struct.pack(e + "B2hB1h", 2, 7, 8, 1, 9) + b"".join(struct.pack(f"{e}B{len(f)}i", len(f), *f) for f in want)
+    v, f = B.parse_ply(head.encode() + body)
+    assert v["x"].tolist() == [2.5] and f == want
+    assert B.parse_ply(head.encode() + body, with_faces=False)[1] == []
+
+
 def test_binary_ply_equals_ascii(spark):
     dt = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("green", "u1"), ("blue", "u1")])
     rows = np.array([(1, 2, 3, 9, 8, 7), (4, 5, 6, 1, 2, 3)], dt)
