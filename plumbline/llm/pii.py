@@ -45,63 +45,131 @@ GENERATORS = (
     Generator("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])", r"t RLIKE '[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}'", "true"),
     Generator("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"t RLIKE '[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4} ?[A-Z0-9]{4}'", "true"),
     Generator("tel", r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}(?![0-9-])", r"t RLIKE '[0-9]{3}[. -][0-9]{4}'", "true"),
-    Generator("masked", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{2,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}+)++", "(contains(t, '[at]') OR contains(t, '(at)'))", "true"),
+    Generator("masked", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]{2,64}+ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\[dot\]|\(dot\)) ?[A-Za-z0-9-]{2,63}+|\.[A-Za-z0-9-]{2,63}+)++", "(contains(t, '[at]') OR contains(t, '(at)'))", "true"),
 )
 
 #: Words that speak for a kind when they stand within CONTEXT characters before a candidate, and words that speak against any.
 CONTEXT = 40
-CUES = {"ssn": "ssn|social security|social sec", "iban": "iban|account|bank|konto|compte|cuenta", "tel": "phone|tel|call|fax|mobile|cell|contact", "masked": "mail|contact|write|reach"}
+CUES = {
+    "ssn": "ssn|social security|social sec", "iban": "iban|account|bank|konto|compte|cuenta",
+    "tel": "phone|telephone|tel|call|fax|mobile|cell|contact", "masked": "mail|email|contact|write|reach",
+}
 AGAINST = "order|invoice|part|serial|version|isbn|model|ticket|page|figure"
 
-#: Features: kind, digits, distinct digits, characters, blanks, cue before, counter-cue before, capital or digit glued after, first digit.
-NAMES = ["kind", "digits", "distinct", "length", "blanks", "cue", "against", "glued", "first"]
+
+def _word(words: str) -> str:
+    """A pattern for any of the words, standing as a word."""
+    return f"(^|[^a-z])({words})([^a-z]|$)"
+
+
+#: Features: kind, digits, distinct digits, characters, blanks, cue before, counter-cue before, capital or digit glued after, first digit,
+#: whether the kind's own format rule holds, and spelled-out dots.
+NAMES = ["kind", "digits", "distinct", "length", "blanks", "cue", "against", "glued", "first", "valid", "dots"]
+
+#: Format rules of the further kinds that a regular expression can check: allowed number ranges, a last label of letters.
+FORMATS = {"ssn": "^(?!000|666|9)[0-9]{3}[- ](?!00)[0-9]{2}[- ](?!0000)[0-9]{4}$", "tel": "^[(]?[2-9][0-9]{2}[^0-9]+[2-9][0-9]{2}[^0-9][0-9]{4}$", "masked": "[^A-Za-z0-9-][A-Za-z]{2,24}$"}
+_MOD97 = """aggregate(split(concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4)), ''), 0,
+    (a, c) -> IF(ascii(c) < 58, (a * 10 + ascii(c) - 48) % 97, (a * 100 + ascii(c) - 55) % 97)) = 1"""
 
 
 def _features_sql(n: int, before: str, after: str) -> list[str]:
     """SQL of the features of the match m of generator number n; d holds its digits."""
-    cue = CUES.get(GENERATORS[n].kind, "@")
+    cue, kind = CUES.get(GENERATORS[n].kind, "@"), GENERATORS[n].kind
     return [
-        f"{n}", "length(d)", "size(array_distinct(split(d, '')))", "length(m)", "length(m) - length(replace(m, ' ', ''))", f"CAST(lower({before}) RLIKE '{cue}' AS INT)",
-        f"CAST(lower({before}) RLIKE '{AGAINST}' AS INT)", f"CAST({after} RLIKE '^[A-Z0-9]' AS INT)", "IF(length(d) = 0, -1, CAST(substr(d, 1, 1) AS INT))",
+        f"{n}", "length(d)", "size(array_distinct(split(d, '')))", "length(m)", "length(m) - length(replace(m, ' ', ''))", f"CAST(lower({before}) RLIKE '{_word(cue)}' AS INT)",
+        f"CAST(lower({before}) RLIKE '{_word(AGAINST)}' AS INT)", f"CAST({after} RLIKE '^[A-Z0-9]' AS INT)", "IF(length(d) = 0, -1, CAST(substr(d, 1, 1) AS INT))",
+        f"CAST({_MOD97} AS INT)" if kind == "iban" else f"CAST(m RLIKE '{FORMATS[kind]}' AS INT)", "size(split(m, '[(\\\\[]dot')) - 1",
     ]
 
 
+def mod97(match: str) -> int:
+    """The remainder that is 1 for a right account number."""
+    s = match.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
 def features(n: int, match: str, before: str, after: str) -> list[float]:
     """The same features in plain Python, for training and tests."""
-    d = re.sub("[^0-9]", "", match)
-    cue = CUES.get(GENERATORS[n].kind, "@")
+    d, kind = re.sub("[^0-9]", "", match), GENERATORS[n].kind
+    cue = CUES.get(kind, "@")
+    valid = mod97(match) == 1 if kind == "iban" else bool(re.search(FORMATS[kind], match))
     # splitting an empty text gives one empty piece
-    return [n, len(d), max(1, len(set(d))), len(match), match.count(" "), int(bool(re.search(cue, before.lower()))), int(bool(re.search(AGAINST, before.lower()))), int(bool(re.match("[A-Z0-9]", after))), int(d[0]) if d else -1]
+    return [n, len(d), max(1, len(set(d))), len(match), match.count(" "), int(bool(re.search(_word(cue), before.lower()))), int(bool(re.search(_word(AGAINST), before.lower()))), int(bool(re.match("[A-Z0-9]", after))), int(d[0]) if d else -1, int(valid), len(re.split(r"[(\[]dot", match)) - 1]
+
+
+def _digits(rng: random.Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
 
 
-def _example(rng: random.Random, n: int) -> tuple[list[float], int]:
-    """A generated candidate of a further kind, with its features and whether it is personal data."""
-    kind, digits, true = GENERATORS[n].kind, lambda k: "".join(rng.choices("0123456789", k=k)), rng.random() < 0.5
+def _personal(rng: random.Random, kind: str) -> str:
+    """A made-up value of a kind that keeps the kind's format."""
     sep = rng.choice("- ")
-    match = {
-        "ssn": lambda: rng.choice("123456780") + digits(2) + sep + digits(2) + sep + digits(4),
-        "iban": lambda: "".join(rng.choices("ABCDEFGILNPST", k=2)) + digits(2) + rng.choice(["", " "]).join(["", *[digits(4) for _ in range(rng.randint(3, 6))]]),
-        "tel": lambda: rng.choice([f"({digits(3)}) ", digits(3) + sep]) + digits(3) + "-" + digits(4),
-        "masked": lambda: "name.last [at] mail (dot) example.com"[: rng.randint(26, 37)],
-    }[kind]()
-    cue, against = rng.random() < (0.85 if true else 0.04), rng.random() < (0.02 if true else 0.45)
-    if not true and kind in ("ssn", "tel") and rng.random() < 0.5:
-        match = re.sub("[0-9]", rng.choice("0123456789"), match)
-    if kind == "masked":
-        true = True
-    word = CUES[kind].split("|")[0]
-    before = ("the " + (word + " " if cue else "") + (rng.choice(AGAINST.split("|")) + " " if against else ""))[-CONTEXT:]
-    return features(n, match, before, rng.choice(["", " ", ".", ","])), int(true)
+    if kind == "ssn":
+        return f"{rng.choice([*range(1, 666), *range(667, 900)]):03d}{sep}{rng.randint(1, 99):02d}{sep}{rng.randint(1, 9999):04d}"
+    if kind == "tel":
+        area = str(rng.randint(200, 999))
+        return rng.choice([f"({area}) ", area + rng.choice("-. ")]) + f"{rng.randint(200, 999)}{rng.choice('-. ')}{_digits(rng, 4)}"
+    if kind == "iban":
+        country, letters, numbers = rng.choice([("DE", 0, 18), ("GB", 4, 14), ("FR", 0, 23), ("ES", 0, 20), ("NL", 4, 10), ("IT", 1, 22)])
+        rest = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=letters)) + _digits(rng, numbers)
+        whole = f"{country}{98 - mod97(country + '00' + rest):02d}{rest}"
+        return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if rng.random() < 0.5 else whole
+    name = lambda: "".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9)))
+    at, dot = rng.choice(["[at]", "(at)", " [at] ", " (at) "]), rng.choice(["(dot)", "[dot]", " (dot) ", " [dot] ", "."])
+    return name() + rng.choice(["", "." + name()]) + at + name() + dot + rng.choice(["com", "org", "net", "de", "example"])
+
+
+def _other(rng: random.Random, kind: str) -> str:
+    """Something of the same shape that is no personal data: part numbers, codes, repeated digits, prose in brackets."""
+    sep = rng.choice("- ")
+    if kind == "ssn":
+        one = _digits(rng, 3) + sep + _digits(rng, 2) + sep + _digits(rng, 4)
+    elif kind == "tel":
+        one = _digits(rng, 3) + rng.choice("-. ") + _digits(rng, 3) + rng.choice("-. ") + _digits(rng, 4)
+    elif kind == "iban":
+        return "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ", k=2)) + _digits(rng, 2) + rng.choice(["", " "]).join(["", *[_digits(rng, 4) for _ in range(rng.randint(3, 6))]])
+    else:
+        word = lambda: rng.choice(["look", "met", "noon", "items", "index", "the", "v2", "row", "it", "then", "next", "4"])
+        return f"{word()} {rng.choice(['(at)', '[at]'])} {word()}{rng.choice(['.', '.', ' (dot) '])}{word()}"
+    return re.sub("[0-9]", rng.choice("0123456789"), one) if rng.random() < 0.25 else one
+
+
+def planted(rng: random.Random, n: int, words: tuple[str, ...] = ("the", "of", "was", "on", "file", "and", "for", "she", "a")) -> tuple[str, tuple[int, int] | None]:
+    """A text around a made-up value of kind n, personal or not, and the personal span. Cue words stand before many of the first and few of the second."""
+    kind, true = GENERATORS[n].kind, rng.random() < 0.5
+    match = _personal(rng, kind) if true else _other(rng, kind)
+    cue, against = rng.random() < (0.8 if true else 0.04), rng.random() < (0.02 if true else 0.45)
+    said = [*rng.choices(words, k=rng.randint(1, 8)), *([rng.choice(CUES[kind].split("|"))] if cue else []), *([rng.choice(AGAINST.split("|"))] if against else []), *rng.choices(words, k=rng.randint(0, 2))]
+    # a masked address starts where its first word does, so a word before it never belongs to it
+    before = " ".join(said) + (": " if cue or against else " ")
+    return before + match + rng.choice([" ", ". ", ", ", "\n"] if true else [" ", ". ", ", ", ""]) + " ".join(rng.choices(words, k=3)), (len(before), len(before) + len(match)) if true else None
+
+
+def proposed(n: int, text: str) -> list[tuple[int, int]]:
+    """Spans that generator n proposes, in plain Python."""
+    return [m.span() for m in re.finditer(GENERATORS[n].pattern.replace(r"|\G)", ")"), text)]
+
+
+def _examples(rng: random.Random, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the first ``count`` candidates that the generators propose in texts with planted values."""
+    kinds, x, y = [n for n, g in enumerate(GENERATORS) if not g.base], [], []
+    while len(x) < count:
+        n = rng.choice(kinds)
+        text, truth = planted(rng, n)
+        for s, e in proposed(n, text):
+            x.append(features(n, text[s:e], text[max(0, s - CONTEXT) : s], text[e : e + 1]))
+            y.append((s, e) == truth)
+    return np.array(x[:count], float), np.array(y[:count], float)
 
 
 @lru_cache(maxsize=4)
 def model(examples: int = 3000, seed: int = 11, precision: float = 0.97) -> tuple[tuple[Node, ...], dict[int, float]]:
-    """Trees and thresholds by kind. Trained on ``examples`` generated candidates (a fixed, seeded sample); thresholds are calibrated on as many others."""
-    rng, kinds = random.Random(seed), [n for n, g in enumerate(GENERATORS) if not g.base]
-    made = [_example(rng, rng.choice(kinds)) for _ in range(2 * examples)]
-    x, y = np.array([f for f, _ in made], float), np.array([t for _, t in made], float)
-    trees = boost(x[:examples], y[:examples])
-    return tuple(trees), calibrated_thresholds(predict(trees, x[examples:]), y[examples:], x[examples:, 0].astype(int), precision)
+    """Trees and thresholds by kind. Trained on ``examples`` candidates that the generators propose in made-up texts (fixed, seeded);
+    thresholds are calibrated on as many others."""
+    rng = random.Random(seed)
+    trees = boost(*_examples(rng, examples))
+    x, y = _examples(rng, examples)
+    return tuple(trees), calibrated_thresholds(predict(trees, x), y, x[:, 0].astype(int), precision)
 
 
 def matches(text: Column, pattern: str, block: int = 64) -> Column:
@@ -169,7 +237,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
     empty = "CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING, base: BOOLEAN, score: DOUBLE>>)"
     for n, g in enumerate(GENERATORS):
         before, after = f"substr(t, greatest(1, v.start - {CONTEXT - 1}), least({CONTEXT}, v.start))", "substr(t, v.start + length(v.m) + 1, 1)"
-        score = "0D" if g.base else f"aggregate(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), 0D, (a, z) -> {_bound(to_sql(list(trees), _features_sql(n, before, after)))})"
+        score = "0D"
+        if not g.base:
+            inputs = ", ".join(f"CAST({_bound(f)} AS DOUBLE)" for f in _features_sql(n, before, after))
+            made = f"transform(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), z -> array({inputs}))"
+            score = f"aggregate({made}, 0D, (a, f) -> {to_sql(list(trees), [f'f[{k}]' for k in range(len(NAMES))])})"
         one = f"named_struct('start', v.start, 'kind_no', {n}, 'end', v.start + length(v.m), 'kind', '{g.kind}', 'base', {str(g.base).lower()}, 'score', {score})"
         rule = f"exists(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), z -> {_bound(g.rule)})"
         kept = f"transform(filter(_g{n}, v -> {rule}), v -> {one})"
