@@ -1,4 +1,4 @@
-"""The registered queries opN_<name> and their SQL. Each query is thin: it reads its table and derives the result from its operator."""
+"""The registered queries opN_<name>; their SQL is in oracle.py. Each query is thin: it reads its table and derives the result from its operator."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL as ORACLE_SQL
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,13 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_pii": op10_pii,
 }
-
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-ORACLE_SQL: dict[str, str] = {
-    "op9_exact_dedup": f"""
-        WITH t AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
-        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-               doc_id = max(doc_id) OVER w AS kept, text_sha256
-        FROM t WINDOW w AS (PARTITION BY text_sha256)""",
-}
