@@ -93,10 +93,61 @@ EXACT_DEDUP = f"""
            doc_id = max(doc_id) OVER w AS kept, text_sha256
     FROM t WINDOW w AS (PARTITION BY text_sha256)"""
 
+
+def _crc_step(n: int) -> int:
+    """The CRC-32 remainder of a half byte."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+def crc32(s: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, half a byte at a time: the lower half, which the hexadecimal form has second, comes first."""
+    halves = f"list_transform(range(0, 2 * octet_length(encode({s}))), lambda k: CAST(instr('123456789ABCDEF', substr(hex(encode({s})), CAST(k + 2 - 2 * (k % 2) AS BIGINT), 1)) AS BIGINT))"
+    table = "[" + ", ".join(map(str, map(_crc_step, range(16)))) + "]"
+    return f"xor(list_reduce({halves}, lambda c, h: xor(c >> 4, {table}[(xor(c, h) & 15) + 1]), 4294967295), 4294967295)"
+
+
+#: Two words are near if one is the other less a letter, or both less a letter at one place are equal; each place of every word is tried.
+SPELLING = f"""
+    WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\u00C0-\u00FF]+')) AS w FROM documents),
+    c AS (SELECT w, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s, count(*) AS k FROM o GROUP BY ALL),
+    h AS (SELECT w, k, {{crc}} AS h FROM c),
+    e AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+    v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+    d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (SELECT d.word, v.word AS other, v.n AS m FROM d JOIN v ON d.rest = v.word
+          UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word
+          UNION SELECT a.word, b.word, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word),
+    f AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS form, max(m) AS form_n FROM p GROUP BY word),
+    t AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f ON v.word = f.word),
+    r AS (SELECT word, word AS at FROM t UNION ALL SELECT r.word, t.form FROM r JOIN t ON r.at = t.word WHERE t.form IS NOT NULL)
+    SELECT t.word, t.form, r.at AS root, t.n, t.n_near, t.form_n
+    FROM t JOIN r ON t.word = r.word JOIN t e ON r.at = e.word WHERE e.form IS NULL"""
+
+RESAMPLING = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+    df AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+    b AS (SELECT {_WORDS} AS w FROM benchmark),
+    bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+    h AS (SELECT f, {{crc}} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+    s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket),
+    g AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * ((SELECT count(*) FROM df) + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * ((SELECT count(*) FROM bf) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+          FROM s LEFT JOIN t USING (bucket)),
+    m AS (SELECT r, count(*) AS n, CAST(sum(gain) AS BIGINT) AS x FROM df JOIN h USING (f) JOIN g USING (bucket) GROUP BY r),
+    w AS (SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce((x - ((x % n) + n) % n) // n, 0) AS weight, CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS u FROM d LEFT JOIN m USING (r)),
+    z AS (SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((u + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM w),
+    k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS all_n FROM z WHERE n_features >= 39)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * all_n // 100 THEN rank END AS rank
+    FROM z LEFT JOIN k USING (r)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan(),
     "op6_secret_scan": secret_scan(),
     "op7_warc": WARC,
     "op8_decontamination": DECONTAMINATION,
     "op9_exact_dedup": EXACT_DEDUP,
+    "op12_spelling_variants": SPELLING.replace("{crc}", crc32("s")),
+    "op13_resampling": RESAMPLING.replace("{crc}", crc32("f")),
 }
