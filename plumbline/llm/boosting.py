@@ -66,15 +66,29 @@ def predict(trees: list[Node], x: np.ndarray) -> np.ndarray:
     return sum((_apply(t, x) for t in trees), np.zeros(len(x)))
 
 
-def to_sql(trees: list[Node], names: list[str]) -> str:
-    """The trees' sum as a SQL expression over numeric expressions for the features."""
-
-    def one(t: Node) -> str:
-        if t.low is None:
-            return f"{t.value:.8f}D"
-        return f"IF({names[t.feature]} <= {t.cut:.6f}D, {one(t.low)}, {one(t.high)})"
-
-    return " + ".join(one(t) for t in trees) or "0D"
+def walk_sql(trees: list[Node], f: str) -> str:
+    """The trees' sum as a SQL expression over f, an array<double> of the features: a walk over constant arrays of the nodes' features, cuts and branches.
+
+    Its size in the plan is that of the arrays, however often a feature is tested. A leaf's branches lead to itself, so each walk takes as many steps.
+    """
+    feature, cut, low, high, value, roots, deepest = [], [], [], [], [], [], 0
+
+    def add(t: Node, depth: int) -> int:
+        nonlocal deepest
+        deepest, k = max(deepest, depth), len(feature)
+        for column, v in ((feature, max(0, t.feature)), (cut, t.cut), (low, k), (high, k), (value, t.value)):
+            column.append(v)
+        if t.low is not None:
+            low[k], high[k] = add(t.low, depth + 1), add(t.high, depth + 1)
+        return k
+
+    roots += [add(t, 0) for t in trees]
+    if not deepest:
+        return f"{sum(value)!r}D"
+    whole = lambda v: f"array({', '.join(map(str, v))})"
+    real = lambda v: f"array({', '.join(f'{x!r}D' for x in map(float, v))})"
+    step = f"IF({f}[{whole(feature)}[k]] <= {real(cut)}[k], {whole(low)}[k], {whole(high)}[k])"
+    return f"aggregate({whole(roots)}, 0D, (a, r) -> a + {real(value)}[aggregate(sequence(1, {deepest}), r, (k, _) -> {step})])"
 
 
 def calibrated_thresholds(score: np.ndarray, y: np.ndarray, group: np.ndarray, precision: float) -> dict[int, float]:

@@ -1,7 +1,7 @@
 """Personal data by candidate gradient boosting. DataFrame functions only on the path over documents.
 
 Generators (regular expressions with high recall, whose matches may overlap) propose spans. Format and context features of
-each candidate go through boosted trees, compiled to one SQL expression; a threshold per kind, calibrated for precision, selects
+each candidate go through boosted trees, compiled to a walk over constant arrays; a threshold per kind, calibrated for precision, selects
 redactions. Candidates of the base kinds that pass their format rules are always selected.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Node, boost, calibrated_thresholds, predict, to_sql
+from .boosting import Node, boost, calibrated_thresholds, predict, walk_sql
 
 
 @dataclass(frozen=True)
@@ -232,29 +232,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precis
     """
     trees, limits = model(precision=precision)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    d = apart(d, ["id", "t"], {f"g{n}": F.when(F.expr(g.gate), matches(F.col("t"), g.pattern)) for n, g in enumerate(GENERATORS)})
+    empty, made = "CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING, base: BOOLEAN, f: ARRAY<DOUBLE>>>)", []
     for n, g in enumerate(GENERATORS):
-        d = d.withColumn(f"_g{n}", F.when(F.expr(g.gate), matches(F.col("t"), g.pattern)))
-    empty = "CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING, base: BOOLEAN, score: DOUBLE>>)"
-    for n, g in enumerate(GENERATORS):
+        digits = "transform(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), z -> {})[0]"
         before, after = f"substr(t, greatest(1, v.start - {CONTEXT - 1}), least({CONTEXT}, v.start))", "substr(t, v.start + length(v.m) + 1, 1)"
-        score = "0D"
-        if not g.base:
-            inputs = ", ".join(f"CAST({_bound(f)} AS DOUBLE)" for f in _features_sql(n, before, after))
-            made = f"transform(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), z -> array({inputs}))"
-            score = f"aggregate({made}, 0D, (a, f) -> {to_sql(list(trees), [f'f[{k}]' for k in range(len(NAMES))])})"
-        one = f"named_struct('start', v.start, 'kind_no', {n}, 'end', v.start + length(v.m), 'kind', '{g.kind}', 'base', {str(g.base).lower()}, 'score', {score})"
-        rule = f"exists(array(named_struct('m', v.m, 'd', regexp_replace(v.m, '[^0-9]', ''))), z -> {_bound(g.rule)})"
-        kept = f"transform(filter(_g{n}, v -> {rule}), v -> {one})"
-        if not g.base:
-            kept = f"filter({kept}, c -> c.score >= {limits[n] if np.isfinite(limits[n]) else 1e300}D)"
-        d = d.withColumn(f"_g{n}", F.expr(f"IF(_g{n} IS NULL, {empty}, {kept})"))
-    base = [f"_g{n}" for n, g in enumerate(GENERATORS) if g.base]
-    more = [f"_g{n}" for n, g in enumerate(GENERATORS) if not g.base]
-    d = d.select("id", F.expr(f"array_sort(concat({', '.join(base)}))").alias("b"), F.expr(f"array_sort(concat({', '.join(more)}))").alias("x"))
-    free = "filter(x, c -> NOT exists(b, e -> e.start < c.end AND c.start < e.end))"
-    d = d.withColumn("x", F.expr(f"IF(size(x) = 0, x, {free})"))
-    d = settle(d)
-    return d.select(F.col("id").alias(id_col), F.expr("transform(IF(size(x) = 0, b, array_sort(concat(b, x))), s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind, 'base', s.base))").alias("spans"))
+        inputs = "CAST(array() AS ARRAY<DOUBLE>)" if g.base else digits.format(f"array({', '.join(f'CAST({_bound(f)} AS DOUBLE)' for f in _features_sql(n, before, after))})")
+        one = f"named_struct('start', v.start, 'kind_no', {n}, 'end', v.start + length(v.m), 'kind', '{g.kind}', 'base', {str(g.base).lower()}, 'f', {inputs})"
+        made.append(f"IF(g{n} IS NULL, {empty}, transform(filter(g{n}, v -> {digits.format(_bound(g.rule))}), v -> {one}))")
+    joined = lambda base: f"concat({', '.join(m for m, g in zip(made, GENERATORS, strict=True) if g.base == base)})"
+    d = apart(d, ["id"], {"b": f"array_sort(transform({joined(True)}, {_SPAN}))", "c": joined(False)})
+    least = f"array({', '.join(f'{limits.get(n, np.inf) if np.isfinite(limits.get(n, np.inf)) else 1e300!r}D' for n in range(len(GENERATORS)))})"
+    scored = f"transform(filter(c, c -> NOT exists(b, e -> e.start < c.end AND c.start < e.end)), c -> named_struct('start', c.start, 'kind_no', c.kind_no, 'end', c.end, 'kind', c.kind, 'base', c.base, 'score', {walk_sql(list(trees), 'c.f')}))"
+    none = "CAST(array() AS ARRAY<STRUCT<start: INT, kind_no: INT, end: INT, kind: STRING, base: BOOLEAN, score: DOUBLE>>)"
+    d = apart(d, ["id", "b"], {"x": f"IF(size(c) = 0, {none}, array_sort(filter({scored}, c -> c.score >= {least}[c.kind_no])))"})
+    d = apart(settle(d), ["id"], {"spans": f"IF(size(x) = 0, b, array_sort(concat(b, transform(x, {_SPAN}))))"})
+    return d.withColumnRenamed("id", id_col)
+
+
+_SPAN = "s -> named_struct('start', s.start, 'kind_no', s.kind_no, 'end', s.end, 'kind', s.kind, 'base', s.base)"
+
+
+def apart(d: DataFrame, keep: list[str], cols: dict[str, Column | str]) -> DataFrame:
+    """The columns ``keep`` of d and new ones of Columns or SQL texts, behind an explode of one struct a row.
+
+    The optimizer moves no expression and no filter through an explode. So whatever is asked of the new columns later, each
+    is worked out once a row and stands once in the plan; without this, a filter on them would be repeated with all that
+    they are made of, at every step below.
+    """
+    made = [(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in cols.items()]
+    out = d.select(*keep, F.explode_outer(F.array(F.struct(*made))).alias("_apart"))
+    return out.select(*keep, *[F.col("_apart")[n].alias(n) for n in cols])
 
 
 def _bound(sql: str) -> str:

@@ -1,9 +1,12 @@
 import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from plumbline.llm.boosting import boost, calibrated_thresholds, predict
+from plumbline.llm.boosting import Node, boost, calibrated_thresholds, predict, walk_sql
 from plumbline.llm.pii import CONTEXT, GENERATORS, _bound, _features_sql, features, mod97, planted, proposed, redact, scan, settle
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -67,6 +70,60 @@ def test_values_planted_among_words_of_documents(spark, frame):
         assert hits / chosen > 0.93 and hits / true > 0.7, (GENERATORS[kind].kind, hits, chosen, true)
 
 
+#: Written by hand, by none of the rules that the training values come from: a text, and the further kinds and values in it.
+BY_HAND = [
+    ("Employee record: Maria Lopez, SSN: 078-05-1120, hired 2011.", "ssn", "078-05-1120"), ("social security number 219-09-9999 (widely published)", "ssn", "219-09-9999"),
+    ("My SSN is 457 55 5462 and I need a new card", "ssn", "457 55 5462"), ("applicant ssn=123-45-6789; spouse none", "ssn", "123-45-6789"),
+    ("Tax form lists social security 512-88-4431 for the filer.", "ssn", "512-88-4431"), ("Taxpayer ID 321-54-9876 was entered twice", "ssn", "321-54-9876"),
+    ("Please reorder part 455-12-8890 before Friday", None, ""), ("Model 900-12-3456 is discontinued", None, ""), ("serial 000-12-3456 rev B", None, ""), ("see figure 123-45-0000 in appendix", None, ""),
+    ("Ticket 219-40-1187 was closed", None, ""), ("ISBN group 978-30-1651 is not a full number", None, ""),
+    ("Call our front desk at (212) 736-5000 after nine.", "tel", "(212) 736-5000"), ("fax 415.555.0199, attn: billing", "tel", "415.555.0199"), ("Mobile: 650-253-0000 (evenings)", "tel", "650-253-0000"),
+    ("you can phone me on 303 499 7111 any time", "tel", "303 499 7111"), ("Telephone 617-495-1000\nMonday to Friday", "tel", "617-495-1000"), ("contact Dana, 202-456-1414, for keys", "tel", "202-456-1414"),
+    ("Invoice 415-555-2671 is overdue", None, ""), ("order 100-200-3000 shipped on pallet 4", None, ""), ("version 123.456.7890 of the firmware", None, ""), ("part number 555-000-1111 fits both", None, ""),
+    ("scores were 101 202 3003 over three seasons", None, ""), ("page 212-555-0100 of the register", None, ""),
+    ("Pay to IBAN GB29 NWBK 6016 1331 9268 19 by transfer", "iban", "GB29 NWBK 6016 1331 9268 19"), ("Konto: DE89370400440532013000, Commerzbank", "iban", "DE89370400440532013000"),
+    ("our account is FR1420041010050500013M02606", "iban", "FR1420041010050500013M02606"), ("cuenta ES9121000418450200051332", "iban", "ES9121000418450200051332"), ("bank NL91 ABNA 0417 1643 00 only", "iban", "NL91 ABNA 0417 1643 00"),
+    ("refund goes to CH9300762011623852957 within days", "iban", "CH9300762011623852957"),
+    ("tracking code GB29 NWBK 6016 1331 9268 20 not found", None, ""), ("licence AB12 3456 7890 1234 5678 expired", None, ""), ("serial XK05 1212 0123 4567 8907 misread", None, ""), ("build QA00 0000 0000 0000 nightly", None, ""),
+    ("reach me: sam.taylor [at] outlook [dot] com", "masked", "sam.taylor [at] outlook [dot] com"), ("email info(at)museum.org for tickets", "masked", "info(at)museum.org"), ("Write to p_ortega [at] uni-bonn.de", "masked", "p_ortega [at] uni-bonn.de"),
+    ("mail: webmaster (at) example (dot) net", "masked", "webmaster (at) example (dot) net"), ("contact kim[at]startup.io please", "masked", "kim[at]startup.io"), ("jdoe [at] cs [dot] stanford [dot] edu", "masked", "jdoe [at] cs [dot] stanford [dot] edu"),
+    ("we met (at) noon.then we left", None, ""), ("see index [at] row.4 of the sheet", None, ""), ("items (at) price.99 each", None, ""), ("turn left (at) exit.12 and stop", None, ""),
+]
+
+
+def test_values_written_by_hand(frame):
+    """Over all kinds, of the values in texts written by hand: at least three quarters found, and of what is found nine in ten right."""
+    found = {r.doc_id: [(s.kind, BY_HAND[r.doc_id][0][s.start : s.end]) for s in r.spans if not s.base] for r in scan(frame([(i, t) for i, (t, _, _) in enumerate(BY_HAND)])).collect()}
+    hits = sum((k, v) in found[i] for i, (_, k, v) in enumerate(BY_HAND) if k)
+    chosen, true = sum(map(len, found.values())), sum(1 for _, k, _ in BY_HAND if k)
+    wrong = [(t, found[i]) for i, (t, k, v) in enumerate(BY_HAND) if found[i] != ([(k, v)] if k else [])]
+    assert hits / true >= 0.75 and hits / chosen >= 0.9, (hits, chosen, true, wrong)
+
+
+def test_spans_can_be_asked_for(spark, frame):
+    """Filters and explodes of spans leave one copy of the work in the plan: the texts of the plans stay of one size, and planning takes seconds."""
+    docs = frame(texts()[:50] + [(1000, None)])
+    plans, took = [], []
+    for df in (scan(docs), scan(docs).where("size(spans) > 1"), scan(docs).select(F.explode("spans").alias("s")).where("s.base").groupBy("s.kind").count()):
+        began = time.time()
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        took.append(time.time() - began)
+        assert "Python" not in plans[-1] and "Arrow" not in plans[-1]
+    assert max(map(len, plans)) < 1.2 * len(plans[0]) and max(took) < 15
+    every = [s for r in scan(docs).collect() for s in r.spans]
+    assert {r.kind: r["count"] for r in df.collect()} == Counter(s.kind for s in every if s.base)
+    assert scan(docs).where("size(spans) > 1").count() == sum(len(r.spans) > 1 for r in scan(docs).collect())
+
+
+def test_trees_in_sql_equal_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 9, (300, 5)).astype(float)
+    trees = boost(x, ((x[:, 0] > 4) ^ (x[:, 3] <= 2)).astype(float), trees=6)
+    for some in (trees, trees[:1], [Node(0.25), Node(-1.0)]):
+        got = spark.createDataFrame([(v.tolist(),) for v in x], "f array<double>").selectExpr(f"{walk_sql(some, 'f')} AS s").collect()
+        assert [r.s for r in got] == predict(some, x).tolist()
+
+
 def test_features_are_the_same_in_sql(spark):
     rng, rows = random.Random(3), []
     for n in rng.choices([n for n, g in enumerate(GENERATORS) if not g.base], k=300):
