@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -20,6 +21,22 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ž]+|[0-9]|[^\sa-
 PLAIN = re.compile(r"[\n\x21-\x7eÀ-ÖØ-öø-įı-ž]+")
 #: Stands for the end of a word among ids; no vocabulary is that large.
 _END = 0xFFFFFFFF
+#: The steps before the model in a tokenizers file to which _SPLIT and PLAIN apply (fixed values); a file with others is used as a whole.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PRETOKENIZERS = ["Split", "ByteLevel"]
+SPLITTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_by_rule(path: str) -> bool:
+    """Whether the tokenizers file at path normalises and splits text by the rule that _SPLIT and PLAIN write out, before a byte-level BPE with word ends."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    before = (made.get("normalizer") or {}).get("normalizers", [])
+    cut = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    blanks = [(x["pattern"], x["content"]) for x in before if x["type"] == "Replace"] == [({"Regex": r"\s+"}, " ")]
+    rule = [(x["pattern"], x["behavior"], x["invert"]) for x in cut if x["type"] == "Split"] == [({"Regex": SPLITTING}, "Removed", True)]
+    plain = not any(x.get("add_prefix_space") for x in cut) and made["model"]["type"] == "BPE" and bool(made["model"].get("end_of_word_suffix"))
+    return [x["type"] for x in before] == NORMALIZERS and [x["type"] for x in cut] == PRETOKENIZERS and blanks and rule and plain
 
 
 class _Pieces(dict):
@@ -47,14 +64,14 @@ class WordTokenizer:
 
     Blanks always end a token of such a vocabulary, so a text's ids are those of its blank-separated words in turn. A word
     of ASCII and Latin letters below U+017F is split here and only its pieces go to the BPE model; any other word, and a word
-    that holds a literal of an added token, goes through the tokenizer as a whole. A text's unknown words are learnt together.
-    Beyond memo_words words the half seen in fewer texts is forgotten, which costs time to learn them again and nothing else.
+    that holds a literal of an added token, goes through the tokenizer as a whole. A file that splits by another rule (see splits_by_rule)
+    is used on whole texts. A text's unknown words are learnt together. Beyond memo_words words the half seen in fewer texts is forgotten, which costs time to learn them again and nothing else.
     """
 
     def __init__(self, path: str, memo_words: int = 200_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), splits_by_rule(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces, self.memo_words = _Pieces(self.tokenizer.model), memo_words
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -115,6 +132,8 @@ class WordTokenizer:
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self, text: str | None) -> np.ndarray:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
         words = (text or "").encode().split()
         if len(self.number) > self.memo_words:
             self._forget()
@@ -147,7 +166,10 @@ def patterns(bins: int, depth: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by the active-set method: the passive set grows by the steepest column and shrinks at the bounds."""
+    """x >= 0 that minimises |a x - b|, by the active-set method: the passive set grows by the steepest column and shrinks at the bounds.
+
+    After ``rounds`` columns it stops with what it has: still x >= 0, and what the plan lacks then is packed greedily.
+    """
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     tol = 1e-9 * max(1.0, float(np.abs(b).max(initial=0)))
     for _ in range(rounds):

@@ -105,3 +105,15 @@ def test_forgotten_words_are_learnt_again():
         text = " ".join(rng.choices(words, k=30) + words[:10])
         assert small.ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
         assert len(small.number) <= 100
+
+
+def test_a_file_with_another_rule_is_used_as_a_whole(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    other = tmp_path / "other.json"
+    other.write_text(text.replace("'s|'t|'re|'ve|'m|'ll|'d|", "'re|", 1), encoding="utf-8")
+    assert WordTokenizer(PATH).by_word
+    mine, whole = WordTokenizer(str(other)), Tokenizer.from_file(str(other))
+    assert not mine.by_word
+    for t in ("it's 42 O'Neil words", "", None, "naïve <|endoftext|> x"):
+        assert mine.ids(t).tolist() == whole.encode(t or "", add_special_tokens=False).ids
