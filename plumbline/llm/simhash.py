@@ -118,12 +118,15 @@ def meet(fps: np.ndarray, radius: int, bits: int, part: int, part_bits: int, blo
 def links(distinct: DataFrame, n: int, max_bits: int = 4, per_task: int = 16_000_000, block: int = 1_000_000) -> DataFrame:
     """Links (a, b) between the fingerprints of distinct (fp), n rows: every two fingerprints within max_bits are connected.
 
-    The parts of the checksum space decide a task's load: 64 parts while a task can hold all n fingerprints
-    (per_task, 8 bytes each), else so many that a part gets per_task at most. Within a task, variants are made in blocks.
+    The parts of the checksum space decide a task's load: 64 parts at least, more while the cluster has room for more tasks and
+    a part still makes over per_task variants, and so many that a part gets per_task fingerprints at most (8 bytes each).
+    Within a task, variants are made in blocks.
     """
     radius = (max_bits + 1) // 2
     flips = masks(radius)
-    part_bits = 6
+    part_bits, room = 6, 2 * distinct.sparkSession.sparkContext.defaultParallelism
+    while 1 << part_bits < room and n * len(flips) >> part_bits > per_task:
+        part_bits += 1
     while n * len(np.unique(checksum(flips, part_bits))) / (1 << part_bits) > per_task:
         part_bits += 1
     bits = part_bits
