@@ -69,9 +69,9 @@ def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     run that dies before its append changes nothing, and one repeated after it scans nothing.
 
     No content goes through a shuffle: which rows to scan is settled on narrow rows (path hash, blob), and the chosen ones are
-    found in place, by broadcast if at most broadcast_rows, else by a bitmap of 16 slots a chosen row. One in 16 rows that aren't chosen is then
-    scanned as well, and its findings are thrown away. If a bitmap would need over most_bits / 4 rows, blobs are dealt by hash into
-    several passes with a bitmap each.
+    found in place, by broadcast if at most broadcast_rows, else by a bitmap of 16 slots a chosen row (most_bits at most). One in 16 rows that
+    aren't chosen is then scanned as well, more where most_bits makes the bitmap fuller, and the findings are thrown away. Whatever the
+    number of unseen blobs, the texts are read twice (to be hashed, to be scanned) and the ledger is written once. Equal rows are scanned once a task.
 
     Null content counts as empty; null path columns and repeated rows keep their rows; other columns are ignored; an
     empty table gives no rows.
@@ -88,23 +88,22 @@ def scan_history(versions: DataFrame, ledger: str | None = None, path_cols: tupl
     n = unseen.count()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: set[bytes] = set()
         for b in batches:
-            yield pd.DataFrame({"blob": b["_blob"], "spans": [[dict(zip(("start", "rule", "end", "kind", "base"), s, strict=True)) for s in rules.find(t)] for t in b["_t"]]})
-
-    def append(chosen: DataFrame) -> None:
-        found = chosen.select("_blob", "_t").mapInPandas(find, f"blob binary, spans {SPANS}")
-        fresh = found.groupBy("blob").agg(F.first("spans").alias("spans")).join(unseen.select(F.col("_blob").alias("blob")), "blob", "left_semi")
-        fresh.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").parquet(ledger)
+            fresh = [(k, t) for k, t in zip(b["_blob"], b["_t"], strict=True) if k not in done]
+            fresh = list(dict(fresh).items())  # equal rows of a blob are scanned once a task
+            done = done.union(k for k, _ in fresh) if len(done) < 100_000 else {k for k, _ in fresh}
+            yield pd.DataFrame({"blob": [k for k, _ in fresh], "spans": [[dict(zip(("start", "rule", "end", "kind", "base"), s, strict=True)) for s in rules.find(t)] for _, t in fresh]})
 
     if n <= broadcast_rows:
-        append(keyed.join(F.broadcast(unseen), ["_blob", "_row"], "left_semi"))
+        chosen = keyed.join(F.broadcast(unseen), ["_blob", "_row"], "left_semi")
     else:
-        passes = -(-n * 4 // most_bits)
-        part = F.pmod(F.xxhash64(F.lit(passes), F.col("_blob")), F.lit(passes))
-        bits, h = min(most_bits, slot_count(-(-n // passes), 16)), F.xxhash64("_blob", "_row")
-        for p in range(passes):
-            bitmap = materialize(slots(unseen.where(part == p).select(h.alias("h")), bits), "unseen-slots")
-            append(flag_slots(keyed.where(part == p), bitmap, h, "_chosen", bits).where("_chosen"))
+        bits, h = min(most_bits, slot_count(n, 16)), F.xxhash64("_blob", "_row")
+        bitmap = materialize(slots(unseen.select(h.alias("h")), bits), "unseen-slots")
+        chosen = flag_slots(keyed, bitmap, h, "_chosen", bits).where("_chosen")
+    found = chosen.select("_blob", "_t").mapInPandas(find, f"blob binary, spans {SPANS}")
+    fresh = found.groupBy("blob").agg(F.first("spans").alias("spans")).join(unseen.select(F.col("_blob").alias("blob")), "blob", "left_semi")
+    fresh.select("blob", F.lit(rules.version).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = open_ledger(spark, ledger).where((F.col("rules") == rules.version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), "spans").dropDuplicates(["_blob"])
     out = table_lookup(history, known, ["_blob"], spread="_n")
     return out.select(*[F.col(k).alias(c) for c, k in zip(path_cols, keys, strict=True)], F.col("_blob").alias("blob"), F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))

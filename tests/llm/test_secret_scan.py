@@ -23,7 +23,7 @@ def texts():
 
 def test_base_spans_equal_plain_search(frame, odd_texts):
     docs = texts() + odd_texts
-    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "most_bits": 512}):  # by broadcast, by a bitmap, by several
+    for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "most_bits": 512}):  # by broadcast, by a bitmap, by one that is too full
         got = sorted((r.doc_id or -1, [(s.start, s.rule, s.end) for s in r.spans if s.base]) for r in scan_history(frame(docs), **options).collect())
         assert got == sorted((i or -1, brute(t)) for i, t in docs)
 
