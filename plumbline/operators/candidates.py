@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from . import spatial as S
+from .ordering import numbered
 
 
 def diverse_top_k(rows: DataFrame, scope: list[str], key: list[str | Column], order: list[Column], k: int = 3, fill: bool = True) -> DataFrame:
@@ -123,10 +124,7 @@ def above_examples(objects: DataFrame, min_gap: float = 0.10, k: int = 5) -> Dat
     """
     w = Window.partitionBy("scene_id").orderBy(F.col("gap_z").desc(), "ord_a", "ord_b")
     top = S.above_pairs(objects).where(F.col("gap_z") >= min_gap).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    # running number: pairs of the scenes before (a row a scene) plus the rank, so no task sorts all pairs
-    per_scene = top.groupBy("scene_id").agg(F.count("*").alias("n"))
-    before = per_scene.withColumn("before", F.sum("n").over(Window.orderBy("scene_id").rowsBetween(Window.unboundedPreceding, -1))).select("scene_id", F.coalesce("before", F.lit(0)).alias("before"))
-    top = top.join(before, "scene_id").withColumn("pairing_group", F.format_string("above_%s_%04d", "scene_id", (F.col("before") + F.col("rank") - 1).cast("int")))
+    top = numbered(top, ["scene_id", "rank"], "_number").withColumn("pairing_group", F.format_string("above_%s_%04d", "scene_id", "_number"))
 
     def example(label: int, u: str, v: str) -> Column:
         args, sign = (F.col(f"object_{u}"), F.col(f"object_{v}")), 1 if label else -1

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip
+from ..shared import free_name
+from .ordering import numbered
 
 
 def conform(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -45,14 +47,12 @@ def repair_review(df: DataFrame, forced_no: DataFrame | None = None) -> DataFram
 
 
 def with_row_id(df: DataFrame, prefix: str, order: list[str], scope: str = "scene_id", name: str = "query_id") -> DataFrame:
-    """Ids prefix0000, prefix0001, ... in a total order that begins with ``scope``.
+    """Ids prefix0000, prefix0001, ... in a total order that begins with ``scope``; null scopes come last and keep their rows.
 
-    Numbers are a scope's start (a running sum over one row a scope) plus the place within it, so no task sorts all rows.
+    Numbers come from a distributed sort (see ordering.numbered): no task has all rows of a scope, and any number of rows has ids.
     """
-    n = df.groupBy(scope).agg(F.count("*").alias("_n"))
-    start = n.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy(scope).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy(scope).orderBy(*order)) - 1
-    return df.withColumn("_place", place).join(start, scope).withColumn(name, F.format_string(f"{prefix}%04d", (F.col("_start") + F.col("_place")).cast("int"))).drop("_place", "_start")
+    number = free_name(df, "_number")
+    return numbered(df, [scope, *order], number).withColumn(name, F.format_string(f"{prefix}%04d", number)).drop(number)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
