@@ -113,9 +113,14 @@ def oriented_box(points: DataFrame, keys: list[str], low: float = 0.05, high: fl
     return turned.groupBy(*keys, "cx", "cy", "angle").agg(F.min("u").alias("u_min"), F.max("u").alias("u_max"), F.min("v").alias("v_min"), F.max("v").alias("v_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max"))
 
 
+def draw_key(seed: int, *names: str) -> Column:
+    """A random order that any engine can repeat: md5 of the seed and the named columns, written with bars between; nulls are left out."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in names]))
+
+
 def downsample(points: DataFrame, keys: list[str], order: str, limit: int, seed: int = 42) -> DataFrame:
-    """At most ``limit`` rows a key without replacement, the same ones on every run: those of the smallest hash of (seed, key, order)."""
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, order), order)
+    """At most ``limit`` rows a key without replacement, the same ones on every run: those of the smallest md5 of (seed, key, order)."""
+    w = Window.partitionBy(*keys).orderBy(draw_key(seed, *keys, order), order)
     return points.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
 
 

@@ -12,6 +12,7 @@ from ..operators import evaluation as E
 from ..operators import objects as O
 from ..operators import spatial as S
 from .adapters import SURFACE_SQL, clouds, distance_sql, objects_sql, read, segment_sql, valid_objects
+from .generating import ORACLE_SQL as ORACLE_CANDIDATES
 from .geometry import REFS, TARGETS
 
 QUERIES: dict = {}
@@ -184,11 +185,24 @@ def grounding_decomposition(spark, sf_dir):
     return _round(E.decompose(p, "total", "pred", "truth", "grounded"), ["grounding_accuracy", "mae_total", "mae_geometric", "delta_grounding"])
 
 
-# ---- Statistics on a replicate axis: no SQL form, tested against exact bounds ----
+# ---- Bootstrap and draws: random numbers are functions of their place, so SQL repeats them ----
 
+_PAIRS60 = ORACLE_CANDIDATES["candidates_distance"].rpartition("SELECT scene_id, 'distance' AS operator")[0]
+_CI = f"""{_PAIRS60}, n AS (SELECT object_id, count(*) AS n FROM pts GROUP BY object_id),
+    pw AS (SELECT k, list_reduce(list_transform(range(0, k), lambda z: CAST({B.FACTOR} AS BIGINT)), lambda x, y: (x * y) % {B.MODULUS}) AS w FROM (SELECT unnest(range(1, (SELECT 2 * max(n) FROM n) + 1)) AS k)),
+    pr AS (SELECT DISTINCT object_a, object_b, a.n AS na, b.n AS nb FROM top JOIN n a ON a.object_id = object_a JOIN n b ON b.object_id = object_b),
+    st AS (SELECT *, CAST('0x' || substr(md5('42|' || object_a || '|' || object_b || '|' || rep), 1, 7) AS BIGINT) + 1 AS start FROM pr, (SELECT unnest(range(0, 1000)) AS rep)),
+    da AS (SELECT DISTINCT object_a, object_b, rep, (start * w) % {B.MODULUS} % na AS i FROM st JOIN pw ON k <= na),
+    db AS (SELECT DISTINCT object_a, object_b, rep, (start * w) % {B.MODULUS} % nb AS j FROM st JOIN pw ON k > na AND k <= na + nb),
+    d AS (SELECT object_a, object_b, p.pt_idx AS i, q.pt_idx AS j, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) AS d FROM pr JOIN pts p ON p.object_id = object_a JOIN pts q ON q.object_id = object_b),
+    lo AS (SELECT object_a, object_b, rep, sqrt(min(d)) AS low FROM da JOIN db USING (object_a, object_b, rep) JOIN d USING (object_a, object_b, i, j) GROUP BY ALL),
+    pt AS (SELECT object_a, object_b, sqrt(min(d)) AS point FROM d GROUP BY ALL),
+    ci AS (SELECT object_a, object_b, point, avg(low) AS mean, stddev_pop(low) AS std, quantile_cont(low, 0.025) AS ci_low, quantile_cont(low, 0.975) AS ci_high FROM lo JOIN pt USING (object_a, object_b) GROUP BY ALL),
+    w AS (SELECT *, ci_high - ci_low AS ci_width, CASE WHEN point > 0 THEN (ci_high - ci_low) / point * 100 END AS ci_width_pct FROM ci)"""
+_CI_COLS = ["point", "mean", "std", "ci_low", "ci_high", "ci_width", "ci_width_pct"]
 
-@query("bootstrap_distance")
-def bootstrap_distance(spark, sf_dir):
+
+def _intervals(spark, sf_dir):
     from ..operators.candidates import distance_candidates
 
     v = valid_objects(spark, sf_dir)
@@ -196,30 +210,65 @@ def bootstrap_distance(spark, sf_dir):
     return B.distance_ci(distance_candidates(v, p), p)
 
 
-@query("bootstrap_summary")
+@query("bootstrap_distance", f"{_CI} SELECT object_a, object_b, {', '.join(f'round({c}, 6) AS {c}' for c in _CI_COLS)} FROM w")
+def bootstrap_distance(spark, sf_dir):
+    """Clouds have 21 points, under the cap of 2000, so whole clouds are resampled."""
+    return _round(_intervals(spark, sf_dir), _CI_COLS)
+
+
+@query("bootstrap_summary", f"{_CI} SELECT count(*) AS n, round(avg(ci_width), 6) AS mean_width, round(median(ci_width), 6) AS median_width, round(max(ci_width), 6) AS max_width, round(avg(ci_width_pct), 6) AS mean_width_pct FROM w")
 def bootstrap_summary(spark, sf_dir):
-    return B.summarise(bootstrap_distance(spark, sf_dir))
+    return _round(B.summarise(_intervals(spark, sf_dir)), ["mean_width", "median_width", "max_width", "mean_width_pct"])
 
 
-@query("bootstrap_nearest")
-def bootstrap_nearest(spark, sf_dir):
+_ASKED = f"""{objects_sql()}, cd AS (SELECT a.object_id AS object_a, b.label_norm AS label_b, b.object_id AS object_b, b.ord AS ord_b, {distance_sql('a', 'b')} AS cd
+        FROM v a JOIN v b ON a.scene_id = b.scene_id AND a.object_id <> b.object_id WHERE a.label_norm IN {_IN(REFS)} AND b.label_norm IN {_IN(TARGETS)})"""
+_NEAR = f"""{_ASKED}, np AS (SELECT object_a, label_b, object_b, ord_b, p.pt_idx AS pt_a, q.pt_idx AS pt_b, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) + pow(p.z - q.z, 2) AS d2 FROM cd JOIN pts p ON p.object_id = object_a JOIN pts q ON q.object_id = object_b)"""
+_STABILITY = f"""{_NEAR}, least AS (SELECT object_a, label_b, pt_a, object_b, ord_b, d2 FROM np QUALIFY row_number() OVER (PARTITION BY object_a, label_b, pt_a ORDER BY d2, ord_b, pt_b) = 1),
+    pl AS (SELECT *, row_number() OVER (PARTITION BY object_a, label_b ORDER BY d2, ord_b, pt_a) AS i, CAST(count(*) OVER (PARTITION BY object_a, label_b) AS DOUBLE) AS n FROM least),
+    sh AS (SELECT object_a, label_b, object_b, round(sum(pow((n - i + 1) / n, n) - pow((n - i) / n, n)), 12) AS share, min(i) = 1 AS first FROM pl GROUP BY ALL),
+    al AS (SELECT cd.*, coalesce(share, 0) AS share, coalesce(first, false) AS first FROM cd LEFT JOIN sh USING (object_a, label_b, object_b)),
+    sb AS (SELECT object_a, label_b, count(*) AS n_candidates, max(object_b) FILTER (first) AS point_winner, first(object_b ORDER BY cd, ord_b) AS gt_winner, first(share ORDER BY cd, ord_b) AS gt_stability,
+           first(object_b ORDER BY share DESC, ord_b) AS boot_winner, max(share) AS boot_winner_stability FROM al GROUP BY object_a, label_b)"""
+
+
+def _stability(spark, sf_dir):
     v = valid_objects(spark, sf_dir)
-    return B.nearest_stability(S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS), clouds(spark, sf_dir, v))
+    c = S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS)
+    answers = S.nearest(c.withColumn("d", G.distance_3d("a", "b")), "d").select("object_a", "label_b", F.col("answer_object").alias("gt_winner"))
+    return B.nearest_stability(c, clouds(spark, sf_dir, v), answers)
 
 
-@query("bootstrap_nearest_summary")
+@query("bootstrap_nearest", f"{_STABILITY} SELECT object_a, label_b, n_candidates, point_winner, gt_winner, point_winner = gt_winner AS gt_correct_point, round(gt_stability, 6) AS gt_stability, boot_winner, round(boot_winner_stability, 6) AS boot_winner_stability FROM sb")
+def bootstrap_nearest(spark, sf_dir):
+    """The given answers are those by centroid distance, so that some are not the nearest by surface."""
+    return _round(_stability(spark, sf_dir), ["gt_stability", "boot_winner_stability"])
+
+
+@query("bootstrap_nearest_summary", f"{_STABILITY} SELECT count(*) AS n, round(avg(gt_stability), 6) AS mean_stability, round(median(gt_stability), 6) AS median_stability, round(min(gt_stability), 6) AS min_stability, count(*) FILTER (gt_stability >= 0.95) AS n_stable, count(*) FILTER (point_winner = gt_winner) AS n_correct FROM sb")
 def bootstrap_nearest_summary(spark, sf_dir):
-    return B.summarise_nearest(bootstrap_nearest(spark, sf_dir))
+    return _round(B.summarise_nearest(_stability(spark, sf_dir)), ["mean_stability", "median_stability", "min_stability"])
+
+
+@query("point_neighbours", f"{_NEAR} SELECT object_a, object_b, pt_a, pt_b, round(sqrt(d2), 6) AS distance_m FROM np QUALIFY row_number() OVER (PARTITION BY object_a, object_b, pt_a ORDER BY d2, pt_b) = 1")
+def point_neighbours(spark, sf_dir):
+    """For each point of a reference its nearest point of each candidate."""
+    from ..operators.neighbours import point_neighbours as run
+
+    v = valid_objects(spark, sf_dir)
+    near = run(S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS), clouds(spark, sf_dir, v))
+    return near.select("object_a", "object_b", "pt_a", "pt_b", F.round(F.sqrt("d2"), 6).alias("distance_m"))
 
 
-@query("stratified_sample")
+@query("stratified_sample", "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_type || '|' || event_id), event_id) <= 10")
 def stratified_sample(spark, sf_dir):
-    """Ten events of each type, chosen by hash."""
+    """Ten events of each type, drawn by md5."""
     return O.stratified_sample(read(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type"], "event_id", 10)
 
 
-@query("downsampled_points", f"{objects_sql()} SELECT object_id, least(count(*), 8) AS n FROM pts GROUP BY object_id")
+@query("downsampled_points", f"{objects_sql()} SELECT object_id, pt_idx, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM pts QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY md5('42|' || object_id || '|' || pt_idx), pt_idx) <= 8")
 def downsampled_points(spark, sf_dir):
+    """Which eight points of each cloud are drawn."""
     from .adapters import objects
 
-    return O.downsample(clouds(spark, sf_dir, objects(spark, sf_dir)), ["object_id"], "pt_idx", 8).groupBy("object_id").agg(F.count("*").alias("n"))
+    return _round(O.downsample(clouds(spark, sf_dir, objects(spark, sf_dir)), ["object_id"], "pt_idx", 8).drop("scene_id"), list("xyz"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import objects as O
 from ..operators import relational as R
+from ..operators.ordering import with_file_row
 from ..operators import scenes as S
 from .adapters import RAW, objects, objects_sql, read, valid_objects
 
@@ -185,6 +186,13 @@ def master_queries(spark, sf_dir):
     return _master(read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer"))
 
 
+@query("file_order_ids", "SELECT event_id, printf('dev_official_dn_%04d', row_number() OVER () - 1) AS query_id FROM events")
+def file_order_ids(spark, sf_dir):
+    """Ids by the order in which rows stand in their file."""
+    rows = with_file_row(read(spark, sf_dir, "events"), "row")
+    return rows.select("event_id", F.format_string("dev_official_dn_%04d", "row").alias("query_id"))
+
+
 @query("op_scene_summary", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in ("click", "view", "error")) + ", count(*) FILTER (event_type IN ('click', 'view', 'error')) AS total FROM events GROUP BY user_id")
 def op_scene_summary(spark, sf_dir):
     return R.summary(read(spark, sf_dir, "events"), "user_id", "event_type", ["click", "view", "error"])
