@@ -1,11 +1,10 @@
-"""Camera frames: projection of points and boxes, visibility, best window, sampling, smoothing.
+"""Camera frames: projection of points and boxes, visibility, best window, sampling.
 
 A pose is the rigid camera-to-world matrix as 16 numbers, row by row; its inverse is the transposed rotation, so no matrix is inverted.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,42 +127,3 @@ def sample_frames(frames: DataFrame, step: int, most: int) -> DataFrame:
 
 def frame_range(frames: DataFrame, first: int, last: int, stride: int = 1) -> DataFrame:
     return frames.where(F.col("frame_idx").between(first, last) & ((F.col("frame_idx") - first) % stride == 0))
-
-
-def smooth_shapes(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.8) -> DataFrame:
-    """Exponential smoothing of boxes or points (arrays of numbers) of each key in order, number by number; a missing array carries on what was.
-
-    An array of another length than what was, or with a missing number, starts anew. One pass over a key's rows, in one task: meant for clips.
-    """
-    kinds = dict(rows.dtypes)
-    schema = f"{key} {kinds[key]}, " + ", ".join(f"{o} {kinds[o]}" for o in order) + f", {value} array<double>, smoothed array<double>"
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(order, kind="stable")
-        was, out = None, []
-        for v in x[value]:
-            if v is not None:
-                fresh = was is None or len(was) != len(v) or any(n is None or n != n for n in v)
-                was = list(v) if fresh else [alpha * a + (1 - alpha) * b for a, b in zip(was, v, strict=True)]
-            out.append(was)
-        return x.assign(smoothed=out)
-
-    return rows.select(key, *order, F.col(value).cast("array<double>").alias(value)).groupBy(key).applyInPandas(run, schema)
-
-
-def smooth(rows: DataFrame, key: str, order: list[str], value: str, alpha: float = 0.8) -> DataFrame:
-    """Exponential smoothing of each key's values in order: alpha of what was and 1 - alpha of what comes; a missing value carries on what was.
-
-    A fold, so a key's rows are gathered in one row: meant for keys of bounded length (a clip). For endless keys use
-    plumbline.streaming.smooth, which keeps only the last value.
-    """
-    first = F.struct(F.lit(None).cast("double").alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        new, was = r["v"], acc["s"]
-        s = F.when(was.isNull(), new).when(new.isNull(), was).otherwise(alpha * was + (1 - alpha) * new)
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    rowed = F.array_sort(F.collect_list(F.struct(*[F.col(o) for o in order], F.col(value).cast("double").alias("v"))))
-    folded = rows.groupBy(key).agg(rowed.alias("r")).withColumn("s", F.aggregate("r", first, step, lambda a: a["out"]))
-    return folded.select(key, F.explode(F.arrays_zip("r", "s")).alias("z")).select(key, *[F.col(f"z.r.{o}").alias(o) for o in order], F.col("z.r.v").alias(value), F.col("z.s").alias("smoothed"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import frames as R
+from ..operators import smoothing as S
 from .adapters import objects_sql, read, valid_objects
 
 QUERIES: dict = {}
@@ -150,7 +151,7 @@ def frame_window(spark, sf_dir):
 )
 def ema_smooth(spark, sf_dir):
     rows = _clock(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")))
-    return R.smooth(rows, "scene_id", ["frame_idx"], "value").withColumn("smoothed", F.round("smoothed", 6))
+    return S.smooth(rows, "scene_id", ["frame_idx"], "value").withColumn("smoothed", F.round("smoothed", 6))
 
 
 @query(
@@ -162,6 +163,6 @@ def ema_smooth(spark, sf_dir):
 def ema_boxes(spark, sf_dir):
     v = F.col("value")
     box = F.when(F.col("event_id") % 9 == 0, None).when(F.col("event_id") % 10 == 0, F.array(v, v + 1)).otherwise(F.array(v, v / 2, v + 3, v * 2))
-    out = R.smooth_shapes(_clock(spark, sf_dir).withColumn("box", box), "scene_id", ["frame_idx"], "box")
+    out = S.smooth_shapes(_clock(spark, sf_dir).withColumn("box", box), "scene_id", ["frame_idx"], "box")
     sides = F.when(F.col("smoothed").isNotNull(), F.size("smoothed").cast("long"))
     return out.select("scene_id", "frame_idx", sides.alias("sides"), *[F.round(F.get("smoothed", i), 6).alias(f"s{i}") for i in range(4)])

@@ -1,35 +1,11 @@
-"""Streaming twins: smoothing with carried state, resume without repeats, answers to a stream of questions."""
+"""Streaming twins: resume without repeats, windowed counts, answers to a stream of questions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def smooth(rows: DataFrame, key: str, order: str, value: str, alpha: float = 0.8) -> DataFrame:
-    """Exponential smoothing of a stream of (key, order, value): per key only the last smoothed value is kept as state.
-
-    Rows of a key are taken in order within a micro-batch; micro-batches are taken as they come. A missing value carries on
-    what was; until a first value comes the result is null.
-    """
-    kinds = dict(rows.dtypes)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for b in [pd.concat(list(batches)).sort_values(order)]:
-            out = []
-            for v in b[value]:
-                last = last if pd.isna(v) else float(v) if last is None or pd.isna(last) else alpha * last + (1 - alpha) * float(v)
-                out.append(last)
-            state.update((last,))
-            yield pd.DataFrame({key: k[0], order: b[order].to_numpy(), "smoothed": pd.array(out, "Float64")})
-
-    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, smoothed double"
-    return rows.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def once(requests: DataFrame, key: str = "query_id", event_time: str | None = None, late: str = "1 hour") -> DataFrame:

@@ -7,6 +7,7 @@ import __spark_entry__
 from plumbline.functions import metrics as M
 from plumbline.operators import bootstrap as B
 from plumbline.operators import frames as R
+from plumbline.operators import smoothing as S
 
 
 def test_a_missing_prediction_is_not_accurate(spark):
@@ -18,7 +19,7 @@ def test_a_missing_prediction_is_not_accurate(spark):
 
 def test_boxes_and_points_are_smoothed_by_shape(spark):
     rows = [("a", 0, None), ("a", 1, [0.0, 10.0]), ("a", 2, [10.0, 20.0]), ("a", 3, None), ("a", 4, [1.0, 2.0, 3.0]), ("a", 5, [2.0, 2.0, 2.0]), ("a", 6, []), ("b", 0, [5.0])]
-    got = {(r.k, r.i): r.smoothed for r in R.smooth_shapes(spark.createDataFrame(rows, "k string, i int, v array<double>").repartition(3), "k", ["i"], "v", 0.5).collect()}
+    got = {(r.k, r.i): r.smoothed for r in S.smooth_shapes(spark.createDataFrame(rows, "k string, i int, v array<double>").repartition(3), "k", ["i"], "v", 0.5).collect()}
     assert got == {("a", 0): None, ("a", 1): [0, 10], ("a", 2): [5, 15], ("a", 3): [5, 15], ("a", 4): [1, 2, 3], ("a", 5): [1.5, 2, 2.5], ("a", 6): [], ("b", 0): [5]}
 
 

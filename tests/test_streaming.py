@@ -1,25 +1,8 @@
 from pyspark.sql import functions as F
 
-from plumbline.operators.frames import smooth as batch_smooth
 from plumbline.operators.objects import aliases, manifest
 from plumbline.operators.questions import answer
-from plumbline.streaming.queries import answer_stream, once, smooth, windowed_counts
-
-VALUES = [("a", 1, 1.0), ("a", 2, None), ("a", 3, 5.0), ("b", 1, None), ("b", 2, 2.0), ("a", 4, 2.0), ("b", 3, 4.0)]
-SCHEMA = "k string, i long, v double"
-
-
-def test_smoothing_equals_its_batch_twin(spark, tmp_path):
-    rows = spark.createDataFrame(VALUES, SCHEMA)
-    for n, part in enumerate((rows.where("i <= 2"), rows.where("i > 2"))):
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = smooth(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "k", "i", "v")
-    q = stream.writeStream.format("memory").queryName("smoothed").outputMode("append").start()
-    q.processAllAvailable(), q.stop()
-    got = sorted((r.k, r.i, r.smoothed) for r in spark.sql("SELECT * FROM smoothed").collect())
-    want = sorted((r.k, r.i, r.smoothed) for r in batch_smooth(rows, "k", ["i"], "v").collect())
-    assert got == want and want[2] == ("a", 3, 0.8 * 1.0 + (1 - 0.8) * 5.0)
-
+from plumbline.streaming.queries import answer_stream, once, windowed_counts
 
 def test_once_and_windows(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:01:00"), (1, "2024-01-01 00:02:00"), (2, "2024-01-01 00:12:00")], "query_id int, s string").select("query_id", F.to_timestamp("s").alias("ts"))
