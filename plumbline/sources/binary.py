@@ -1,8 +1,7 @@
-"""Binary sources: PLY meshes, NPZ point clouds, SENS frame streams. Parsers work on bytes; Spark reads the files, or byte ranges of them."""
+"""Binary sources: PLY meshes and SENS frame streams. Parsers work on bytes; Spark reads the files, or byte ranges of them. Vertices and NPZ points are in ``formats``."""
 
 from __future__ import annotations
 
-import io
 import re
 import struct
 import zlib
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shared import materialize
+
 # ---- PLY ----
 
 _PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
@@ -31,14 +32,10 @@ def _equal_lists(body: bytes, at: int, n: int, count_kind: str, kind: str) -> np
     return rows if (rows["size"] == size).all() else None
 
 
-def parse_ply(raw: bytes, with_faces: bool = True) -> tuple[dict[str, np.ndarray], list[list[int]]]:
-    """Vertex properties by name and faces as vertex numbers, of an ASCII or binary PLY file; other elements are skipped.
-
-    Without faces, nothing behind the vertices is read.
-    """
-    head, _, body = raw.partition(b"end_header\n")
-    lines = [ln.split() for ln in head.decode("ascii").splitlines()]
-    if not lines or lines[0] != ["ply"]:
+def ply_elements(head: bytes) -> tuple[str, list[tuple[str, int, list]]]:
+    """Format and elements (name, count, properties) of a PLY header; a list property has two types."""
+    lines = [ln.split() for ln in head.decode("ascii", "replace").splitlines()]
+    if not lines or lines[0] != ["ply"] or lines[-1] != ["end_header"]:
         raise ValueError("not a PLY file")
     form, elements = "", []
     for ln in lines:
@@ -48,6 +45,16 @@ def parse_ply(raw: bytes, with_faces: bool = True) -> tuple[dict[str, np.ndarray
             elements.append((ln[1], int(ln[2]), []))
         elif ln[:1] == ["property"]:
             elements[-1][2].append((ln[-1], ln[2:4] if ln[1] == "list" else ln[1]))
+    return form, elements
+
+
+def parse_ply(raw: bytes, with_faces: bool = True) -> tuple[dict[str, np.ndarray], list[list[int]]]:
+    """Vertex properties by name and faces as vertex numbers, of an ASCII or binary PLY file; other elements are skipped.
+
+    Without faces, nothing behind the vertices is read.
+    """
+    head, mark, body = raw.partition(b"end_header\n")
+    form, elements = ply_elements(head + mark)
     vertices: dict[str, np.ndarray] = {}
     faces: list[list[int]] = []
     tokens, at, order = (iter(body.split()) if form == "ascii" else None), 0, ">" if form.endswith("big_endian") else "<"
@@ -92,25 +99,7 @@ def parse_ply(raw: bytes, with_faces: bool = True) -> tuple[dict[str, np.ndarray
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
-def read_ply_vertices(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
-    """(path, vertex_idx, x, y, z, red, green, blue); colours are null where a file has none."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, raw in zip(b["path"], b["content"], strict=True):
-                v, _ = parse_ply(raw, with_faces=False)
-                n = len(v["x"])
-                for at in range(0, n, rows):
-                    cut = slice(at, min(n, at + rows))
-                    out = pd.DataFrame({"path": p, "vertex_idx": np.arange(cut.start, cut.stop), **{k: v[k][cut].astype(np.float32) for k in "xyz"}})
-                    for c in ("red", "green", "blue"):
-                        out[c] = pd.array(v[c][cut], "Int32") if c in v else pd.array([None] * len(out), "Int32")
-                    yield out
-
-    return _files(spark, path, "*.ply").mapInPandas(parse, "path string, vertex_idx int, x float, y float, z float, red int, green int, blue int")
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"), "content")
 
 
 def read_ply_faces(spark: SparkSession, path: str, rows: int = 100_000) -> DataFrame:
@@ -136,23 +125,6 @@ def triangles(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return each.groupBy("path", "face_idx", "part", "corners").agg(*[F.avg(c).alias(c) for c in ("red", "green", "blue")])
 
 
-# ---- NPZ ----
-
-
-def read_npz_points(spark: SparkSession, path: str, key: str = "points") -> DataFrame:
-    """(object_id, pt_idx, x, y, z) of files <object_id>.npz, each with an (n, 3) array."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, raw in zip(b["path"], b["content"], strict=True):
-                with np.load(io.BytesIO(raw)) as z:
-                    v = z[key].astype(np.float32)
-                name = re.sub(r"\.npz$", "", p.rsplit("/", 1)[-1])
-                yield pd.DataFrame({"object_id": name, "pt_idx": np.arange(len(v)), "x": v[:, 0], "y": v[:, 1], "z": v[:, 2]})
-
-    return _files(spark, path, "*.npz").mapInPandas(parse, "object_id string, pt_idx int, x float, y float, z float")
-
-
 # ---- SENS ----
 
 # Fixed values of the format: codec names by code.
@@ -205,60 +177,84 @@ def index_sens(f, frames: int) -> Iterator[tuple[int, int]]:
         f.seek(at + _FRAME.size + sum(sizes))
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, first: int, offset: int, count: int, header: dict):
-        self.path, self.first, self.offset, self.count, self.header = path, first, offset, count, header
+def frame_head(f) -> tuple:
+    """Pose, colour and depth stamps, and sizes of the two payloads of the frame at which f stands."""
+    *pose, t_color, t_depth, n_color, n_depth = _FRAME.unpack(f.read(_FRAME.size))
+    return pose, t_color, t_depth, n_color, n_depth
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
 
 
 class SensReader(DataSourceReader):
-    def __init__(self, options: dict, payload: bool):
-        self.paths, self.payload, self.frames = options["path"].split(","), payload, int(options.get("framesPerPartition", 200))
+    """Frame heads, a task a file: each task walks its file from head to head. The driver opens nothing."""
+
+    def __init__(self, options: dict):
+        self.paths = options["path"].split(",")
 
     def partitions(self) -> list[InputPartition]:
-        """One byte range a group of frames: a pass over frame heads only."""
-        out = []
-        for path in self.paths:
-            with _open(path) as f:
-                header = read_sens_header(f)
-                for i, at in index_sens(f, header["num_frames"]):
-                    if i % self.frames == 0:
-                        out.append(_Range(path, i, at, min(self.frames, header["num_frames"] - i), header))
-        return out
-
-    def read(self, partition: _Range):
+        return [_File(p) for p in self.paths]
+
+    def read(self, partition: _File):
         with _open(partition.path) as f:
-            f.seek(partition.offset)
-            for i in range(partition.first, partition.first + partition.count):
-                *pose, t_color, t_depth, n_color, n_depth = _FRAME.unpack(f.read(_FRAME.size))
-                row = (partition.path, i, pose, t_color, t_depth, n_color, n_depth)
-                if self.payload:
-                    row += (f.read(n_color), f.read(n_depth), partition.header["depth_codec"], partition.header["depth_width"], partition.header["depth_height"])
-                else:
-                    f.seek(f.tell() + n_color + n_depth)
-                yield row
+            header = read_sens_header(f)
+            for i, at in index_sens(f, header["num_frames"]):
+                f.seek(at)
+                yield (partition.path, i, at, *frame_head(f), header["depth_codec"], header["depth_width"], header["depth_height"])
+
+
+_HEAD = "path string, frame_idx int, pose array<float>, ts_color long, ts_depth long, color_bytes long, depth_bytes long"
 
 
-class SensFrames(DataSource):
-    """Format "sens": frames of the files in option path (several by commas) with payloads; option index=true leaves payloads unread."""
+class SensHeads(DataSource):
+    """Format "sens": heads of the frames of the files in option path (several by commas), with their offsets; no payload is read."""
 
     @classmethod
     def name(cls) -> str:
         return "sens"
 
-    def _payload(self) -> bool:
-        return self.options.get("index", "false").lower() != "true"
-
     def schema(self) -> str:
-        return "path string, frame_idx int, pose array<float>, ts_color long, ts_depth long, color_bytes long, depth_bytes long" + ", color binary, depth binary, depth_codec string, depth_width int, depth_height int" * self._payload()
+        return _HEAD.replace("frame_idx int,", "frame_idx int, offset long,") + ", depth_codec string, depth_width int, depth_height int"
 
     def reader(self, schema) -> SensReader:
-        return SensReader(self.options, self._payload())
+        return SensReader(self.options)
+
+
+def sens_ranges(heads: DataFrame, frames_per_partition: int = 200) -> DataFrame:
+    """(path, first, offset, count, depth_codec, depth_width, depth_height): byte ranges of so many frames each."""
+    part = F.expr(f"frame_idx div {frames_per_partition}")
+    same = [F.first(c).alias(c) for c in ("depth_codec", "depth_width", "depth_height")]
+    return heads.groupBy("path", part.alias("_part")).agg(F.min("frame_idx").alias("first"), F.min("offset").alias("offset"), F.count("*").alias("count"), *same).drop("_part")
 
 
 def read_sens(spark: SparkSession, paths: list[str], index_only: bool = False, frames_per_partition: int = 200) -> DataFrame:
-    """Frames of .sens files; index_only reads poses, stamps and sizes and skips the payloads."""
-    spark.dataSource.register(SensFrames)
-    return spark.read.format("sens").option("path", ",".join(paths)).option("index", str(index_only).lower()).option("framesPerPartition", frames_per_partition).load()
+    """Frames of .sens files, in two steps: a task a file writes a table of byte ranges from the frame heads, then a task a range reads its frames.
+
+    index_only reads poses, stamps and sizes and no payload, in the first step alone.
+    """
+    spark.dataSource.register(SensHeads)
+    heads = spark.read.format("sens").option("path", ",".join(paths)).load()
+    if index_only:
+        return heads.select("path", "frame_idx", "pose", "ts_color", "ts_depth", "color_bytes", "depth_bytes")
+    ranges = materialize(sens_ranges(heads, frames_per_partition), "sens-ranges")
+
+    def frames(batches: Iterator[pd.DataFrame], at_once: int = 16) -> Iterator[pd.DataFrame]:
+        names = ["path", "frame_idx", "pose", "ts_color", "ts_depth", "color_bytes", "depth_bytes", "color", "depth", "depth_codec", "depth_width", "depth_height"]
+        for x in batches:
+            for r in x.itertuples(index=False):
+                with _open(r.path) as f:
+                    f.seek(r.offset)
+                    for i in range(0, r.count, at_once):
+                        rows = []
+                        for k in range(i, min(r.count, i + at_once)):
+                            head = frame_head(f)
+                            rows.append((r.path, r.first + k, *head, f.read(head[-2]), f.read(head[-1]), r.depth_codec, r.depth_width, r.depth_height))
+                        yield pd.DataFrame(rows, columns=names)
+
+    dealt = ranges.repartition(max(1, ranges.count()))
+    return dealt.mapInPandas(frames, _HEAD + ", color binary, depth binary, depth_codec string, depth_width int, depth_height int")
 
 
 def decode_depth(raw: bytes, codec: str, width: int, height: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.operators.objects import assemble, manifest
 from plumbline.sources import binary as B
 from plumbline.sources import files as R
+from plumbline.sources import formats as M
 
 
 def test_csv_variants(spark, tmp_path):
@@ -34,7 +35,7 @@ def test_scene_from_documents_and_mesh(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"sceneId": "s1_00", "segGroups": [{"id": 0, "objectId": 4, "label": "Desk", "segments": [7, 7, 9]}, {"id": 1, "label": "door", "segments": [8]}]}')
     (tmp_path / "v.json").write_text('{"sceneId": "s1_00", "segIndices": [7, 8, 9, 7]}')
     (tmp_path / "m.ply").write_bytes(b"ply\nformat ascii 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n0 0 0\n5 5 5\n1 0 0\n1 2 3\n4 0 1 2 3\n")
-    v = B.read_ply_vertices(spark, str(tmp_path)).withColumn("scene_id", F.lit("s1_00"))
+    v = M.read_ply_vertices(spark, str(tmp_path)).withColumn("scene_id", F.lit("s1_00"))
     objects = manifest(assemble(v, R.read_vertex_segments(spark, str(tmp_path / "v.json")), R.read_segment_groups(spark, str(tmp_path / "g.json"))), 3, 3)
     rows = {r.object_id: r for r in objects.collect()}
     assert rows["s1_00__desk_004"].n_points == 3 and rows["s1_00__desk_004"].is_valid_object and rows["s1_00__door_001"].invalid_reason == "too_few_points"
@@ -66,7 +67,7 @@ def test_binary_ply_equals_ascii(spark):
 
 def test_npz(spark, tmp_path):
     np.savez_compressed(tmp_path / "s__chair_001.npz", points=np.arange(6).reshape(2, 3))
-    assert sorted(map(tuple, B.read_npz_points(spark, str(tmp_path)).collect())) == [("s__chair_001", 0, 0.0, 1.0, 2.0), ("s__chair_001", 1, 3.0, 4.0, 5.0)]
+    assert sorted(map(tuple, M.read_npz_points(spark, str(tmp_path)).collect())) == [("s__chair_001", 0, 0.0, 1.0, 2.0), ("s__chair_001", 1, 3.0, 4.0, 5.0)]
 
 
 def sens(frames):
@@ -84,6 +85,7 @@ def test_sens(spark, tmp_path):
     path = str(tmp_path / "a.sens")
     full = B.read_sens(spark, [path], frames_per_partition=3)
     assert full.rdd.getNumPartitions() == 3
+    assert sorted((r.first, r["count"]) for r in B.sens_ranges(spark.read.format("sens").option("path", path).load(), 3).collect()) == [(0, 3), (3, 3), (6, 1)]
     rows = full.orderBy("frame_idx").collect()
     assert [len(r.color) for r in rows] == [3 * i for i in range(7)] and rows[2].pose[3] == 5.0 and rows[3].ts_depth == 60
     stats = {r.frame_idx: (r.n_valid, r.min_depth, r.max_depth) for r in B.depth_statistics(full).collect()}
@@ -104,3 +106,11 @@ def test_sinks_and_resume(spark, tmp_path):
     assert R.append_responses(df.where("query_id = 1"), done, F.lit("first")).count() == 1
     assert sorted((r.query_id, r.answer) for r in R.append_responses(df, done, F.lit("second")).collect()) == [(1, "first"), (2, "second")]
     assert [r.value for r in R.metrics_text(df.agg(F.count("*").alias("n"))).collect()] == ["n = 2"]
+
+
+def test_the_driver_opens_no_frame(monkeypatch):
+    def refused(path):
+        raise AssertionError(path)
+
+    monkeypatch.setattr(B, "_open", refused)
+    assert [p.path for p in B.SensReader({"path": "a.sens,b.sens"}).partitions()] == ["a.sens", "b.sens"]
