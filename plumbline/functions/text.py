@@ -60,11 +60,25 @@ def collapse_blanks(text: Column) -> Column:
 
 
 def slugify(text: Column, length: int = 80) -> Column:
-    """Lower-case words joined by underscores, at most ``length`` characters; "query" if nothing is left."""
-    s = F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, length)
+    """Lower-case words joined by underscores, at most ``length`` characters; "query" if nothing is left.
+
+    Only the shortest head with length + 1 letters or digits matters (all of a text that has fewer), so the replacing stops there.
+    """
+    head = F.regexp_extract(F.lower(text), f"^(?:[^a-z0-9]*+[a-z0-9]){{0,{length + 1}}}", 0)
+    s = F.substring(F.regexp_replace(F.regexp_replace(head, "[^a-z0-9]+", "_"), "^_", ""), 1, length)
     return F.when(F.coalesce(s, F.lit("")) == "", F.lit("query")).otherwise(s)
 
 
+def decimal_comma(number: Column, digits: int = 2, unit: str = " m") -> Column:
+    """An answer as it is shown: so many decimals after a comma, and the unit."""
+    return F.concat(F.replace(F.format_string(f"%.{digits}f", number), F.lit("."), F.lit(",")), F.lit(unit))
+
+
+def json_list(values: Column) -> Column:
+    """A list written as JSON; null items stay null."""
+    return F.to_json(values, {"ignoreNullFields": "false"})
+
+
 def normalize_label(raw: Column, label_map: dict[str, list[str]] | None = None, allowed: list[str] | None = None) -> Column:
     """Category of a raw label: mapped exactly, or allowed itself, or that of the first mapped label (in the map's order) that it contains; else null."""
     label_map, allowed = label_map or LABEL_MAP, allowed or CATEGORIES

@@ -87,6 +87,32 @@ def in_view(frames: DataFrame, boxes: DataFrame, width: int, height: int, near:
     return frames.join(boxes.select("scene_id", "object_id", *[f"aabb_{m}_{k}" for m in ("min", "max") for k in "xyz"]), "scene_id").where(seen).select(*frames.columns, "object_id")
 
 
+def cloud_boxes(seen: DataFrame, points: DataFrame, width: int, height: int, least: int = 20, near: float = 1e-6) -> DataFrame:
+    """scene_id, frame_idx, object_id, n_visible, x0, y0, x1, y1: box of an object's points inside the image, as by image_boxes.
+
+    seen(scene_id, frame_idx, pose, fx, fy, cx, cy, object_id): frames with the objects that may be in them (see in_view). Clouds are packed, a
+    row an object, and meet each (frame, object) once; points are projected, counted and bounded within the row, so none is made a row or shuffled.
+    """
+    cloud = points.groupBy("object_id").agg(F.collect_list(F.struct(*[F.col(k).cast("double").alias(k) for k in "xyz"])).alias("_cloud"))
+    both = seen.join(cloud, "object_id")
+
+    def image(p: Column) -> Column:
+        x, y, d = to_camera(F.col("pose"), p["x"], p["y"], p["z"])
+        return F.struct(x.alias("x"), y.alias("y"), d.alias("d"))
+
+    uv = F.transform(
+        F.filter(F.transform("_cloud", image), lambda c: c["d"] > near),
+        lambda c: F.struct((F.col("fx") * F.try_divide(c["x"], c["d"]) + F.col("cx")).alias("u"), (F.col("fy") * F.try_divide(c["y"], c["d"]) + F.col("cy")).alias("v")),
+    )
+    inside = both.select("scene_id", "frame_idx", "object_id", F.filter(uv, lambda p: p["u"].between(0, width - 1) & p["v"].between(0, height - 1)).alias("_in"))
+    side = lambda f, k: f(F.col(f"_in.{k}"))
+    out = inside.where(F.size("_in") >= least).select(
+        "scene_id", "frame_idx", "object_id", F.size("_in").cast("long").alias("n_visible"),
+        F.floor(side(F.array_min, "u")).alias("x0"), F.floor(side(F.array_min, "v")).alias("y0"), F.ceil(side(F.array_max, "u")).alias("x1"), F.ceil(side(F.array_max, "v")).alias("y1"),
+    )
+    return out.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+
+
 def image_boxes(projected: DataFrame, keys: list[str], width: int, height: int, least: int = 20) -> DataFrame:
     """Box of the points inside the image, by key, if there are ``least`` of them and the box isn't empty."""
     inside = projected.where(F.col("u").between(0, width - 1) & F.col("v").between(0, height - 1))

@@ -86,6 +86,38 @@ def lookup(df: DataFrame, table: DataFrame, on: list[str], strict: bool = True)
     return df.join(table, on)
 
 
+def join_near(left: DataFrame, right: DataFrame, exact: list[str], near: list[str], tolerance: float = 1e-9, how: str = "left") -> DataFrame:
+    """left with the further columns of right, joined on equal keys ``exact`` and number keys ``near`` that differ by at most ``tolerance``.
+
+    Each number falls into a cell of the tolerance's width, and a row of right is sent to its own cell and the two beside it (per number
+    key), so rows meet by equal cells and are then verified. NaN and null count as one missing value that equals itself alone, -0 equals 0, and
+    infinities equal themselves. All matches are returned; a row of left without any stays in a left join. right's own key columns are left out.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown kind of join {how!r}")
+    number = lambda t, c: F.col(f"{t}.{c}").cast("double")
+    missing = lambda x: x.isNull() | F.isnan(x)
+    rest = [c for c in right.columns if c not in [*exact, *near]]
+
+    def celled(df: DataFrame, t: str, reach: int) -> DataFrame:
+        out = df.alias(t)
+        for i, c in enumerate(near):
+            x = number(t, c)
+            # beyond 2^53 cells numbers are further apart than a cell, so rounded ones are told apart by themselves
+            at = x / tolerance if tolerance > 0 else x
+            cell = F.when(missing(x), F.lit("missing")).when((F.abs(at) > 9e15) | F.lit(tolerance <= 0), (x + 0.0).cast("string"))
+            around = F.array(*[(F.floor(at) + d).cast("string") for d in range(-reach, reach + 1)])
+            out = out.withColumn(f"_cell{i}", F.explode(F.when(cell.isNotNull(), F.array(cell)).otherwise(around)))
+        return out
+
+    a, b = celled(left, "l", 0).alias("l"), celled(right, "r", 1).alias("r")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in exact] + [F.col(f"l._cell{i}") == F.col(f"r._cell{i}") for i in range(len(near))]
+    for c in near:
+        x, y = number("l", c), number("r", c)
+        on.append((missing(x) & missing(y)) | (x == y) | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False)))
+    return a.join(b, on, how).select(*[F.col(f"l.{c}") for c in left.columns], *[F.col(f"r.{c}") for c in rest])
+
+
 def split(df: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
     """Rows that pass the test, and all others (null included)."""
     yes = F.coalesce(test, F.lit(False))

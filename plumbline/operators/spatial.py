@@ -121,6 +121,38 @@ def reference_candidates(objects: DataFrame, references: Column, target_labels:
     return out.where("object_a <> object_b") if exclude_reference else out
 
 
+def _face_bound(a: str, b: str) -> Column:
+    """An upper bound of the squared distance of two clouds from their tight boxes <a>_min_x, ...: each face of a box holds a point of its cloud, so
+    no two clouds are further apart than the two points of two faces can be; the least over all pairs of faces."""
+    low, high = (lambda p, k: F.col(f"{p}_min_{k}")), (lambda p, k: F.col(f"{p}_max_{k}"))
+    whole = {k: F.greatest(G.sq(high(a, k) - low(b, k)), G.sq(high(b, k) - low(a, k))) for k in "xyz"}
+    to = lambda v, p, k: F.greatest(G.sq(v - low(p, k)), G.sq(v - high(p, k)))
+    # a face of a at value u of axis k and one of b at value v of axis l: those axes have their own terms, the others the whole one
+    bounds = []
+    for k in "xyz":
+        for u in (low(a, k), high(a, k)):
+            for m in "xyz":
+                for v in (low(b, m), high(b, m)):
+                    own = {k: G.sq(u - v)} if k == m else {k: to(u, b, k), m: to(v, a, m)}
+                    x, y, z = (own.get(c, whole[c]) for c in "xyz")
+                    bounds.append(x + y + z)
+    return F.least(*bounds)
+
+
+def reachable(candidates: DataFrame, objects: DataFrame, keys: tuple[str, ...] = ("scene_id", "object_a", "label_b")) -> DataFrame:
+    """The candidates (object_a, object_b, ...) that can be the nearest by surface of their question, and all that could tie with it.
+
+    Judged by boxes alone, before a point is read: a candidate goes if its box is further from the reference's than the least upper bound over
+    the question's candidates (see _face_bound). objects(object_id, aabb_min_*, aabb_max_*), boxes tight around the clouds.
+    """
+    box = lambda s: objects.select(F.col("object_id").alias(f"object_{s}"), *[F.col(f"aabb_{m}_{k}").cast("double").alias(f"_{s}_{m}_{k}") for m in ("min", "max") for k in "xyz"])
+    boxed = candidates.join(box("a"), "object_a").join(box("b"), "object_b")
+    judged = boxed.select(*candidates.columns, G.sq(G.box_gap("_a", "_b")).alias("_low"), _face_bound("_a", "_b").alias("_high"))
+    least = judged.groupBy(*keys).agg(F.min("_high").alias("_least"))
+    kept = judged.join(least, list(keys)).where(F.col("_low") * (1 - 1e-9) <= F.col("_least") * (1 + 1e-9))
+    return kept.select(*candidates.columns)
+
+
 def nearest(candidates: DataFrame, distance: str, keys: tuple[str, ...] = ("scene_id", "object_a", "label_b")) -> DataFrame:
     """The nearest candidate of each question; of equal distances the first in enumeration order."""
     best = F.min(F.struct(F.col(distance).alias("d"), F.col("ord_b").alias("o"), F.col("object_b").alias("id")))

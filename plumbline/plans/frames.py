@@ -90,8 +90,7 @@ def bbox2d(spark, sf_dir):
 
     v = valid_objects(spark, sf_dir)
     seen = R.in_view(_frames(v), v, W, H)
-    p = R.project(seen.join(clouds(spark, sf_dir, v).drop("pt_idx"), ["scene_id", "object_id"]))
-    return R.clamp_boxes(R.image_boxes(p, ["scene_id", "frame_idx", "object_id"], W, H, 18), 600, 400)
+    return R.clamp_boxes(R.cloud_boxes(seen, clouds(spark, sf_dir, v), W, H, 18), 600, 400)
 
 
 _SCORE = f"""{_FR}{_CENTRES}, uv AS (SELECT scene_id, frame_idx, pz, CASE WHEN pz > 0.1 THEN trunc({FOCAL} * px / pz + {W / 2})::INT END AS u, CASE WHEN pz > 0.1 THEN trunc({FOCAL} * py / pz + {H / 2})::INT END AS v FROM pr),

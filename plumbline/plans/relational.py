@@ -227,6 +227,37 @@ def pending_requests(spark, sf_dir):
     return R.pending(orders, read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id")))
 
 
+_PRICE = "CASE WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 10 = 1 THEN CAST('nan' AS DOUBLE) ELSE o_totalprice END"
+
+
+@query(
+    "float_key_join",
+    f"""WITH l AS (SELECT o_orderkey, o_custkey, {_PRICE} AS price FROM orders), r AS (SELECT o_orderkey AS other, o_custkey, {_PRICE} + CASE o_orderkey % 3 WHEN 0 THEN 0.0005 WHEN 1 THEN -0.0005 ELSE 0.01 END AS price FROM orders)
+    SELECT l.o_orderkey, l.o_custkey, round(l.price, 6) AS price, other FROM l LEFT JOIN r ON l.o_custkey = r.o_custkey AND ((l.price IS NULL OR isnan(l.price)) AND (r.price IS NULL OR isnan(r.price)) OR (NOT isnan(l.price) AND abs(l.price - r.price) <= 0.001))""",
+)
+def float_key_join(spark, sf_dir):
+    """Orders with those of the same customer and, within a tenth of a penny, the same price; missing prices equal each other."""
+    o = read(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 10 == 0, None).when(F.col("o_orderkey") % 10 == 1, F.lit(float("nan"))).otherwise(F.col("o_totalprice").cast("double"))
+    moved = price + F.when(F.col("o_orderkey") % 3 == 0, 0.0005).when(F.col("o_orderkey") % 3 == 1, -0.0005).otherwise(0.01)
+    left = o.select("o_orderkey", "o_custkey", price.alias("price"))
+    right = o.select(F.col("o_orderkey").alias("other"), "o_custkey", moved.alias("price"))
+    return R.join_near(left, right, ["o_custkey"], ["price"], 0.001).withColumn("price", F.round("price", 6))
+
+
+@query("decimal_answers", "SELECT event_id, replace(printf('%.2f', round(value, 4)), '.', ',') || ' m' AS answer FROM events")
+def decimal_answers(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", T.decimal_comma(F.round("value", 4)).alias("answer"))
+
+
+@query("json_lists", "SELECT o_custkey, to_json(list(o_orderpriority ORDER BY o_orderkey)) AS priorities, to_json(list(CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey END ORDER BY o_orderkey)) AS keys FROM orders GROUP BY o_custkey")
+def json_lists(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority")))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(rows.alias("r"))
+    keys = F.transform("r", lambda x: F.when(x["o_orderkey"] % 4 > 0, x["o_orderkey"]))
+    return o.select("o_custkey", T.json_list(F.col("r.o_orderpriority")).alias("priorities"), T.json_list(keys).alias("keys"))
+
+
 @query("label_value_counts", f"{objects_sql()} SELECT label_norm, count(*) AS n, count(DISTINCT scene_id) AS scenes FROM obj GROUP BY label_norm")
 def label_value_counts(spark, sf_dir):
     return objects(spark, sf_dir).groupBy("label_norm").agg(F.count("*").alias("n"), F.count_distinct("scene_id").alias("scenes"))
