@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,23 +49,25 @@ class SumOfSquares:
         return number, most - gap
 
 
-def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
-    """Documents as pieces of at most window tokens: id, piece, start, length, ids_crc32, place (a number of its own); with_ids adds the ids."""
+def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 4096, end_id: int = 1, with_ids: bool = False, memo_words: int = 500_000) -> DataFrame:
+    """Documents as pieces of at most window tokens: id, piece, start, length, ids_crc32, place (a number of its own); with_ids adds the ids.
+
+    A worker keeps the ids of memo_words words, some 0.4 KB each.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow
         from pyspark import TaskContext
 
-        pyarrow.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
+        pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
         if vocabulary not in _TOKENIZERS:
-            _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary)
+            _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary, memo_words)
         tokenizer, place = _TOKENIZERS[vocabulary], TaskContext.get().partitionId() << 40
         names = ["id", "piece", "start", "length", "ids_crc32", "place"] + ["ids"] * with_ids
         for x in batches:
             out = []
-            for i, t in zip(x["id"], x["t"], strict=True):
-                ids = np.append(tokenizer.ids(t), np.uint32(end_id)).astype("<u4")
+            for i, t in zip(x["id"], tokenizer.ids_of(x["t"]), strict=True):
+                ids = np.append(t, np.uint32(end_id)).astype("<u4")
                 for k in range(0, len(ids), window):
                     cut = ids[k : k + window]
                     out.append((None if pd.isna(i) else i, k // window, k, len(cut), zlib.crc32(cut.tobytes()), place) + ((cut.tolist(),) if with_ids else ()))

@@ -7,12 +7,14 @@ import re
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import count, groupby, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +67,8 @@ class WordTokenizer:
     Blanks always end a token of such a vocabulary, so a text's ids are those of its blank-separated words in turn. A word
     of ASCII and Latin letters below U+017F is split here and only its pieces go to the BPE model; any other word, and a word
     that holds a literal of an added token, goes through the tokenizer as a whole. A file that splits by another rule (see splits_by_rule)
-    is used on whole texts. A text's unknown words are learnt together. Beyond memo_words words the half seen in fewer texts is forgotten, which costs time to learn them again and nothing else.
+    is used on whole texts. The unknown words of some texts are learnt together. Beyond memo_words words the half met less often is
+    forgotten, which costs time to learn them again and nothing else.
     """
 
     def __init__(self, path: str, memo_words: int = 200_000):
@@ -132,17 +135,36 @@ class WordTokenizer:
         return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self, text: str | None) -> np.ndarray:
+        return self._of([text])[0]
+
+    def ids_of(self, texts: Iterable[str | None], chars: int = 1 << 22) -> Iterator[np.ndarray]:
+        """Ids of each text in turn; texts are looked at together, up to about ``chars`` characters at a time."""
+        some: list[str | None] = []
+        held = 0
+        for t in texts:
+            some.append(t)
+            held += len(t or "")
+            if held >= chars:
+                yield from self._of(some)
+                some, held = [], 0
+        yield from self._of(some)
+
+    def _of(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_word:
-            return np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
-        words = (text or "").encode().split()
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, np.uint32) for t in texts]
+        # Arrow splits and numbers the words of all texts, so only distinct ones become Python objects; an empty word has no ids
+        split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
         if len(self.number) > self.memo_words:
             self._forget()
-        n = len(self.number)
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        n, distinct = len(self.number), coded.dictionary.cast(pa.large_binary()).to_pylist()
+        own = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))
         if len(self.number) > n:
             self._learn(n)
-        self.texts[at] += 1
-        return self._gather(at)
+        self.texts[own] += 1
+        at = own[coded.indices.to_numpy(zero_copy_only=False)]
+        ends = np.concatenate(([0], np.cumsum(self.size[at], dtype=np.int64)))
+        return np.split(self._gather(at), ends[split.offsets.to_numpy()[1:-1]]) if texts else []
 
 
 @lru_cache(maxsize=4)
@@ -268,10 +290,9 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow
         from pyspark import TaskContext
 
-        pyarrow.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
+        pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
         if vocabulary not in _TOKENIZERS:
             _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary)
         tokenizer, sequence = _TOKENIZERS[vocabulary], TaskContext.get().partitionId() << 40
@@ -295,8 +316,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             return pd.DataFrame(out, columns=names).astype({"id": "Int64"} if kind == "bigint" else {})
 
         for x in batches:
-            for i, t in zip(x["id"], x["t"], strict=True):
-                got = np.append(tokenizer.ids(t), np.uint32(end_id)).astype(np.uint32)
+            for i, t in zip(x["id"], tokenizer.ids_of(x["t"]), strict=True):
+                got = np.append(t, np.uint32(end_id)).astype(np.uint32)
                 if ids and (held + len(got) > block_tokens or len(ids) >= block_docs):
                     yield flush()
                 ids.append(None if pd.isna(i) else i)

@@ -27,6 +27,20 @@ def test_word_ids_equal_the_tokenizer(text):
     assert _kept().ids(text).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aAb .1 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000\x00")), max_size=12)), max_size=9), st.sampled_from([1, 7, 1000]))
+def test_texts_together_equal_the_tokenizer(texts, chars):
+    got = list(_kept().ids_of(texts, chars))
+    assert [g.tolist() for g in got] == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_forgetting_changes_nothing():
+    small, rng = WordTokenizer(PATH, memo_words=50), random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcé1'", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    assert [g.tolist() for g in small.ids_of(texts, 60)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(small.number) < 200
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<|startoftext|>", "<|endoftext|>", "<|", "|>", "endoftext", "Hello", "ß", " ", "\n", "'s", "42", "<|ENDOFTEXT|>"]), max_size=12))
 def test_literals_of_added_tokens(parts):
