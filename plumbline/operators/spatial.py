@@ -44,11 +44,14 @@ def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "prun
     point pairs, and of larger clouds first drops the points that are further from the other's box than an upper bound from ``probes``
     points a side; "inplace" prunes alike and works each row's distance out within the row, for lists that hardly repeat a pair: the list is
     worked out once, and a repeated pair is computed again; "arrow" leaves a pair's clouds to numpy; "grid" is for clouds too large for one row: they are packed by cells of
-    side ``cell``, and only cells that can hold the closest two meet.
+    side ``cell``, and only cells that can hold the closest two meet; "scene" deals pairs and clouds by the scene_id of pairs_: a cloud
+    goes once to each task that has pairs of its scene, not once a pair, and numpy finds the distances there.
     """
     keys = ["object_a", "object_b"]
-    if strategy not in ("pruned", "inplace", "exploded", "arrow", "grid"):
+    if strategy not in ("pruned", "inplace", "exploded", "arrow", "grid", "scene"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if strategy == "scene":
+        return pairs_.join(_scene_distance(pairs_.select("scene_id", *keys).distinct(), points), ["scene_id", *keys])
     todo = pairs_.select(*keys).distinct()
     if strategy == "grid":
         return pairs_.join(_grid_distance(todo, points, cell), keys)
@@ -102,6 +105,42 @@ def _grid_distance(todo: DataFrame, points: DataFrame, cell: float) -> DataFrame
     return each.groupBy(*keys).agg(F.sqrt(F.min(d2(F.col("u"), F.col("v")))).alias("surface_distance"))
 
 
+def _scene_distance(todo: DataFrame, points: DataFrame, share: int = 20_000) -> DataFrame:
+    """Distances of todo(scene_id, object_a, object_b): a task has the pairs of a scene, or of a part of it where a scene has over ``share`` pairs, and the clouds they need."""
+    parts = todo.groupBy("scene_id").agg(F.ceil(F.count("*") / share).cast("int").alias("_parts"))
+    # by object_a, so that a part needs few clouds on that side
+    dealt = todo.join(parts, "scene_id").withColumn("_part", F.pmod(F.xxhash64("object_a"), F.col("_parts")).cast("int"))
+    needed = dealt.select("scene_id", "_part", F.explode(F.array("object_a", "object_b")).alias("object_id")).distinct()
+    cloud = points.select("object_id", F.struct(*[F.col(k).cast("double").alias(k) for k in "xyz"]).alias("p")).groupBy("object_id").agg(F.collect_list("p").alias("cloud"))
+    clouds = needed.join(cloud, "object_id").select(F.col("scene_id").alias("_of"), F.col("_part").alias("_of_part"), "object_id", "cloud")
+
+    def run(pairs: pd.DataFrame, clouds: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        from .neighbours import nearest_points, xyz
+
+        of = {o: xyz(c) for o, c in zip(clouds["object_id"], clouds["cloud"], strict=True)}
+        rows = []
+        for a, some in pairs[pairs["object_a"].isin(of) & pairs["object_b"].isin(of)].groupby("object_a"):
+            u, others = of[a], some["object_b"].tolist()
+            small = [b for b in others if len(u) * len(of[b]) <= 1 << 14]
+            if small:  # all small clouds of a's partners in one go
+                v = np.concatenate([of[b] for b in small])
+                d = [np.subtract.outer(v[:, k], u[:, k]) for k in range(3)]
+                least = (d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).min(axis=1)
+                starts = np.cumsum([0, *[len(of[b]) for b in small[:-1]]])
+                rows += zip([a] * len(small), small, np.sqrt(np.minimum.reduceat(least, starts)).tolist(), strict=True)
+            for b in set(others) - set(small):
+                few, many = sorted((u, of[b]), key=len)
+                rows.append((a, b, float(nearest_points(few, many)[1].min()) ** 0.5))
+        out = pd.DataFrame(rows, columns=["object_a", "object_b", "surface_distance"])
+        return out.assign(scene_id=pairs["scene_id"].iloc[0] if len(pairs) else None)[["scene_id", "object_a", "object_b", "surface_distance"]]
+
+    keys = ["scene_id", "_part"]
+    shape = f"scene_id {dict(todo.dtypes)['scene_id']}, object_a string, object_b string, surface_distance double"
+    return dealt.select(*keys, "object_a", "object_b").groupBy(*keys).cogroup(clouds.groupBy("_of", "_of_part")).applyInPandas(run, shape)
+
+
 def _least_by_numpy(batches: Iterator[pd.DataFrame], block: int = 2048) -> Iterator[pd.DataFrame]:
     import numpy as np
 

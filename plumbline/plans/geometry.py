@@ -61,7 +61,7 @@ def _surface(strategy):
 
 
 _SURF = f"{objects_sql()}{SURFACE_SQL} {_PAIR}, round(s.d, 6) AS distance_m {_AB} JOIN surf s ON s.object_a = a.object_id AND s.object_b = b.object_id"
-for _name, _strategy in (("distance_surface", "pruned"), ("distance_surface_exploded", "exploded"), ("distance_surface_arrow", "arrow"), ("distance_surface_grid", "grid")):
+for _name, _strategy in (("distance_surface", "pruned"), ("distance_surface_exploded", "exploded"), ("distance_surface_arrow", "arrow"), ("distance_surface_grid", "grid"), ("distance_surface_scene", "scene")):
     query(_name, _SURF)(_surface(_strategy))
 
 _BT = "FROM v x JOIN v a ON a.scene_id = x.scene_id JOIN v b ON b.scene_id = a.scene_id AND a.ord < b.ord"

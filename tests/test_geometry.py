@@ -67,7 +67,7 @@ def test_surface_distance_strategies_and_properties(spark):
     brute = lambda a, b: min(sum((u - v) ** 2 for u, v in zip(p, q, strict=True)) ** 0.5 for p in pts[a] for q in pts[b])
     pairs = P.pairs(objects, ordered=True)
     got = {}
-    for strategy, options in (("exploded", {}), ("pruned", {}), ("pruned", {"prune_above": 0}), ("inplace", {}), ("inplace", {"prune_above": 0}), ("arrow", {}), ("grid", {})):
+    for strategy, options in (("exploded", {}), ("pruned", {}), ("pruned", {"prune_above": 0}), ("inplace", {}), ("inplace", {"prune_above": 0}), ("arrow", {}), ("grid", {}), ("scene", {})):
         got[strategy] = {(r.object_a, r.object_b): r.surface_distance for r in P.surface_distance(pairs, cloud, strategy, **options).collect()}
         assert len(got[strategy]) == 72 and all(abs(d - brute(*k)) < 1e-9 for k, d in got[strategy].items())
     assert all(abs(d - got["pruned"][b, a]) < 1e-12 for (a, b), d in got["pruned"].items())
