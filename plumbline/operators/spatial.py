@@ -30,9 +30,11 @@ def pairs(objects: DataFrame, condition: Column | None = None, ordered: bool = F
     return out if condition is None else out.where(condition)
 
 
-def triples(objects: DataFrame) -> DataFrame:
-    """Triples of objects of a scene in enumeration order. Cubic in a scene's objects: meant for scenes of tens of objects."""
-    return pairs(objects).join(side(objects, "c"), "scene_id").where("ord_b < ord_c")
+def triples(objects: DataFrame, most: int = 400) -> DataFrame:
+    """Triples of objects of a scene in enumeration order. Cubic in a scene's objects, so a scene with an object numbered over ``most`` stops the query."""
+    too_many = F.raise_error(F.format_string(f"scene %s has more than {most} objects: too many for triples", "scene_id")).cast("boolean")
+    few = objects.where(F.when(F.col("ord") <= most, F.lit(True)).otherwise(too_many))
+    return pairs(few).join(side(few, "c"), "scene_id").where("ord_b < ord_c")
 
 
 def surface_distance(pairs_: DataFrame, points: DataFrame, strategy: str = "pruned", probes: int = 6, cell: float = 0.5, prune_above: int = 4096) -> DataFrame:
@@ -152,10 +154,10 @@ def _least_by_numpy(batches: Iterator[pd.DataFrame], block: int = 2048) -> Itera
         yield pd.DataFrame({"object_a": x["object_a"], "object_b": x["object_b"], "surface_distance": out})
 
 
-def reference_candidates(objects: DataFrame, references: Column, target_labels: list[str], exclude_reference: bool = True) -> DataFrame:
+def reference_candidates(objects: DataFrame, references: Column, target_labels: list[str], exclude_reference: bool = True, extra: tuple[str, ...] = ()) -> DataFrame:
     """(reference, candidate) pairs of a scene for nearest questions: a is the reference, b a candidate of the target category label_b."""
-    a = side(objects.where(references), "a")
-    b = side(objects.where(F.col("label_norm").isin(target_labels)), "b")
+    a = side(objects.where(references), "a", extra)
+    b = side(objects.where(F.col("label_norm").isin(target_labels)), "b", extra)
     out = a.join(b, "scene_id")
     return out.where("object_a <> object_b") if exclude_reference else out
 
@@ -178,18 +180,16 @@ def _face_bound(a: str, b: str) -> Column:
     return F.least(*bounds)
 
 
-def reachable(candidates: DataFrame, objects: DataFrame, keys: tuple[str, ...] = ("scene_id", "object_a", "label_b")) -> DataFrame:
-    """The candidates (object_a, object_b, ...) that can be the nearest by surface of their question, and all that could tie with it.
+def reachable(candidates: DataFrame, keys: tuple[str, ...] = ("scene_id", "object_a", "label_b")) -> DataFrame:
+    """The candidates that can be the nearest by surface of their question, and all that could tie with it; their boxes are left out.
 
     Judged by boxes alone, before a point is read: a candidate goes if its box is further from the reference's than the least upper bound over
-    the question's candidates (see _face_bound). objects(object_id, aabb_min_*, aabb_max_*), boxes tight around the clouds.
+    the question's candidates (see _face_bound). candidates(object_a, object_b, ..., a_min_x, ..., b_max_z), boxes tight around the clouds.
     """
-    box = lambda s: objects.select(F.col("object_id").alias(f"object_{s}"), *[F.col(f"aabb_{m}_{k}").cast("double").alias(f"_{s}_{m}_{k}") for m in ("min", "max") for k in "xyz"])
-    boxed = candidates.join(box("a"), "object_a").join(box("b"), "object_b")
-    judged = boxed.select(*candidates.columns, G.sq(G.box_gap("_a", "_b")).alias("_low"), _face_bound("_a", "_b").alias("_high"))
-    least = judged.groupBy(*keys).agg(F.min("_high").alias("_least"))
-    kept = judged.join(least, list(keys)).where(F.col("_low") * (1 - 1e-9) <= F.col("_least") * (1 + 1e-9))
-    return kept.select(*candidates.columns)
+    rest = [c for c in candidates.columns if c not in {f"{p}_{m}_{k}" for p in "ab" for m in ("min", "max") for k in "xyz"}]
+    judged = candidates.select(*rest, G.sq(G.box_gap("a", "b")).alias("_low"), _face_bound("a", "b").alias("_high"))
+    least = F.min("_high").over(Window.partitionBy(*keys))
+    return judged.withColumn("_least", least).where(F.col("_low") * (1 - 1e-9) <= F.col("_least") * (1 + 1e-9)).select(*rest)
 
 
 def nearest(candidates: DataFrame, distance: str, keys: tuple[str, ...] = ("scene_id", "object_a", "label_b")) -> DataFrame:

@@ -143,9 +143,9 @@ _KEY = "a.scene_id, a.object_id AS object_a, b.label_norm AS label_b"
 @query("nearest_surface", f"{objects_sql()}{SURFACE_SQL}, r AS (SELECT {_KEY}, b.object_id AS id, s.d, row_number() OVER (PARTITION BY a.object_id, b.label_norm ORDER BY s.d, b.ord) AS rn {_CS}) SELECT scene_id, object_a, label_b, id AS answer_object, round(d, 6) AS answer_distance FROM r WHERE rn = 1")
 def nearest_surface(spark, sf_dir):
     """Candidates whose boxes are too far away go before a point is read."""
-    c, p = _candidates(spark, sf_dir)
-    near = S.reachable(c, valid_objects(spark, sf_dir))
-    return S.nearest(S.surface_distance(near, p), "surface_distance").withColumn("answer_distance", F.round("answer_distance", 6))
+    v = valid_objects(spark, sf_dir)
+    near = S.reachable(S.reference_candidates(v, F.col("label_norm").isin(REFS), TARGETS, extra=("box",)))
+    return S.nearest(S.surface_distance(near, clouds(spark, sf_dir, v)), "surface_distance").withColumn("answer_distance", F.round("answer_distance", 6))
 
 
 @query("nearest_centroid", f"{objects_sql()}, r AS (SELECT {_KEY}, b.object_id AS id, {distance_sql('a', 'b')} AS d, row_number() OVER (PARTITION BY a.object_id, b.label_norm ORDER BY {distance_sql('a', 'b')}, b.ord) AS rn {_C}) SELECT scene_id, object_a, label_b, id AS answer_object, round(d, 6) AS answer_distance FROM r WHERE rn = 1")

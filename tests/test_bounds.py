@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
@@ -22,8 +23,9 @@ def scene(spark, n, spread, seed=1):
 def test_bounds_lose_no_nearest_and_save_clouds(spark):
     for spread, share in ((4, 1.0), (60, 0.4)):
         objects, points = scene(spark, 30, spread)
-        asked = S.reference_candidates(objects, F.col("label_norm") == "desk", ["chair", "sofa"])
-        some = S.reachable(asked, objects)
+        asked = S.reference_candidates(objects, F.col("label_norm") == "desk", ["chair", "sofa"], extra=("box",))
+        some = S.reachable(asked)
+        assert some.columns == S.reference_candidates(objects, F.col("label_norm") == "desk", ["chair", "sofa"]).columns
         best = lambda c: sorted(map(tuple, S.nearest(S.surface_distance(c, points), "surface_distance").collect()))  # noqa: E731,B023
         assert best(some) == best(asked) and 0 < some.count() <= share * asked.count()
 
@@ -36,6 +38,13 @@ def test_bounds_hold_for_every_pair(spark):
     assert len(rows) == 91 and all(r.surface_distance <= r.high + 1e-9 for r in rows)
 
 
+def test_scenes_too_large_for_triples_stop(spark):
+    objects, _ = scene(spark, 9, 5)
+    assert S.triples(objects, 9).count() == 84
+    with pytest.raises(Exception, match="too many for triples"):
+        S.triples(objects, 8).count()
+
+
 def test_numbers_are_joined_within_a_tolerance(spark):
     rng = random.Random(5)
     value = lambda: rng.choice([None, math.nan, 0.0, -0.0, math.inf, -math.inf, 1e300, rng.randint(-40, 40) * 0.01, rng.uniform(-0.3, 0.3)])
