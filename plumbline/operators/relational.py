@@ -69,21 +69,28 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def _or_stop(test: Column, message: Column) -> Column:
+    """A filter that every row passes, or the query stops with the message."""
+    return F.when(test, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+
+
+def _shown(text: str, keys: list[str]) -> Column:
+    return F.concat(F.lit(text + " "), F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+
+
 def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df itself; raises if a key stands twice."""
-    found = duplicates(df, keys).limit(3).collect()
-    if found:
-        raise ValueError(f"duplicate keys {[tuple(r)[: len(keys)] for r in found]}")
-    return df
+    """df itself; the query that reads it stops if a key stands twice. Part of the plan: no job of its own, and rows are numbered as they come, not gathered."""
+    again = free_name(df, "_again")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return df.withColumn(again, place).where(_or_stop(F.col(again) == 1, _shown("duplicate key", keys))).drop(again)
 
 
 def lookup(df: DataFrame, table: DataFrame, on: list[str], strict: bool = True) -> DataFrame:
-    """Inner join; strict raises if a key of df is missing in table."""
-    if strict:
-        missing = df.join(table.select(*on).distinct(), on, "left_anti").select(*on).limit(3).collect()
-        if missing:
-            raise KeyError([tuple(r) for r in missing])
-    return df.join(table, on)
+    """Inner join; strict: the query that reads it stops at a row of df whose key is missing in table (a null key is missing everywhere). Part of the plan: no job of its own."""
+    if not strict:
+        return df.join(table, on)
+    hit = free_name(table, free_name(df, "_hit"))
+    return df.join(table.withColumn(hit, F.lit(True)), on, "left").where(_or_stop(F.col(hit).isNotNull(), _shown("missing key", on))).drop(hit)
 
 
 def join_near(left: DataFrame, right: DataFrame, exact: list[str], near: list[str], tolerance: float = 1e-9, how: str = "left") -> DataFrame:

@@ -110,10 +110,14 @@ def test_null_contract(spark):
 def test_review_ids_and_lookups(spark):
     q = spark.createDataFrame([("b", 2), ("a", 1), ("a", 0)], "scene_id string, k int")
     assert sorted((r.scene_id, r.k, r.query_id) for r in L.with_row_id(q, "q_", ["k"]).collect()) == [("a", 0, "q_0000"), ("a", 1, "q_0001"), ("b", 2, "q_0002")]
-    with pytest.raises(ValueError):
-        L.require_unique(q, ["scene_id"])
-    with pytest.raises(KeyError):
-        L.lookup(q, q.where("k = 2"), ["scene_id"])
+    assert L.require_unique(q, ["k"]).count() == 3 and L.require_unique(q, ["scene_id", "k"]).columns == q.columns
+    with pytest.raises(Exception, match='duplicate key {"scene_id":"a"}'):
+        L.require_unique(q, ["scene_id"]).count()
+    other = q.where("k = 2").select("scene_id", (F.col("k") * 10).alias("v"))
+    assert [r.v for r in L.lookup(q.where("k = 2"), other, ["scene_id"]).collect()] == [20]
+    assert L.lookup(q, other, ["scene_id"], strict=False).count() == 1
+    with pytest.raises(Exception, match='missing key {"scene_id":"a"}'):
+        L.lookup(q, other, ["scene_id"]).count()
     schema = spark.createDataFrame([], "k double, extra string").schema
     assert L.to_schema(q, schema).columns == ["k", "extra"] and L.present(q, ["z", "k"]).columns == ["k"]
 
