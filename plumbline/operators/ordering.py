@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..shared import free_name, materialize, named
 
+#: Blocks whose starts are broadcast (paths of some hundred bytes: tens of megabytes); beyond it rows meet them by a shuffle.
+BROADCAST_BLOCKS = 200_000
+
 #: The lower 33 bits of monotonically_increasing_id count the rows of a task.
 _ROW = (1 << 33) - 1
 
@@ -53,6 +56,7 @@ def with_file_row(df: DataFrame, name: str = "file_row", path: str | None = None
     placed = df.select(*named(df), F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().bitwiseAND(_ROW).alias(at))
     blocks = placed.groupBy(file, block).agg(F.count("*").alias("_n"), F.min(at).alias("_low"))
     starts = blocks.withColumn("_start", F.sum("_n").over(Window.partitionBy(file).orderBy(block)) - F.col("_n"))
-    side = starts.select(F.col(file).alias("_f"), F.col(block).alias("_b"), (F.col("_start") - F.col("_low")).alias("_shift"))
-    met = placed.join(F.broadcast(side), (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_b")))
+    side = materialize(starts.select(F.col(file).alias("_f"), F.col(block).alias("_b"), (F.col("_start") - F.col("_low")).alias("_shift")), "blocks")
+    side = F.broadcast(side) if side.count() <= BROADCAST_BLOCKS else side
+    met = placed.join(side, (F.col(file) == F.col("_f")) & (F.col(block) == F.col("_b")))
     return met.select(*named(df), *([F.col(file).alias(path)] if path else []), (F.col(at) + F.col("_shift")).alias(name))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import neighbours as N
@@ -35,7 +36,9 @@ def test_one_scope_is_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_lines_of_split_files_have_their_numbers(spark, tmp_path):
+@pytest.mark.parametrize("blocks", [200_000, 1])
+def test_lines_of_split_files_have_their_numbers(spark, tmp_path, monkeypatch, blocks):
+    monkeypatch.setattr(O, "BROADCAST_BLOCKS", blocks)
     for name, n in (("a", 5000), ("b", 10), ("c", 0)):
         (tmp_path / f"{name}.csv").write_text("k,v\n" + "".join(f"{i},{name}{'x' * (i % 37)}\n" for i in range(n)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
