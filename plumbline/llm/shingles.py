@@ -1,7 +1,8 @@
 """Verified near copies: pairs of texts whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
 Candidates come from banded MinHash (BANDS bands of ROWS values): a pair of similarity 0.8 shares no band once in 2e7. Every link
-is then verified on the whole shingle sets of both texts.
+between sets of different names is then verified on the whole sets of both texts. A set's name is the XXH64 of all its shingles' XXH64; sets
+of one name count as equal, unverified.
 """
 
 from __future__ import annotations
