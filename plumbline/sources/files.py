@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .formats import opened
+
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, sep: str = ",") -> DataFrame:
     """CSV with a header and a declared schema; empty fields are null. Nothing is inferred, so no extra pass."""
     return spark.read.schema(schema).csv(path, header=True, sep=sep, nullValue="", multiLine=False, escape='"')
 
 
-def sniff_separator(spark: SparkSession, path: str) -> str:
-    """";" if the first line has one, else ",". Reads one line."""
-    first = spark.read.text(path).first()
-    return ";" if first is not None and ";" in first["value"] else ","
+def separators(spark: SparkSession, path: str) -> DataFrame:
+    """(path, separator) of each file: ";" if its first line has one, else ",". Tasks read the heads of the files, which Spark lists without their content."""
+
+    def heads(batches: Iterator[pd.DataFrame], most: int = 1 << 16) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = []
+            for p in x["path"]:
+                with opened(p) as f:
+                    found.append(";" if b";" in f.read(most).split(b"\n", 1)[0] else ",")
+            yield pd.DataFrame({"path": x["path"], "separator": found})
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(heads, "path string, separator string")
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV of either separator. A trailing separator on each line (an unnamed last column) does no harm."""
-    return read_csv(spark, path, schema, sniff_separator(spark, path))
+    """CSV files of either separator, each by its own. A trailing separator on each line (an unnamed last column) does no harm. A path a file reaches the driver, as in any listing."""
+    found = separators(spark, path).collect()
+    parts = [read_csv(spark, sorted(r["path"] for r in found if r["separator"] == sep), schema, sep) for sep in sorted({r["separator"] for r in found})]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def read_csv_ragged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

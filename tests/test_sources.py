@@ -15,6 +15,10 @@ from plumbline.sources import formats as M
 def test_csv_variants(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;name;\n1;x;\n2;;\n")
     assert [tuple(r) for r in R.read_csv_sniffed(spark, str(tmp_path / "a.csv"), "id int, name string").orderBy("id").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "mixed").mkdir()
+    for name, text in (("a", "id;name;\n1;x,y;\n"), ("b", "id,name\n2,u;v\n3,w\n"), ("c", "id,name\n"), ("d", "")):
+        (tmp_path / "mixed" / f"{name}.csv").write_text(text)
+    assert sorted(tuple(r) for r in R.read_csv_sniffed(spark, str(tmp_path / "mixed"), "id int, name string").collect()) == [(1, "x,y"), (2, "u;v"), (3, "w")]
     (tmp_path / "b.csv").write_text("a,b,c\n1,2\n3,4,5,6,7\n8,9,10\n")
     schema = spark.createDataFrame([], "a int, b int, c int").schema
     rows = R.read_csv_ragged(spark, str(tmp_path / "b.csv"), schema).select("a", "b", "c", F.col("_corrupt_record").isNotNull().alias("odd"))
