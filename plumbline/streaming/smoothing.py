@@ -17,7 +17,7 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Smoother(StatefulProcessor):
-    """Per key: the rows that the watermark hasn't passed, and the state smoothed so far. A timer at each row's time lets due rows out, in order of
+    """Per key: the rows that the watermark hasn't passed, and the state smoothed so far. A timer behind each row's time lets due rows out, in order of
     time and the further columns; one ``idle`` milliseconds after the last row forgets the key."""
 
     def __init__(self, key: str, time: str, order: list[str], kinds: dict[str, str], alpha: float, idle: int):
@@ -36,14 +36,14 @@ class Smoother(StatefulProcessor):
             orders = [x.iloc[:, 2 + i].tolist() for i in range(len(self.order))]
             us = x.iloc[:, -2].astype("int64").tolist()
             self.waiting.appendList(list(zip(us, *orders, values, strict=True)))
-            for ms in {u // 1000 for u in us}:
+            for ms in {u // 1000 + 1 for u in us}:  # the first millisecond behind the row, which the watermark can't have passed
                 self.handle.registerTimer(ms)
                 self.handle.registerTimer(ms + self.idle)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a timer fires once the watermark is past its millisecond, so rows of that millisecond are complete
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000 + 999
+        # the watermark has reached the timer, so no row before it can come any more
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000 - 1
         waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((r for r in waiting if r[0] <= passed), key=lambda r: tuple((v is None, 0 if v is None else v) for v in r[:-1]))
         was, last = self.so_far.get() if self.so_far.exists() else (None, None)
