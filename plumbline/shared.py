@@ -19,9 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A fresh path in the application's own folder, which may be removed when the application has ended."""
+    return f"{shared_dir(spark)}/plumbline-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet to a fresh path of the application's own folder and reads it back, so that a lost executor costs a re-read only."""
-    path = f"{shared_dir(df.sparkSession)}/plumbline-{df.sparkSession.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    """Writes df as Parquet to a fresh path and reads it back, so that a lost executor costs a re-read only."""
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

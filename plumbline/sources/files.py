@@ -131,8 +131,8 @@ def _scalar(text: str):
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """CSV with a header. one_file gathers all rows in one task: for small reports only."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+    """CSV with a header, quotes doubled as read_csv reads them. one_file gathers all rows in one task: for small reports only."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -147,7 +147,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def write_by_scene(df: DataFrame, path: str) -> None:
     """One folder of CSV a scene; rows of a scene go to few files."""
-    df.repartition("scene_id").write.mode("overwrite").partitionBy("scene_id").csv(path, header=True)
+    df.repartition("scene_id").write.mode("overwrite").partitionBy("scene_id").csv(path, header=True, escape='"')
 
 
 def append_responses(requests: DataFrame, done_path: str, answer: Column, key: str = "query_id") -> DataFrame:

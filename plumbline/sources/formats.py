@@ -47,7 +47,7 @@ def opened(path: str):
 
 
 @dataclass
-class FileRange(InputPartition):
+class FileRange:
     """Bytes low to high of a file. ``first`` tells the range at the file's beginning, which takes what can't be cut."""
 
     path: str
@@ -59,8 +59,14 @@ class FileRange(InputPartition):
         return self.low == 0
 
 
+@dataclass
+class Ranges(InputPartition):
+    ranges: list[FileRange]
+
+
 class RangeReader(DataSourceReader):
-    """Cuts files into ranges of about bytesPerPartition bytes by their sizes alone; a subclass reads the records that begin in a range."""
+    """Cuts files into ranges of about bytesPerPartition bytes by their sizes alone, and puts small ranges together (a file counts as a 32nd of a
+    partition at least); a subclass reads the records that begin in a range."""
 
     suffix = ""
 
@@ -68,9 +74,25 @@ class RangeReader(DataSourceReader):
         self.path, self.schema, self.step = options["path"], schema, int(options.get("bytesPerPartition", 32 << 20))
         self.options = dict(options)
 
-    def partitions(self) -> list[FileRange]:
-        out = [FileRange(p, low, min(size, low + self.step)) for p, size in listed(self.path, self.suffix) for low in range(0, max(1, size), self.step)]
-        return out or [FileRange("", 0, 0)]
+    def partitions(self) -> list[Ranges]:
+        out, cost = [Ranges([])], 0
+        for path, size in listed(self.path, self.suffix):
+            for low in range(0, max(1, size), self.step):
+                one = FileRange(path, low, min(size, low + self.step))
+                mine = max(one.high - one.low, self.step // 32)
+                if cost and cost + mine > self.step:
+                    out.append(Ranges([]))
+                    cost = 0
+                out[-1].ranges.append(one)
+                cost += mine
+        return out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for one in partition.ranges:
+            yield from self.read_range(one)
+
+    def read_range(self, part: FileRange) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
 
     def batches(self, path: str, first: int, columns: dict[str, np.ndarray | str], rows: int = 65_536) -> Iterator[pa.RecordBatch]:
         """Record batches of the schema's columns; those that a file lacks are null, and a text stands for all rows."""
@@ -92,9 +114,7 @@ def records(low: int, high: int, start: int, width: int, n: int) -> tuple[int, i
 class PlyReader(RangeReader):
     suffix = ".ply"
 
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read_range(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         with opened(part.path) as f:
             head = b""
             while b"end_header\n" not in head and (more := f.read(1 << 14)):
@@ -146,9 +166,7 @@ def object_name(path: str) -> str:
 class NpzReader(RangeReader):
     suffix = ".npz"
 
-    def read(self, part: FileRange) -> Iterator[pa.RecordBatch]:
-        if not part.path:
-            return
+    def read_range(self, part: FileRange) -> Iterator[pa.RecordBatch]:
         with opened(part.path) as f, zipfile.ZipFile(f) as z:
             info = z.getinfo(self.options.get("key", "points") + ".npy")
             if info.compress_type != zipfile.ZIP_STORED:
