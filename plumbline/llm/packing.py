@@ -278,13 +278,13 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, step: int = 64, depth: int = 3, block_tokens: int = 2_000_000, block_docs: int = 4096, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, step: int = 64, depth: int = 3, block_tokens: int = 2_000_000, block_docs: int = 4096, with_ids: bool = False, memo_words: int = 200_000) -> DataFrame:
     """Pieces of documents packed into sequences of ``window`` tokens: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are those of its whole text and end_id. Documents are packed in blocks of at most block_docs
     documents or about block_tokens tokens of an input partition, so memory is bounded and nothing is shuffled; a block
     pads nothing (see plan). sequence_id is the partition's number times 2^40 plus a running number. with_ids adds the ids of
-    each piece. vocabulary: a path that all workers can read. Null text is empty: a document of end_id alone. Repeated rows
+    each piece. vocabulary: a path that all workers can read. A worker keeps the ids of memo_words words, some 0.4 KB each. Null text is empty: a document of end_id alone. Repeated rows
     and null ids are packed like other rows; other columns are ignored; an empty table gives no pieces.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -294,7 +294,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
         pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
         if vocabulary not in _TOKENIZERS:
-            _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary)
+            _TOKENIZERS[vocabulary] = WordTokenizer(vocabulary, memo_words)
         tokenizer, sequence = _TOKENIZERS[vocabulary], TaskContext.get().partitionId() << 40
         ids: list = []
         tokens: list[np.ndarray] = []

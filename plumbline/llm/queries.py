@@ -41,7 +41,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .packing import pack
 
-    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), memo_words=500_000)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
