@@ -11,11 +11,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbours import paired, point_neighbours, xyz
+from .neighbours import clouds_of, paired, point_neighbours
 from .objects import downsample
 
 #: Modulus and factor of the random numbers of replicates (fixed values, a well-known full-period pair).
@@ -69,18 +69,22 @@ def distance_ci(pairs: DataFrame, points: DataFrame, replicates: int = 1000, cap
     """
     cloud = downsample(points, ["object_id"], "pt_idx", cap, seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = "object_a string, object_b string, point double, mean double, std double, ci_low double, ci_high double, ci_width double, ci_width_pct double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = []
-            for i, j, ca, cb in zip(x["object_a"], x["object_b"], x["ca"], x["cb"], strict=True):
-                u, v = xyz(ca), xyz(cb)
+            out, names = [], [x.column(k).to_pylist() for k in ("object_a", "object_b")]
+            (us, starts_a), (vs, starts_b) = clouds_of(x, "a"), clouds_of(x, "b")
+            for n, (i, j) in enumerate(zip(*names, strict=True)):
+                u, v = us[starts_a[n] : starts_a[n + 1]], vs[starts_b[n] : starts_b[n + 1]]
                 low = np.sqrt(lows(u, v, (i, j), replicates, seed))
                 a, b = np.percentile(low, [2.5, 97.5])
                 point = float(np.sqrt(sum(np.subtract.outer(u[:, k], v[:, k]) ** 2 for k in range(3)).min()))
-                out.append((i, j, point, float(np.mean(low)), float(np.std(low)), a, b, b - a, (b - a) / point * 100 if point else None))
-            yield pd.DataFrame(out, columns=["object_a", "object_b", "point", "mean", "std", "ci_low", "ci_high", "ci_width", "ci_width_pct"])
+                out.append((point, float(np.mean(low)), float(np.std(low)), a, b, b - a, (b - a) / point * 100 if point else None))
+            figures = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)] or [pa.array([], pa.float64())] * 7
+            yield pa.RecordBatch.from_arrays([x.column("object_a"), x.column("object_b"), *figures], ["object_a", "object_b", "point", "mean", "std", "ci_low", "ci_high", "ci_width", "ci_width_pct"])
 
-    return paired(pairs, cloud).mapInPandas(run, "object_a string, object_b string, point double, mean double, std double, ci_low double, ci_high double, ci_width double, ci_width_pct double")
+    return paired(pairs, cloud).mapInArrow(run, shape)
 
 
 def winner_shares(candidates: DataFrame, points: DataFrame, cap: int = 2000, seed: int = 42) -> DataFrame:

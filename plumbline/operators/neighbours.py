@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Point pairs of two clouds that are all looked at.
+SMALL = 1 << 12
+
+#: Points in a batch of rows that a task gives back, about.
+BLOCK_POINTS = 1 << 16
+
+
 def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
     """Positions of the points in groups of at most ``size``, halved along the widest side again and again."""
     out, todo = [], [np.arange(len(points))]
@@ -28,9 +35,14 @@ def leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
 def nearest_points(u: np.ndarray, v: np.ndarray, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """For each row of u the position of the nearest row of v (the first of equal ones) and the squared distance.
 
-    v is cut into about sqrt(len(v)) leaves. A row of u visits leaves in order of the distance to their boxes and stops when the
+    Two small clouds meet in one go. Else v is cut into about sqrt(len(v)) leaves. A row of u visits leaves in order of the distance to their boxes and stops when the
     next box is further than the nearest point so far, so it meets a few leaves and not all points.
     """
+    if len(u) * len(v) <= SMALL:
+        d = [np.subtract.outer(u[:, k], v[:, k]) for k in range(3)]
+        d2 = d[0] * d[0] + d[1] * d[1] + d[2] * d[2]
+        at = d2.argmin(axis=1)
+        return at, d2[np.arange(len(u)), at]
     groups = leaves(v, max(8, int(len(v) ** 0.5)))
     low, high = np.array([v[g].min(axis=0) for g in groups]), np.array([v[g].max(axis=0) for g in groups])
     width = max(map(len, groups))
@@ -62,9 +74,14 @@ def nearest_points(u: np.ndarray, v: np.ndarray, block: int = 4096) -> tuple[np.
 
 
 def packed(points: DataFrame) -> DataFrame:
-    """object_id and cloud: the points in order of pt_idx, one row an object."""
+    """object_id, pt (point numbers) and xyz (three numbers a point, one after another): the points in order of pt_idx, one row an object.
+
+    Plain numbers, so that a task reads them as they lie in Arrow's memory and makes no Python object a point.
+    """
     p = points.select("object_id", "pt_idx", *[F.col(k).cast("double").alias(k) for k in "xyz"])
-    return p.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", "z"))).alias("cloud"))
+    cloud = p.groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", "z"))).alias("cloud"))
+    flat = F.flatten(F.transform("cloud", lambda q: F.array(q["x"], q["y"], q["z"])))
+    return cloud.select("object_id", F.col("cloud.pt_idx").cast("array<int>").alias("pt"), flat.alias("xyz"))
 
 
 def xyz(cloud) -> np.ndarray:
@@ -72,25 +89,45 @@ def xyz(cloud) -> np.ndarray:
 
 
 def paired(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Distinct pairs (object_a, object_b) with both clouds (ca, cb), by two joins on the object; pairs with an empty cloud fall out."""
+    """Distinct pairs (object_a, object_b) with both clouds (pt_a, xyz_a, pt_b, xyz_b; see packed), by two joins on the object; pairs with an empty cloud fall out."""
     cloud = packed(points)
-    named = lambda s: cloud.select(F.col("object_id").alias(f"object_{s}"), F.col("cloud").alias(f"c{s}"))
-    return pairs.select("object_a", "object_b").distinct().join(named("a"), "object_a").join(named("b"), "object_b")
+    named = lambda s: cloud.select(*[F.col(c).alias(c.replace("object_id", "object") + f"_{s}") for c in cloud.columns])
+    both = pairs.select("object_a", "object_b").distinct().join(named("a"), "object_a").join(named("b"), "object_b")
+    return both.select("object_a", "object_b", "pt_a", "xyz_a", "pt_b", "xyz_b")
+
+
+def clouds_of(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """All points of the side's clouds, a row a point, and where each row's cloud begins (and the last one ends); no copy is made."""
+    lists = batch.column(f"xyz_{side}")
+    if lists.values.null_count:
+        raise ValueError("a point lacks x, y or z")
+    return lists.values.to_numpy().reshape(-1, 3), lists.offsets.to_numpy() // 3
 
 
 def point_neighbours(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """object_a, object_b, pt_a, pt_b, d2: for each pair and each point of a its nearest point of b (the smallest pt_idx of equal ones) and the squared distance.
 
     points(object_id, pt_idx, x, y, z). A task has the two clouds of a pair and finds neighbours by leaves of b (see nearest_points).
+    Rows leave it in batches of about BLOCK_POINTS points, so what it holds beside Arrow's batch doesn't grow with the number of pairs.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(x: pa.RecordBatch, first: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        of = pa.array(np.repeat(np.arange(first, first + len(found)), [len(at) for at, _ in found]))
+        a, b = (x.column(f"pt_{s}") for s in "ab")
+        starts = b.offsets.to_numpy()[first : first + len(found)]
+        mine = a.slice(first, len(found)).flatten()
+        near = b.values.take(pa.array(np.concatenate([at + s for (at, _), s in zip(found, starts, strict=True)])))
+        return pa.RecordBatch.from_arrays([x.column("object_a").take(of), x.column("object_b").take(of), mine, near, pa.array(np.concatenate([d for _, d in found]))], ["object_a", "object_b", "pt_a", "pt_b", "d2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            found = []
-            for a, b in zip(x["ca"], x["cb"], strict=True):
-                at, d2 = nearest_points(xyz(a), xyz(b))
-                found.append([(p["pt_idx"], b[k]["pt_idx"], d) for p, k, d in zip(a, at.tolist(), d2.tolist(), strict=True)])
-            yield pd.DataFrame({"object_a": x["object_a"], "object_b": x["object_b"], "near": [[dict(zip(("pt_a", "pt_b", "d2"), t, strict=True)) for t in f] for f in found]})
-
-    rows = paired(pairs, points).mapInPandas(run, "object_a string, object_b string, near array<struct<pt_a: int, pt_b: int, d2: double>>")
-    return rows.select("object_a", "object_b", F.explode("near").alias("n")).select("object_a", "object_b", "n.*")
+            (u, i), (v, j) = clouds_of(x, "a"), clouds_of(x, "b")
+            first, found, size = 0, [], 0
+            for n in range(x.num_rows):
+                found.append(nearest_points(u[i[n] : i[n + 1]], v[j[n] : j[n + 1]]))
+                size += len(found[-1][0])
+                if size >= BLOCK_POINTS or n == x.num_rows - 1:
+                    yield rows(x, first, found)
+                    first, found, size = n + 1, [], 0
+
+    return paired(pairs, points).mapInArrow(run, "object_a string, object_b string, pt_a int, pt_b int, d2 double")

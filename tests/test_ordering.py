@@ -89,3 +89,14 @@ def test_point_rows(spark):
     far = lambda p, q: sum((x - y) ** 2 for x, y in zip(p, q))
     want = [(a, b, 2 * i, 2 * min(range(len(cloud[b])), key=lambda j: far(p, cloud[b][j]))) for a, b in (("a", "b"), ("b", "a"), ("a", "c")) for i, p in enumerate(cloud[a])]
     assert got == sorted(want)
+
+
+def test_numbers_and_no_objects_reach_a_task(spark):
+    """A row holds its clouds as plain numbers: no dict a point is made of an Arrow batch, and rows leave a task in bounded batches."""
+    points = spark.createDataFrame([("a", i, float(i), 0.0, 0.0) for i in range(300)] + [("b", i, float(i), 1.0, 0.0) for i in range(5)], "object_id string, pt_idx int, x double, y double, z double")
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a")], "object_a string, object_b string")
+    assert dict(N.paired(pairs, points).dtypes) == {"object_a": "string", "object_b": "string", "pt_a": "array<int>", "xyz_a": "array<double>", "pt_b": "array<int>", "xyz_b": "array<double>"}
+    near = N.point_neighbours(pairs, points)
+    assert near.count() == 305
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
