@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_parts(batches: Iterator[pd.DataFrame], text: str = "t", chars: int = 1 << 22) -> Iterator[pd.DataFrame]:
+    """All rows of the batches in turn, in parts of about ``chars`` characters of text (a longer text is a part of its own), so that what a
+    task derives from texts is held for a part and not for Arrow's whole batch."""
+    pa.default_memory_pool().release_unused()  # what earlier tasks of a reused worker have left
+    for x in batches:
+        first, held = 0, 0
+        for n, t in enumerate(x[text]):
+            held += len(t or "")
+            if held >= chars:
+                yield x.iloc[first : n + 1].reset_index(drop=True)
+                first, held = n + 1, 0
+        if first < len(x):
+            yield x.iloc[first:].reset_index(drop=True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null becomes empty. Pure ASCII text takes the fast built-in lower()."""
     t = F.coalesce(text, F.lit(""))

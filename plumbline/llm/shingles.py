@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, group_lookup, materialize, may_hold
+from .common import attach, group_lookup, in_parts, materialize, may_hold
 from .components import components, local_roots
 
 BANDS, ROWS = 32, 4
@@ -47,6 +47,13 @@ def band_keys(s: np.ndarray, block: int = 256) -> list[int]:
     return [xxhash.xxh64_intdigest(b.tobytes(), n) - (1 << 63) for n, b in enumerate(low.reshape(BANDS, ROWS))]
 
 
+def whole_sets(batches: Iterator[pd.DataFrame], words: int = 5) -> Iterator[pd.DataFrame]:
+    """sh and raw: name and hashes of each text's set, some millions of characters at a time."""
+    for x in in_parts(batches):
+        made = [shingle_set(t, words) for t in x["t"]]
+        yield pd.DataFrame({"sh": [set_id(s) for s in made], "raw": [s.tobytes() for s in made]})
+
+
 def linked(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (a < b) of all pairs of sets whose Jaccard similarity is at least ``similarity``."""
     size = np.array([len(s) for s in sets])
@@ -102,12 +109,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str,
     wanted = materialize(classes.select("sh").join(sets.select("sh", "row", "node"), "sh"), "candidates")
     some = may_hold(docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row")), F.col("row"), wanted.select("row"))
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            made = [shingle_set(t, words) for t in x["t"]]
-            yield pd.DataFrame({"sh": [set_id(s) for s in made], "raw": [s.tobytes() for s in made]})
-
-    full = some.select("t").mapInPandas(whole, "sh long, raw binary").dropDuplicates(["sh"]).join(wanted.select("sh", "node"), "sh")
+    full = some.select("t").mapInPandas(lambda batches: whole_sets(batches, words), "sh long, raw binary").dropDuplicates(["sh"]).join(wanted.select("sh", "node"), "sh")
 
     def verify(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         a, b = linked([np.frombuffer(r, np.uint64) for r in x["raw"]], similarity)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, settle_rows, table_lookup
+from .common import free_name, in_parts, materialize, settle_rows, table_lookup
 from .components import components, local_roots
 from .shingles import band_keys, set_id, shingle_set, similar_links
 
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp) of every row, fp as a signed long; one pass over whole texts. With ``bands`` also row, sh, shingles and keys (see shingles), with ``digests`` the text's SHA-256."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in in_parts(batches):
             fp = np.array([fingerprint(t, words) for t in x["t"]], np.uint64).view(np.int64)
             out = pd.DataFrame({"id": x["id"].astype("Int64"), "fp": fp})
             if bands:

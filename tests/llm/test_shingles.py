@@ -2,7 +2,9 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 
+from plumbline.llm import common, shingles
 from plumbline.llm.shingles import linked, shingle_set
 from plumbline.llm.simhash import drop_near_copies, near_duplicates
 from tests.llm.test_simhash import roots, slow_fingerprint
@@ -70,3 +72,12 @@ def test_stage_drops_similar_texts(frame, tmp_path):
     docs = mutants(4)
     kept = {r.doc_id for r in corpus_pipeline.near_dedup(None, frame(docs), str(tmp_path)).collect()}
     assert not [p for p in similar_pairs(docs) if set(p) <= kept]
+
+
+def test_sets_are_made_in_parts():
+    """One Arrow batch of long texts leaves in several parts: a task doesn't hold the sets of a whole batch."""
+    texts = ["one two three four five six " * 40_000, None, "a b c d e f " * 200_000, "", "short text"] * 2
+    found = list(shingles.whole_sets(iter([pd.DataFrame({"t": texts})])))
+    assert len(found) > 1 and sum(map(len, found)) == len(texts)
+    assert [n for x in found for n in x["sh"]] == [shingles.set_id(shingles.shingle_set(t)) for t in texts]
+    assert [len(x) for x in common.in_parts(iter([pd.DataFrame({"t": ["aaa", "b", None, "cccc", ""]}), pd.DataFrame({"t": []})]), chars=4)] == [2, 2, 1]
