@@ -100,3 +100,16 @@ def test_numbers_and_no_objects_reach_a_task(spark):
     assert near.count() == 305
     plan = near._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_stability_summary_reads_numbers(spark):
+    """The summary of nearest winners goes through the same step: its plan holds no pandas rows."""
+    from plumbline.operators import bootstrap as B
+
+    points = spark.createDataFrame([(o, i, float(i), float(k), 0.0) for k, o in enumerate("abc") for i in range(4)], "object_id string, pt_idx int, x double, y double, z double")
+    candidates = spark.createDataFrame([("a", "l", "b", 0), ("a", "l", "c", 1)], "object_a string, label_b string, object_b string, ord_b int")
+    answers = spark.createDataFrame([("a", "l", "b")], "object_a string, label_b string, gt_winner string")
+    out = B.summarise_nearest(B.nearest_stability(candidates, points, answers))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert tuple(out.first()) == (1, 1.0, 1.0, 1.0, 1, 1)
